@@ -1,10 +1,13 @@
 """The queries of this package and their DuckDB equivalents, for __spark_entry__.py."""
 
-from loam.llm import decontaminate, exact_dedup, licenses, sanitise, warc
+from loam.llm import decontaminate, exact_dedup, licenses, maxent, near_dedup, packing, sanitise, warc
 
 QUERIES = {
+    "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op3_packing": packing.op3_packing,
     "op4_sanitise": sanitise.op4_sanitise,
     "op5_license_scan": licenses.op5_license_scan,
+    "op7_lm_scoring": maxent.op7_lm_scoring,
     "op8_warc": warc.op8_warc,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
