@@ -1,12 +1,14 @@
 """The queries of this package and their DuckDB equivalents, for __spark_entry__.py."""
 
-from loam.llm import decontaminate, exact_dedup, licenses, maxent, near_dedup, packing, sanitise, warc
+from loam.llm import decontaminate, exact_dedup, licenses, line_dedup, maxent, near_dedup, packing, sanitise, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_packing": packing.op3_packing,
     "op4_sanitise": sanitise.op4_sanitise,
     "op5_license_scan": licenses.op5_license_scan,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_lm_scoring": maxent.op7_lm_scoring,
     "op8_warc": warc.op8_warc,
     "op9_decontamination": decontaminate.op9_decontamination,
