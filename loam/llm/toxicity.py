@@ -257,19 +257,24 @@ def score_texts(model: dict | None, texts: list[str]) -> np.ndarray:
     return np.where(np.isinf(out), min(model["share"], 0.49), _sigmoid(out))
 
 
+def _in_parts(model: dict | None, texts: list[str | None]):
+    """Scores of consecutive texts, about PIECE code points at a time."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text or "")
+        size += len(part[-1])
+        if size >= PIECE:
+            yield score_texts(model, part)
+            part, size = [], 0
+    if part:
+        yield score_texts(model, part)
+
+
 def _scored(shared):
     def run(batches):
         for batch in batches:
-            texts, found, part, size = batch.column("text").to_pylist(), [], [], 0
-            for text in texts:
-                part.append(text or "")
-                size += len(part[-1])
-                if size >= PIECE:
-                    found.append(score_texts(shared.value, part))
-                    part, size = [], 0
-            if part:
-                found.append(score_texts(shared.value, part))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found) if found else np.zeros(0))], ["doc_id", "score"])
+            scores = np.concatenate([np.zeros(0), *_in_parts(shared.value, batch.column("text").to_pylist())])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     return run
 
@@ -297,6 +302,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(shared), "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below the threshold; one scan, no shuffle."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(fit_sample(docs, labels))
+
+    def keep(batches):
+        for batch in batches:
+            scores = np.concatenate([np.zeros(0), *_in_parts(shared.value, batch.column("text").to_pylist())])
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out(0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
