@@ -139,27 +139,27 @@ def _records(batches):
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) with digest and refers_to: null where the record is a response.
+    """(page_id, digest, refers_to) of the records that are revisits, from pages(page_id, html).
 
-    Among equal payloads of at least 1000 bytes the record with the largest page_id is the response. Groups are reduced on
-    the narrow digest, map-side first, and meet the pages again in an equi-join; smaller payloads do not take part.
+    Among equal payloads of at least 1000 bytes the record with the largest page_id is the response; a page without an id is
+    a response, too. Only the narrow digests meet, reduced map-side before the shuffle.
     """
-    html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha1("html"))
-    key = F.when(F.octet_length("html") >= MIN_REVISIT_BYTES, F.col("digest"))
-    first = rows.select("page_id", key.alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = rows.join(first, key == first["k"], "left")
-    return out.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    large = pages.where((F.octet_length("html") >= MIN_REVISIT_BYTES) & F.col("page_id").isNotNull()).select("page_id", F.sha1("html").alias("digest"))
+    first = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return large.join(first, "digest").where("page_id != refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """One archive per partition of pages(page_id, url, html), of about ARCHIVE_BYTES of payload at most."""
+    """One archive per partition of pages(page_id, url, html), of about ARCHIVE_BYTES of payload. The pages are shuffled once,
+    to their archive; what is a revisit joins them there."""
     spark = pages.sparkSession
     small_batches(spark)
+    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    rows = revisits(pages).repartition(max(spark.sparkContext.defaultParallelism, -(-total // ARCHIVE_BYTES)), F.xxhash64("page_id", "digest"))
-    packed = rows.mapInArrow(_archive, "value binary").select(F.col("value").cast("string").alias("value"))
-    packed.write.option("lineSep", SEPARATOR).text(path)
+    key = ["page_id", "digest"]
+    rows = pages.withColumn("digest", F.sha1("html")).repartition(max(spark.sparkContext.defaultParallelism, -(-total // ARCHIVE_BYTES)), *key)
+    packed = rows.join(revisits(pages), key, "left").select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_archive, "value binary")
+    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
