@@ -46,10 +46,10 @@ def shingle_sets(column: pa.Array):
                 x = np.sort(rolled[a : b - SHINGLE + 1])
                 yield x[np.concatenate(([True], x[1:] != x[:-1]))]
             elif b > a:
-                x = np.uint64(b - a) * _STEP
+                x = np.array([b - a], np.uint64) * _STEP
                 for w in words[a:b]:
                     x = x * _GROW + w
-                yield mix(np.array([x], np.uint64))
+                yield mix(x)
             else:
                 yield np.zeros(0, np.uint64)
 
