@@ -5,10 +5,10 @@ in a bucket the sketch keeps the number of leading zeros and 10 mantissa bits, 1
 registers (an empty bucket borrows from another, chosen by hash) name the candidates, the registers' Jaccard estimate, corrected
 for the collisions that compression brings, drops those that are far off, and the full shingle sets decide.
 
-Equal sets are collapsed first, so copies cost nothing. In a band's bucket documents meet one leader, not each other: a
-star per bucket, 25 differently chosen leaders per document. What could still be missing are links between components
-that share a bucket; those pairs, and only those, are then compared as well, so no link between different texts is lost
-to the stars. At similarity 0.85 a pair misses all 25 bands of 5 with probability below 1e-6.
+Equal sets are collapsed first, so copies cost nothing. In a band's bucket documents meet two leaders, not each other: the
+central one, whose buckets hold the most members (the text that the others were made from, where there is one), and one
+chosen by hash, another in each bucket. What could still be missing are links between components that share a bucket; those
+pairs, and only those, are then compared as well, so no link between different texts is lost to the stars. At similarity 0.85 a pair misses all 25 bands of 5 with probability below 1e-6.
 """
 
 from __future__ import annotations
@@ -180,19 +180,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     same = ["n", "k1", "k2"]
     reps = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")))
     bands = written(reps.select("id", "sketch").mapInArrow(_bands, "id long, key long"))
-    leader = F.min(F.struct(F.xxhash64("id", "key").alias("order"), F.col("id").alias("leader")))
-    shared = bands.groupBy("key").agg(leader.alias("first"), F.count("*").alias("size")).where("size > 1").select("key", "first.leader")
-    members = written(bands.join(shared, "key"))
+    sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(bands.join(sizes, "key"))
+    degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
+    members = written(shared.drop("size").join(degree, "id").join(reps.select("id", "n"), "id"))
+    first = lambda *order: F.min(F.struct(*order, F.col("id").alias("leader")))["leader"]
+    leaders = members.groupBy("key").agg(first(-F.col("degree")).alias("central"), first(F.xxhash64("id", "key")).alias("other"))
+    members = written(members.join(leaders, "key").select("key", "id", "n", "central", "other"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    star = members.where("id != leader").select(*pair(F.col("id"), F.col("leader"))).distinct()
+    star = members.select("id", F.explode(F.array("central", "other")).alias("leader")).where("id != leader").select(*pair(F.col("id"), F.col("leader"))).distinct()
     links = _verified(star, reps, docs, percent)
     labels = components(links)
     # links the stars may have missed: members of one bucket that are in different components
-    named = members.join(labels, "id", "left").select("key", "id", "leader", F.coalesce("component", "id").alias("component"))
+    named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    mixed = written(named.join(spread, "key", "left_semi"))
-    other = mixed.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("leader").alias("leader2"))
-    rest = mixed.where("id != leader").join(other.where("id2 != leader2"), "key").where("id < id2 AND component != component2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    mixed = written(named.join(spread, "key", "left_semi").where("id != central AND id != other").select("key", "id", "n", "component"))
+    second = mixed.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component")))
+    sizes_fit = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+    rest = mixed.join(second, "key").where(sizes_fit).where("id < id2 AND component != component2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
     more = _verified(rest.join(star, ["a", "b"], "left_anti"), reps, docs, percent)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
