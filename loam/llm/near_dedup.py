@@ -7,8 +7,9 @@ for the collisions that compression brings, drops those that are far off, and th
 
 Equal sets are collapsed first, so copies cost nothing. In a band's bucket documents meet two leaders, not each other: the
 central one, whose buckets hold the most members (the text that the others were made from, where there is one), and one
-chosen by hash, another in each bucket. What could still be missing are links between components that share a bucket; those
-pairs, and only those, are then compared as well, so no link between different texts is lost to the stars. At similarity 0.85 a pair misses all 25 bands of 5 with probability below 1e-6.
+chosen by hash, another in each bucket. What could still be missing are links between components that share a bucket: documents
+of such buckets are then compared across components where they share one of their rarest shingles, which every link does,
+so no link between different texts is lost to the stars, and texts that only share what is common in their group never meet. At similarity 0.85 a pair misses all 25 bands of 5 with probability below 1e-6.
 """
 
 from __future__ import annotations
@@ -152,19 +153,50 @@ def _linked(percent: int):
     return verify
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, sorted shingle hashes) of the documents with these ids."""
+    sets = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary")
+    return written(sets.dropDuplicates(["id"]))
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, sets: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) that pass the estimate and then the comparison of their full sets."""
     side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     close = F.col("na") * 100 >= F.col("nb") * percent
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(close & (F.col("nb") * 100 >= F.col("na") * percent))
     near = written(near.mapInArrow(_near(percent), "a long, b long"))
-    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary")
-    sets = written(sets.dropDuplicates(["id"]))
+    if sets is None:
+        sets = _sets_of(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
     both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return written(both.mapInArrow(_linked(percent), "a long, b long"))
 
 
+def _exploded(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+        if sets:
+            size = np.array([len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), size)), pa.array(np.concatenate(sets))], ["id", "shingle"])
+
+
+def _across(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents in different components that may be linked; mixed: (id, n, component).
+
+    A link takes percent of the larger set, so it shows among each side's rarest shingles, one more than a link may lack.
+    Shingles of one document only meet nothing: they just use up their document's share of rare ones.
+    """
+    rows = written(sets.mapInArrow(_exploded, "id long, shingle long"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
+    rare = rows.join(often, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("known"))
+    rare = rare.join(mixed, "id").withColumn("share", F.expr(f"int(n - ceil(n * {percent} / 100.0) + 1 - (n - size(known)))"))
+    rare = written(rare.where("share > 0").select("id", "n", "component", F.explode(F.expr("slice(known.shingle, 1, share)")).alias("shingle")))
+    spread = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
+    rare = rare.join(spread, "shingle", "left_semi")
+    second = rare.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component")))
+    fit = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+    return rare.join(second, "shingle").where(fit).where("id < id2 AND component != component2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -194,11 +226,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # links the stars may have missed: members of one bucket that are in different components
     named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    mixed = written(named.join(spread, "key", "left_semi").where("id != central AND id != other").select("key", "id", "n", "component"))
-    second = mixed.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component")))
-    sizes_fit = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
-    rest = mixed.join(second, "key").where(sizes_fit).where("id < id2 AND component != component2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    more = _verified(rest.join(star, ["a", "b"], "left_anti"), reps, docs, percent)
+    mixed = written(named.join(spread, "key", "left_semi").select("id", "n", "component").distinct())
+    sets = _sets_of(mixed.select("id"), docs)
+    more = _verified(_across(mixed, sets, percent), reps, docs, percent, sets)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     classes = reps.select(*same, "id").join(labels, "id", "left").select(*same, F.coalesce("component", "id").alias("class"))
