@@ -9,7 +9,8 @@ Equal sets are collapsed first, so copies cost nothing. In a band's bucket docum
 central one, whose buckets hold the most members (the text that the others were made from, where there is one), and one
 chosen by hash, another in each bucket. What could still be missing are links between components that share a bucket: documents
 of such buckets are then compared across components where they share one of their rarest shingles, which every link does,
-so no link between different texts is lost to the stars, and texts that only share what is common in their group never meet. At similarity 0.85 a pair misses all 25 bands of 5 with probability below 1e-6.
+so no link between different texts is lost to the stars, and texts that only share what is common in their group never meet. At similarity 0.85 a pair misses all 25 bands of 5
+with probability below 1e-6.
 """
 
 from __future__ import annotations
@@ -183,18 +184,23 @@ def _across(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of documents in different components that may be linked; mixed: (id, n, component).
 
     A link takes percent of the larger set, so it shows among each side's rarest shingles, one more than a link may lack.
-    Shingles of one document only meet nothing: they just use up their document's share of rare ones.
+    Shingles of one document only meet nothing: they just use up their document's share of rare ones. As both sides are in
+    one order, a meeting at place i of n leaves at most n - i common shingles: it counts where that is enough for a link.
     """
     rows = written(sets.mapInArrow(_exploded, "id long, shingle long"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
     rare = rows.join(often, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("known"))
-    rare = rare.join(mixed, "id").withColumn("share", F.expr(f"int(n - ceil(n * {percent} / 100.0) + 1 - (n - size(known)))"))
-    rare = written(rare.where("share > 0").select("id", "n", "component", F.explode(F.expr("slice(known.shingle, 1, share)")).alias("shingle")))
-    spread = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
-    rare = rare.join(spread, "shingle", "left_semi")
-    second = rare.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component")))
-    fit = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
-    return rare.join(second, "shingle").where(fit).where("id < id2 AND component != component2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    rare = rare.join(mixed, "id").withColumn("alone", F.col("n") - F.size("known")).withColumn("share", F.expr(f"int(n - ceil(n * {percent} / 100.0) + 1 - alone)"))
+    rare = rare.where("share > 0").select("id", "n", "component", "alone", F.posexplode(F.expr("slice(known.shingle, 1, share)")).alias("place", "shingle"))
+    rare = written(rare.select("shingle", "id", "n", "component", (F.col("n") - F.col("alone") - F.col("place")).alias("left")))
+    # only where the group has documents small enough for what is left, and of two components
+    least = rare.groupBy("shingle").agg(F.min("n").alias("least"), F.count("*").alias("f")).where("f > 1").drop("f")
+    able = written(rare.join(least, "shingle").where((100 + percent) * F.col("left") >= percent * (F.col("n") + F.col("least"))).drop("least"))
+    spread = able.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
+    able = able.join(spread, "shingle", "left_semi")
+    second = able.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "left")))
+    fit = (100 + percent) * F.least("left", "left2") >= percent * (F.col("n") + F.col("n2"))
+    return able.join(second, "shingle").where(fit).where("id < id2 AND component != component2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
