@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = _sets_of(mixed.select("id"), docs)
     more = _verified(_across(mixed, sets, percent), reps, docs, percent, sets)
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     classes = reps.select(*same, "id").join(labels, "id", "left").select(*same, F.coalesce("component", "id").alias("class"))
     out = rows.select("doc_id", *same).join(classes, same, "left").withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
