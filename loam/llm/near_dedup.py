@@ -187,7 +187,7 @@ def _across(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Shingles of one document only meet nothing: they just use up their document's share of rare ones. As both sides are in
     one order, a meeting at place i of n leaves at most n - i common shingles: it counts where that is enough for a link.
     """
-    rows = written(sets.mapInArrow(_exploded, "id long, shingle long"))
+    rows = sets.mapInArrow(_exploded, "id long, shingle long")  # read twice: cheaper than a table of all shingles
     often = rows.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
     rare = rows.join(often, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("known"))
     rare = rare.join(mixed, "id").withColumn("alone", F.col("n") - F.size("known")).withColumn("share", F.expr(f"int(n - ceil(n * {percent} / 100.0) + 1 - alone)"))
