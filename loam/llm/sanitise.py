@@ -44,7 +44,7 @@ def _luhn(digits: Column) -> Column:
 
 def _valid(kind: Column, match: Column) -> Column:
     digits, n = _digits(match), F.length(_digits(match))
-    part = lambda p: F.length(F.ltrim(F.lit("0"), p)) <= 3
+    part = lambda p: F.length(F.ltrim(p, F.lit("0"))) <= 3
     small = F.forall(F.split(match, r"\."), lambda p: part(p) & (F.when(part(p), p.substr(F.greatest(F.lit(1), F.length(p) - 2), F.lit(3)).cast("int")).otherwise(999) <= 255))
     return (
         F.when(kind == "email", True).when(kind == "ip", small)
