@@ -1,12 +1,13 @@
 """Information-theoretic sanitisation of personal data (operator 4), DataFrame functions only.
 
-Base spans (email, ip, card, phone) are found by patterns and checks. Around each of them, terms are weighed by what they
-tell about the protected entity: with document counts over the whole corpus, PMI(c; t) = log2(n(c,t) N / (n(c) n(t)))
-against the entity's own information IC(c) = log2(N / n(c)). A term that discloses a share PMI / IC of at least `remove`
-is removed, one of at least `generalise` is generalised, both only if entity and term meet in `support` documents.
-
-Work is linear in the text: patterns run only on texts that hold their key character and each is written so that no
-start is tried twice in a run; contexts are bounded by `reach` code points on either side of a span; counts are
+Base spans (email, ip, card, phone) are found by patterns and checks. The terms of every document that holds a protected
+entity, outside its base spans, are weighed by what they tell about it: with document counts over the whole corpus,
+PMI(c; t) = log2(n(c,t) N / (n(c) n(t))) against the entity's own information IC(c) = log2(N / n(c)). A term that discloses a
+share PMI / IC of at least `remove` is removed, one of at least `generalise` is generalised, both only if entity and term meet
+in `support` documents; then every occurrence goes, in every document that holds the entity, wherever it stands.
+
+Patterns run only on texts that hold their key character and each is written so that no start is tried twice in a run. Pairs
+are made from the entities found in `support` documents at least, times the distinct terms of their documents; counts are
 map-side combined. No vocabulary is collected or broadcast.
 """
 
@@ -53,85 +54,108 @@ def _valid(kind: Column, match: Column) -> Column:
     )
 
 
-def base_matches(docs: DataFrame, reach: int) -> DataFrame:
-    """(doc_id, row, found) for each row of docs(doc_id, text); found: (kind, pieces) where pieces are, in order of place,
-    (gap: code points since the match before, match, before, after: the text around it up to the next match or `reach`, cut: whether it went on)."""
+def _terms(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+
+
+def base_matches(docs: DataFrame) -> DataFrame:
+    """(doc, row, text, found) for each row of docs(doc, row, text); found: (kind, pieces) of the kinds with a valid match, where
+    pieces are, in order of place, (gap: code points since the match before, match); text: null where there is none."""
 
     def one(kind: str) -> Column:
         regex, text = KINDS[kind], F.col("text")
         hit, gap = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
-        piece = F.transform(
-            F.arrays_zip(hit.alias("m"), F.slice(gap, F.lit(1), F.size(hit)).alias("b"), F.slice(gap, F.lit(2), F.size(hit)).alias("a")),
-            lambda z: F.struct(F.length(z["b"]).alias("gap"), z["m"].alias("match"), F.right(z["b"], F.lit(reach)).alias("before"), F.left(z["a"], F.lit(reach)).alias("after"), (F.length(z["a"]) > reach).alias("cut")),
-        )
+        piece = F.transform(F.arrays_zip(hit.alias("m"), F.slice(gap, F.lit(1), F.size(hit)).alias("b")), lambda z: F.struct(F.length(z["b"]).alias("gap"), z["m"].alias("match")))
         test = F.contains(text, F.lit(NEEDS[kind])) & (text.rlike("[0-9]") if kind != "email" else F.lit(True))
-        none = F.array().cast("array<struct<gap:int,match:string,before:string,after:string,cut:boolean>>")
+        none = F.array().cast("array<struct<gap:int,match:string>>")
         return F.struct(F.lit(kind).alias("kind"), F.when(test, piece).otherwise(none).alias("pieces"))
 
-    found = F.filter(F.array(*[one(k) for k in KINDS]), lambda k: F.size(k["pieces"]) > 0)
-    return docs.select("doc_id", "row", found.alias("found"))
+    found = F.filter(F.array(*[one(k) for k in KINDS]), lambda k: F.exists(k["pieces"], lambda p: _valid(k["kind"], p["match"])))
+    return docs.select("doc", "row", "text", found.alias("found")).withColumn("text", F.when(F.size("found") > 0, F.col("text")))
 
 
 def base_spans(matches: DataFrame) -> DataFrame:
-    """(doc_id, row, kind, start, end, match, gap, before, after, cut): valid base spans; offsets in code points, end exclusive."""
-    kinds = matches.select("doc_id", "row", F.explode("found").alias("f"))
-    piece = kinds.select("doc_id", "row", F.col("f.kind").alias("kind"), F.posexplode("f.pieces").alias("k", "p")).select("doc_id", "row", "kind", "k", "p.*")
-    here = Window.partitionBy("doc_id", "row", "kind").orderBy("k")
+    """(doc, row, kind, start, end, match): valid base spans; offsets in code points, end exclusive."""
+    kinds = matches.select("doc", "row", F.explode("found").alias("f"))
+    piece = kinds.select("doc", "row", F.col("f.kind").alias("kind"), F.posexplode("f.pieces").alias("k", "p")).select("doc", "row", "kind", "k", "p.*")
+    here = Window.partitionBy("doc", "row", "kind").orderBy("k")
     ends = F.sum(F.col("gap") + F.length("match")).over(here.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     spans = piece.withColumn("end", ends).withColumn("start", F.col("end") - F.length("match"))
-    return spans.where(_valid(F.col("kind"), F.col("match"))).drop("k")
+    return spans.where(_valid(F.col("kind"), F.col("match"))).select("doc", "row", "kind", "start", "end", "match")
+
+
+def blanked(matches: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc, row, text, blank): the texts with base spans; blank: the text with a space for each character of a base span."""
+    places = spans.groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("places"))
+    blank = F.aggregate(
+        "places",
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
+            F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], a["at"]))).alias("out"))
+        ),
+        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
+    )
+    return matches.join(places, ["doc", "row"]).select("doc", "row", "text", blank.alias("blank"))
 
 
-def _terms_in(context: Column, offset: Column, from_left: bool, cut: Column) -> Column:
-    """(term, start, end) in a context that begins at offset; a word that the context cuts off is left out."""
-    hit, gap = F.regexp_extract_all(context, F.lit(TERM), F.lit(0)), F.split(context, TERM, -1)
-    start = lambda k: F.aggregate(F.slice(gap, F.lit(1), k + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(hit, F.lit(1), k), F.lit(0), lambda a, g: a + F.length(g))
-    spans = F.transform(hit, lambda t, k: F.struct(F.lower(t).alias("term"), (offset + start(k)).alias("start"), (offset + start(k) + F.length(t)).alias("end")))
-    edge = (lambda s: s["start"] > offset) if from_left else (lambda s: s["end"] < offset + F.length(context))
-    return F.when(cut, F.filter(spans, edge)).otherwise(spans)
+def term_counts(docs: DataFrame, blanks: DataFrame) -> DataFrame:
+    """(term, n_term): documents of docs that hold the term outside their base spans. Texts are read where they are: the terms
+    that a document has in base spans only are taken off again."""
+    every = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"), F.lit(1).alias("n"))
+    inside = blanks.select(F.explode(F.array_except(_terms(F.col("text")), _terms(F.col("blank")))).alias("term"), F.lit(-1).alias("n"))
+    return every.unionByName(inside).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def contexts(spans: DataFrame, reach: int) -> DataFrame:
-    """(doc_id, row, entity, term, start, end): the terms within reach of each base span."""
-    value = F.when(F.col("kind").isin("card", "phone"), _digits(F.col("match"))).otherwise(F.lower("match"))
-    left = _terms_in(F.col("before"), F.col("start") - F.length("before"), True, F.col("gap") > reach)
-    right = _terms_in(F.col("after"), F.col("end"), False, F.col("cut"))
-    around = spans.select("doc_id", "row", F.concat_ws(":", "kind", value).alias("entity"), F.explode(F.concat(left, right)).alias("t"))
-    return around.select("doc_id", "row", "entity", "t.term", "t.start", "t.end")
-
-
-def disclosures(docs: DataFrame, around: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """(entity, term, n_both, share, kind) for the pairs that disclose at least `generalise` of the entity's information."""
-    each = lambda *keys: around.select(*keys, "doc_id", "row").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
-    both = each("entity", "term").where(F.col("n") >= support).withColumnRenamed("n", "n_both")
-    entities = each("entity").withColumnRenamed("n", "n_entity")
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = terms.groupBy("term").agg(F.count("*").alias("n_term"))
+def disclosures(docs: DataFrame, blanks: DataFrame, holds: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+    """(doc, row, term, kind): the terms to mask in each document. holds: (doc, row, entity), distinct.
+
+    The pairs that disclose are those of entity and term, counted by document over whole texts; each is masked in all
+    documents that hold both."""
     total = docs.count()
+    entities = holds.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") >= support) & (F.col("n_entity") < total))
+    live = holds.join(entities, "entity")
+    pairs = live.join(blanks, ["doc", "row"]).select("doc", "row", "entity", "n_entity", F.explode(F.array_distinct(_terms(F.col("blank")))).alias("term"))
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= support)
     share = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(float(total)) / F.col("n_entity"))
-    weighed = both.join(entities, "entity").where(F.col("n_entity") < total).join(counts, "term").withColumn("share", share)
-    return weighed.where(F.col("share") >= generalise).select("entity", "term", "n_both", "share", F.when(F.col("share") >= remove, "removed").otherwise("generalised").alias("kind"))
+    weighed = both.join(term_counts(docs, blanks), "term").withColumn("share", share).where(F.col("share") >= generalise)
+    told = written(weighed.select("entity", "term", F.when(F.col("share") >= remove, "removed").otherwise("generalised").alias("kind")))
+    return pairs.join(told, ["entity", "term"]).select("doc", "row", "term", "kind").distinct()
 
 
-def sanitise(docs: DataFrame, reach: int = 80, support: int = 3, generalise: float = 0.5, remove: float = 0.9) -> DataFrame:
+def occurrences(blanks: DataFrame, told: DataFrame) -> DataFrame:
+    """(doc, row, kind, start, end): every place of the terms told(doc, row, term, kind) in their documents."""
+    texts = blanks.join(told.select("doc", "row").distinct(), ["doc", "row"], "left_semi")
+    hit, gap = F.regexp_extract_all("blank", F.lit(TERM), F.lit(0)), F.split("blank", TERM, -1)
+    piece = F.arrays_zip(hit.alias("t"), F.slice(gap, F.lit(1), F.size(hit)).alias("b"))
+    each = texts.select("doc", "row", F.posexplode(piece).alias("k", "p")).select("doc", "row", "k", F.lower("p.t").alias("term"), F.length("p.t").alias("n"), (F.length("p.b") + F.length("p.t")).alias("step"))
+    here = Window.partitionBy("doc", "row").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.withColumn("end", F.sum("step").over(here).cast("int")).withColumn("start", F.col("end") - F.col("n"))
+    return placed.join(told, ["doc", "row", "term"]).select("doc", "row", "kind", "start", "end")
+
+
+def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.5, remove: float = 0.9) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, spans (array of (kind, start, end), base kinds first, then start), text.
 
     text is the sanitised text; overlapping spans are masked as one, by the first. A null text counts as empty and has no
-    spans. Rows that repeat an id and text, or have a null id, keep a row each; other columns are not read; an empty
-    table gives an empty result. Ties at a threshold disclose. Long texts are searched whole.
+    spans. Rows that repeat an id and text, or have a null id, keep a row each, and rows that repeat both count as one
+    document; other columns are not read; an empty table gives an empty result. Ties at a threshold disclose. Long texts are
+    searched whole.
     """
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.xxhash64("text"))
-    matches = written(base_matches(rows, reach))
-    distinct = matches.where(F.size("found") > 0).dropDuplicates(["doc_id", "row"])
-    spans = written(base_spans(distinct))
-    around = contexts(spans, reach)
-    told = disclosures(rows, around, support, generalise, remove)
-    extra = around.join(told, ["entity", "term"]).select("doc_id", "row", "kind", "start", "end").distinct()
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    rows = texts.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.xxhash64("text", F.col("doc_id").isNull()).alias("row"))
+    repeated = rows.groupBy("doc", "row").count().where("count > 1").limit(1).count() > 0
+    distinct = rows.dropDuplicates(["doc", "row"]) if repeated else rows
+    matches = written(base_matches(rows)).where("text IS NOT NULL").dropDuplicates(["doc", "row"])
+    spans = written(base_spans(matches))
+    blanks = written(blanked(matches, spans))
+    value = F.when(F.col("kind").isin("card", "phone"), _digits(F.col("match"))).otherwise(F.lower("match"))
+    holds = spans.select("doc", "row", F.concat_ws(":", "kind", value).alias("entity")).distinct()
+    told = written(disclosures(distinct, blanks, holds, support, generalise, remove))
     rank = F.element_at(F.create_map(*[F.lit(x) for k, kind in enumerate(ORDER) for x in (kind, k)]), F.col("kind"))
-    every = spans.select("doc_id", "row", "kind", "start", "end").unionByName(extra)
-    every = every.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("r")).agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "start", "end", "kind"))).alias("spans"))
+    every = spans.drop("match").unionByName(occurrences(blanks, told))
+    every = every.groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "start", "end", "kind"))).alias("spans"))
     every = written(every)
-    out = rows.join(every, rows["doc_id"].eqNullSafe(every["id"]) & (rows["row"] == every["r"]), "left")
+    out = rows.join(every, ["doc", "row"], "left")
     mask = F.create_map(*[F.lit(x) for t in MASKS.items() for x in t])
     sanitised = F.aggregate(
         F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
