@@ -1,7 +1,9 @@
 """License scans by an exact set-similarity join (operator 5), DataFrame functions only.
 
-The base labels come from phrases of consecutive words. The operator adds labels of its own: every text block (line)
-whose words hold at least a given share of a license template's distinct words, found by a prefix-filtered join. The
+The base labels come from phrases of consecutive words. The operator adds labels of its own: every text block
+whose words hold at least a given share of a license template's distinct words, found by a prefix-filtered join. Blocks are
+the lines, of any length, and for notices that are wrapped over lines every word window of a text, over line ends, that is
+as long as the template. The
 templates' tokens are ordered by their frequency in the whole corpus, rarest first; a block can only reach the
 threshold if it holds one of a template's first |T| - ceil(t |T|) + 1 tokens. Candidates pass the length and the positional
 filter and are then verified on the full sets, so the join misses nothing.
@@ -64,10 +66,11 @@ def base_labels(rows: DataFrame) -> DataFrame:
 
 
 def template_table(spark: SparkSession, templates=None) -> DataFrame:
-    """(template, label, tokens): distinct words of each template; templates without words are left out."""
+    """(template, label, tokens, width): distinct words of each template and their number in all; templates without words are left out."""
     rows = [(k, label, text) for k, (label, text) in enumerate(TEMPLATES if templates is None else templates)]
     t = spark.createDataFrame(rows, "template int, label string, text string")
-    return t.select("template", "label", F.array_distinct(words(text_or_empty())).alias("tokens")).where(F.size("tokens") > 0)
+    t = t.select("template", "label", words(text_or_empty()).alias("w"))
+    return t.select("template", "label", F.array_distinct("w").alias("tokens"), F.size("w").alias("width")).where(F.size("tokens") > 0)
 
 
 def containment_join(blocks: DataFrame, templates: DataFrame, threshold: str = THRESHOLD) -> DataFrame:
@@ -114,18 +117,61 @@ def containment_join(blocks: DataFrame, templates: DataFrame, threshold: str = T
     return candidate.join(F.broadcast(sets), "template").where(common >= F.col("need")).select(*keys, "template", "label", (common / F.size("ranks")).alias("containment"))
 
 
+def window_join(texts: DataFrame, templates: DataFrame, threshold: str = THRESHOLD) -> DataFrame:
+    """(key columns of texts, template, label, containment): the best window of each text for each template that a window of
+    width consecutive words reaches, exactly. texts: key columns and w (words in order, an array).
+
+    A window that reaches the threshold holds a token of the template's prefix, so only windows around such tokens are made,
+    and only where all words that these windows can hold reach it together. Equal texts with equal keys give one row.
+    """
+    share = Fraction(threshold)
+    keys = [c for c in texts.columns if c != "w"]
+    rows = templates.collect()
+    vocabulary = {t for r in rows for t in r["tokens"]}
+    if len(vocabulary) > MAX_TOKENS:
+        raise ValueError(f"templates have more than {MAX_TOKENS} distinct tokens; scan them in parts")
+    if not vocabulary:
+        return texts.select(*keys, F.lit(0).alias("template"), F.lit("").alias("label"), F.lit(0.0).alias("containment")).where(F.lit(False))
+    # any order of tokens will do; those in few templates, then the long ones, stand in for the rare ones
+    times = {t: sum(t in r["tokens"] for r in rows) for t in vocabulary}
+    index = []
+    for r in rows:
+        ordered = sorted(r["tokens"], key=lambda t: (times[t], -len(t), t))
+        need = -(-len(ordered) * share.numerator // share.denominator)
+        index += [(t, r["template"], r["label"], ordered, need, r["width"]) for t in ordered[: len(ordered) - need + 1]]
+    prefix = sorted({t for t, *_ in index})
+    index = texts.sparkSession.createDataFrame(index, "token string, template int, label string, tokens array<string>, need int, span int")
+    reach = max(r["width"] for r in rows)
+    live = texts.where(F.arrays_overlap("w", F.array(*[F.lit(t) for t in prefix])))
+    around = F.filter(
+        F.transform("w", lambda x, i: F.when(x.isin(prefix), F.struct(x.alias("token"), F.least(i, F.lit(reach - 1)).alias("before"), F.slice("w", F.greatest(F.lit(1), i - (reach - 2)), F.least(i, F.lit(reach - 1)) + reach).alias("near")))),
+        lambda a: a.isNotNull(),
+    )
+    probe = live.select(*keys, F.inline(around)).join(F.broadcast(index), "token")
+    first = F.greatest(F.lit(1), F.col("before") - F.col("span") + 2)
+    near = F.slice("near", first, F.col("before") + 1 - first + F.col("span"))
+    probe = probe.withColumn("last", F.col("before") + 2 - first).withColumn("near", near).where(F.size(F.array_intersect("near", "tokens")) >= F.col("need"))
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("last")), lambda i: F.size(F.array_intersect(F.slice("near", i, F.col("span")), F.col("tokens")))))
+    found = probe.select(*keys, "template", "label", "need", F.size("tokens").alias("size"), best.alias("common")).where("common >= need")
+    return found.groupBy(*keys, "template", "label").agg(F.max(F.col("common") / F.col("size")).alias("containment"))
+
+
 def scan_licenses(docs: DataFrame, templates=None, threshold: str = THRESHOLD) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_words, places, notices (array of (label, containment)), score.
 
-    Null texts count as empty and have no words and no labels. Blocks are the lines of a text, of any length. Repeated
-    rows and rows with null or repeated ids give one row each; other columns are not read. score: 1 with a base label,
+    Null texts count as empty and have no words and no labels. Blocks are the lines of a text, of any length, and its word
+    windows over line ends. Repeated rows and rows with null or repeated ids give one row each; other columns are not read. score: 1 with a base label,
     else the best containment, else 0.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64("text").alias("print"))
     lines = rows.select("doc_id", "print", F.explode(F.split("text", "\n", -1)).alias("line"))
     blocks = lines.select("doc_id", "print", F.array_distinct(words(F.col("line"))).alias("tokens"))
-    pairs = containment_join(blocks, template_table(spark, templates), threshold)
+    known = template_table(spark, templates)
+    pairs = containment_join(blocks, known.drop("width"), threshold)
+    # windows inside one line are part of its block
+    wrapped = rows.where(F.contains("text", F.lit("\n"))).select("doc_id", "print", words(F.col("text")).alias("w"))
+    pairs = pairs.unionByName(window_join(wrapped, known, threshold))
     notices = pairs.groupBy("doc_id", "print", "label").agg(F.max("containment").alias("containment")).groupBy(F.col("doc_id").alias("id"), F.col("print").alias("p"))
     notices = written(notices.agg(F.collect_list(F.struct("label", "containment")).alias("notices")))
     base = base_labels(rows).select("doc_id", "print", "n_words", "places")
