@@ -1,17 +1,20 @@
 """Line dedup by a deletion-neighbourhood join (operator 6).
 
 Two lines are near when one word inserted, deleted or replaced makes one of them the other; A-Z is lower-cased, words stand
-between white space, and lines of fewer than MIN_WORDS words only count as near when they are equal. A line is dropped when
+between white space. Where the shorter has fewer than MIN_WORDS words, the edit is one character instead, other than a digit
+(which tells numbered lines apart), of lines of MIN_CHARS characters at least, one space between words. A line is dropped when
 an equal or near line occurs earlier (by doc_id, then line number) anywhere in the corpus; blank lines stay.
 
 Equal lines are collapsed first. A near pair shares its first or its last half, so lines that share a half with no other line
-are out; the rest emit all variants with one word deleted, as hashed keys. A key with the place of the deletion joins
-lines that differ in that word, one without it joins a line to those that have a word more. Every key group is only asked
+are out; the rest emit all variants with one word (short lines: one character) deleted, as hashed keys. A key with the place of the deletion joins
+lines that differ in that place, one without it joins a line to those that have one more. Every key group is only asked
 for its earliest line, by map-side minimums and an equi-join, so a group's size does not matter; the pair is then verified.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from loam.llm.common import small_batches, table, text_or_empty, written
 from loam.llm.wordhash import _power, mix, pieces, word_hashes, word_spans
 
-MIN_WORDS = 8
+MIN_WORDS, MIN_CHARS = 8, 10
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -54,12 +57,26 @@ def _half(m: np.ndarray) -> np.ndarray:
     return m // 2
 
 
+def _normal(line: str) -> str:
+    return b" ".join(line.encode().lower().split()).decode()
+
+
+def _key(kind: str, text: str) -> int:
+    return int.from_bytes(blake2b(f"{kind} {text}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _char_halves(text: str) -> list[int]:
+    """The keys of a short line's halves, as the shorter and as the longer of a pair."""
+    return [_key(f"{end}{m}", text[: m // 2] if end == "first" else text[len(text) - m // 2 :]) for m in (len(text), len(text) - 1) for end in ("first", "last")]
+
+
 LINE_SHAPE = "doc long, print long, line int, n int, h1 long, h2 long, halves array<long>"
 
 
 def _hashed(batches):
     schema = pa.schema([("doc", pa.int64()), ("print", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("halves", pa.list_(pa.int64()))])
     for batch in batches:
+        texts = batch.column("text").to_pylist()
         for first, _, row, number, w, bounds in _lines(batch.column("text")):
             a, b = bounds[:-1], bounds[1:]
             n = b - a
@@ -71,8 +88,19 @@ def _hashed(batches):
                 length = m.astype(np.uint64) * _SECOND  # keys only meet when they stand for the same shorter length
                 keys += [mix(one(a, a + q) + length + np.uint64(1)), mix(one(b - q, b) + length + np.uint64(2))]
             wide = n >= MIN_WORDS
-            flat = np.stack(keys, 1)[wide].ravel().astype(np.int64)
-            halves = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(4 * wide))).astype(np.int32)), pa.array(flat))
+            short = np.zeros(len(n), bool)
+            chars, at, lines = [], -1, []
+            for k in np.flatnonzero((n > 0) & (n <= MIN_WORDS)):  # a line of MIN_WORDS words may lose a space
+                if row[k] != at:
+                    at, lines = row[k], texts[first + row[k]].split("\n")
+                if len(line := _normal(lines[number[k]])) >= MIN_CHARS:
+                    short[k] = True
+                    chars.append(_char_halves(line))
+            ends = np.concatenate(([0], np.cumsum(4 * wide + 4 * short)))
+            flat = np.zeros(ends[-1], np.int64)
+            flat[ends[:-1][wide][:, None] + np.arange(4)] = np.stack(keys, 1)[wide].astype(np.int64)
+            flat[(ends[:-1] + 4 * wide)[short][:, None] + np.arange(4)] = np.array(chars, np.int64).reshape(-1, 4)
+            halves = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             take = pa.array(first + row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc").take(take), batch.column("print").take(take), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(mix(one(a, b)).astype(np.int64)), pa.array(mix(two(a, b) ^ _SECOND).astype(np.int64)), halves], schema=schema
@@ -91,8 +119,10 @@ def _picked(batches):
 
 
 def _variants(batches):
-    """(doc, print, line, key, at): the line itself (at -1) and the line without each of its words (at: the word's place)."""
+    """(doc, print, line, key, at): the line itself (at -1) and the line without each of its words (at: the word's place), and
+    for short lines the same by characters other than digits."""
     for batch in batches:
+        texts = batch.column("text").to_pylist()
         for first, n, _, _, w, bounds in _lines(batch.column("text")):
             a, b = bounds[:-1], bounds[1:]
             s, one = _sums(w)
@@ -102,7 +132,19 @@ def _variants(batches):
             without = ((s[i] - s[a[line]]) + (s[b[line]] - s[i + 1]) * down[1]) * down[a[line]]
             key = np.concatenate((mix(one(a, b)), mix(without))).astype(np.int64)
             at = np.concatenate((np.full(n, -1), i - a[line])).astype(np.int32)
-            take = pa.array(first + np.concatenate((np.arange(n), line)))
+            take = first + np.concatenate((np.arange(n), line))
+            wide = (b - a)[take - first] >= MIN_WORDS
+            take, key, at = take[wide], key[wide], at[wide]
+            more = []
+            for k in np.flatnonzero((b - a > 0) & (b - a <= MIN_WORDS)):
+                text = _normal(texts[first + k])
+                if len(text) >= MIN_CHARS:
+                    more.append((first + k, _key("chars", text), -1))
+                    more += [(first + k, _key("chars", text[:i] + text[i + 1 :]), i) for i, c in enumerate(text) if not c.isdigit()]
+            if more:
+                more = np.array(more, np.int64)
+                take, key, at = np.concatenate((take, more[:, 0])), np.concatenate((key, more[:, 1])), np.concatenate((at, more[:, 2].astype(np.int32)))
+            take = pa.array(take)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("doc", "print", "line")] + [pa.array(key), pa.array(at)], ["doc", "print", "line", "key", "at"])
 
 
@@ -118,9 +160,28 @@ def near_lines(a: str, b: str) -> bool:
     return max(len(x), len(y)) - k - e <= 1
 
 
+def near_chars(a: str, b: str) -> bool:
+    """Whether at most one character, no digit, is inserted, deleted or replaced between the lines of MIN_CHARS at least."""
+    x, y = _normal(a), _normal(b)
+    if min(len(x), len(y)) < MIN_CHARS:
+        return False
+    k = 0
+    while k < min(len(x), len(y)) and x[k] == y[k]:
+        k += 1
+    e = 0
+    while e < min(len(x), len(y)) - k and x[-1 - e] == y[-1 - e]:
+        e += 1
+    return max(len(x), len(y)) - k - e <= 1 and not any(c.isdigit() for c in x[k : len(x) - e] + y[k : len(y) - e])
+
+
+def near(a: str, b: str) -> bool:
+    short = min(len(a.encode().split()), len(b.encode().split())) < MIN_WORDS
+    return near_chars(a, b) if short else near_lines(a, b)
+
+
 def _checked(batches):
     for batch in batches:
-        ok = [near_lines(a, b) for a, b in zip(batch.column("text").to_pylist(), batch.column("text2").to_pylist(), strict=True)]
+        ok = [near(a, b) for a, b in zip(batch.column("text").to_pylist(), batch.column("text2").to_pylist(), strict=True)]
         yield batch.filter(pa.array(ok, pa.bool_())).select(["doc", "print", "line", "other"])
 
 
