@@ -1,14 +1,20 @@
-"""Pieces that several operators share: shared storage, tree sums, components, ASCII case folding."""
+"""Pieces that several operators share: shared storage, checked broadcasts, row keys, components, ASCII case folding."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows that may be broadcast, of a few numbers each; a larger side is joined by shuffling.
+BROADCAST_ROWS = 1 << 19
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,26 +22,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, which only a local
+    master can use; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='loam-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Bound the documents in one Arrow batch, so that a worker's memory does not depend on how long they are on average, for
+    what runs inside the block; the session's setting comes back after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and is not computed twice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loam/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing reads any more: all that came from them is written itself."""
+    for df in tables:
+        if path := _folders.pop(df, None):
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if it has at most that many rows; else the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like that one which df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_print(df: DataFrame | None = None) -> Column:
+    """64-bit hash of the text, null as empty: with doc_id it names a row's content."""
+    return F.xxhash64(F.coalesce(df["text"] if df is not None else F.col("text"), F.lit("")))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the documents in one Arrow batch, so that a worker's memory does not depend on how long they are on average."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose id and text are those of dropped(doc_id, print); null ids count as equal. All columns."""
+    gone = checked(written(dropped.select(F.col("doc_id").alias("gone_id"), F.col("print").alias("gone_print")).distinct()))
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (text_print(docs) == gone["gone_print"])
+    return docs.join(gone, same, "left_anti")
 
 
 def ascii_lower(text):
@@ -72,4 +125,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        e = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().transform(written)
+        last, e = e, small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().transform(written)
+        discard(last)

@@ -5,10 +5,11 @@ between white space. Where the shorter has fewer than MIN_WORDS words, the edit
 (which tells numbered lines apart), of lines of MIN_CHARS characters at least, one space between words. A line is dropped when
 an equal or near line occurs earlier (by doc_id, then line number) anywhere in the corpus; blank lines stay.
 
-Equal lines are collapsed first. A near pair shares its first or its last half, so lines that share a half with no other line
-are out; the rest emit all variants with one word (short lines: one character) deleted, as hashed keys. A key with the place of the deletion joins
-lines that differ in that place, one without it joins a line to those that have one more. Every key group is only asked
-for its earliest line, by map-side minimums and an equi-join, so a group's size does not matter; the pair is then verified.
+Equal lines, by two independent 64-bit hashes and their length, are collapsed first. A near pair shares its first or its last
+half, so lines that share a half with no other line are out; the rest emit the variants with one word (short lines: one
+character) deleted outside a shared half, as hashed keys. A key with the place of the deletion joins lines that differ in that
+place, one without it joins a line to those that have one more. Every key group is only asked for its earliest line, by
+map-side minimums and an equi-join, so a group's size does not matter; the pair is then verified.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import small_batches, table, text_or_empty, written
-from loam.llm.wordhash import _power, mix, pieces, word_hashes, word_spans
+from loam.llm.common import checked, discard, fresh, table, text_or_empty, written
+from loam.llm.wordhash import mix, pieces, sequence_values, word_hashes, word_spans
 
 MIN_WORDS, MIN_CHARS = 8, 10
-_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+_SECOND = 0xC2B2AE3D27D4EB4F
 
 
 def _lines(column: pa.Array):
-    """(first row, rows, row, line number in the row, word hashes, bounds by line) per piece of the column."""
+    """(first row, rows, row, line number in the row, bytes, word starts, word ends, bounds by line) per piece of the column."""
     for first, data, offsets in pieces(column):
         cuts = np.flatnonzero(data == 10)
         n = len(offsets) - 1
@@ -40,16 +41,13 @@ def _lines(column: pa.Array):
         number = np.arange(len(row)) - np.searchsorted(row, row)
         edges = np.concatenate((at, [len(data)]))
         start, end, _ = word_spans(data, offsets)
-        bounds = np.searchsorted(start, edges)
-        yield first, n, row, number, word_hashes(data, start, end), bounds
+        yield first, n, row, number, data, start, end, np.searchsorted(start, edges)
 
 
-def _sums(w: np.ndarray):
-    """hash(a, b) of the word sequences [a, b), by powers and prefix sums."""
-    up, down = _power(len(w) + 1)
-    s = np.zeros(len(w) + 1, np.uint64)
-    np.cumsum(w * up[: len(w)], out=s[1:])
-    return s, lambda a, b: (s[b] - s[a]) * down[a]
+def _sums(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x, out=out[1:])
+    return out
 
 
 def _half(m: np.ndarray) -> np.ndarray:
@@ -74,28 +72,32 @@ LINE_SHAPE = "doc long, print long, line int, n int, h1 long, h2 long, halves ar
 
 
 def _hashed(batches):
+    """The lines of documents in LINE_SHAPE. halves: the keys of the first and the last half, as the shorter line of a pair and
+    as the longer; by words (lines of MIN_WORDS words at least), and behind them by characters (lines of at most MIN_WORDS)."""
     schema = pa.schema([("doc", pa.int64()), ("print", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("halves", pa.list_(pa.int64()))])
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for first, _, row, number, w, bounds in _lines(batch.column("text")):
+        for first, _, row, number, data, start, end, bounds in _lines(batch.column("text")):
             a, b = bounds[:-1], bounds[1:]
             n = b - a
-            _, one = _sums(w)
-            _, two = _sums(mix(w ^ _SECOND))
+            w = word_hashes(data, start, end)
+            i, line = np.arange(len(w)), np.repeat(np.arange(len(n)), n)
+            ahead, behind = _sums(sequence_values(w, i - a[line])), _sums(sequence_values(w, b[line] - 1 - i))
+            other = _sums(sequence_values(word_hashes(data, start, end, _SECOND), i - a[line]))
             keys = []
             for m in (n, n - 1):
                 q = np.maximum(_half(m), 0)
-                length = m.astype(np.uint64) * _SECOND  # keys only meet when they stand for the same shorter length
-                keys += [mix(one(a, a + q) + length + np.uint64(1)), mix(one(b - q, b) + length + np.uint64(2))]
+                length = m.astype(np.uint64) * np.uint64(_SECOND)  # keys only meet when they stand for the same shorter length
+                keys += [mix(ahead[a + q] - ahead[a] + length + np.uint64(1)), mix(behind[b] - behind[b - q] + length + np.uint64(2))]
             wide = n >= MIN_WORDS
             short = np.zeros(len(n), bool)
             chars, at, lines = [], -1, []
             for k in np.flatnonzero((n > 0) & (n <= MIN_WORDS)):  # a line of MIN_WORDS words may lose a space
                 if row[k] != at:
                     at, lines = row[k], texts[first + row[k]].split("\n")
-                if len(line := _normal(lines[number[k]])) >= MIN_CHARS:
+                if len(text := _normal(lines[number[k]])) >= MIN_CHARS:
                     short[k] = True
-                    chars.append(_char_halves(line))
+                    chars.append(_char_halves(text))
             ends = np.concatenate(([0], np.cumsum(4 * wide + 4 * short)))
             flat = np.zeros(ends[-1], np.int64)
             flat[ends[:-1][wide][:, None] + np.arange(4)] = np.stack(keys, 1)[wide].astype(np.int64)
@@ -103,49 +105,56 @@ def _hashed(batches):
             halves = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             take = pa.array(first + row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(take), batch.column("print").take(take), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(mix(one(a, b)).astype(np.int64)), pa.array(mix(two(a, b) ^ _SECOND).astype(np.int64)), halves], schema=schema
+                [batch.column("doc").take(take), batch.column("print").take(take), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(mix(ahead[b] - ahead[a]).astype(np.int64)), pa.array(mix(other[b] - other[a]).astype(np.int64)), halves], schema=schema
             )
 
 
 def _picked(batches):
-    """The wanted lines of documents: rows (doc, text, wanted) to (doc, print, line, text)."""
+    """The wanted lines of documents: rows (text, wanted) to (id, mask, text)."""
     for batch in batches:
         out = []
-        for doc, mark, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "print", "text", "wanted")), strict=True):
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             lines = text.split("\n")
-            out += [(doc, mark, k, lines[k]) for k in wanted]
+            out += [(w["id"], w["mask"], lines[w["line"]]) for w in wanted]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc", "print", "line", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], ["id", "mask", "text"])
+
+
+def _outside(mask, n):
+    """(low, high): deletions at places from low on, and below high, lie outside a half that the mask says is shared.
+
+    Bits: first half, last half as the shorter line of a pair; the same as the longer one."""
+    low = np.minimum(np.where(mask & 1, n // 2, n), np.where(mask & 4, (n - 1) // 2, n))
+    return low, np.maximum(np.where(mask & 2, n - n // 2, 0), np.where(mask & 8, n - (n - 1) // 2, 0))
 
 
 def _variants(batches):
-    """(doc, print, line, key, at): the line itself (at -1) and the line without each of its words (at: the word's place), and
-    for short lines the same by characters other than digits."""
+    """(id, key, at): the line itself (at -1) and the line without one of its words (at: the word's place), and for short lines
+    the same by characters other than digits; only what can meet a line that shares a half."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for first, n, _, _, w, bounds in _lines(batch.column("text")):
-            a, b = bounds[:-1], bounds[1:]
-            s, one = _sums(w)
-            _, down = _power(len(w) + 1)
-            line = np.repeat(np.arange(n), b - a)
-            i = np.arange(len(w))
-            without = ((s[i] - s[a[line]]) + (s[b[line]] - s[i + 1]) * down[1]) * down[a[line]]
-            key = np.concatenate((mix(one(a, b)), mix(without))).astype(np.int64)
-            at = np.concatenate((np.full(n, -1), i - a[line])).astype(np.int32)
-            take = first + np.concatenate((np.arange(n), line))
-            wide = (b - a)[take - first] >= MIN_WORDS
-            take, key, at = take[wide], key[wide], at[wide]
+        texts, masks = batch.column("text").to_pylist(), batch.column("mask").to_numpy()
+        for first, n, _, _, data, start, end, bounds in _lines(batch.column("text")):
+            w, a, b = word_hashes(data, start, end), bounds[:-1], bounds[1:]
+            line, i = np.repeat(np.arange(n), b - a), np.arange(len(w))
+            place, mask = i - a[line], masks[first : first + n]
+            ahead, moved = _sums(sequence_values(w, place)), _sums(sequence_values(w, place - 1))
+            without = mix(ahead[i] - ahead[a[line]] + moved[b[line]] - moved[i + 1])
+            low, high = _outside(mask & 15, b - a)
+            cut, whole = (place >= low[line]) | (place < high[line]), (mask & 3) > 0
+            take = np.concatenate((np.flatnonzero(whole), line[cut]))
+            key = np.concatenate((mix(ahead[b] - ahead[a])[whole], without[cut])).astype(np.int64)
+            at = np.concatenate((np.full(int(whole.sum()), -1), place[cut]))
             more = []
-            for k in np.flatnonzero((b - a > 0) & (b - a <= MIN_WORDS)):
+            for k in np.flatnonzero(mask >> 4):
                 text = _normal(texts[first + k])
-                if len(text) >= MIN_CHARS:
-                    more.append((first + k, _key("chars", text), -1))
-                    more += [(first + k, _key("chars", text[:i] + text[i + 1 :]), i) for i, c in enumerate(text) if not c.isdigit()]
+                low, high = _outside(mask[k] >> 4, len(text))
+                if mask[k] >> 4 & 3:
+                    more.append((k, _key("chars", text), -1))
+                more += [(k, _key("chars", text[:i] + text[i + 1 :]), i) for i, c in enumerate(text) if (i >= low or i < high) and not c.isdigit()]
             if more:
                 more = np.array(more, np.int64)
-                take, key, at = np.concatenate((take, more[:, 0])), np.concatenate((key, more[:, 1])), np.concatenate((at, more[:, 2].astype(np.int32)))
-            take = pa.array(take)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("doc", "print", "line")] + [pa.array(key), pa.array(at)], ["doc", "print", "line", "key", "at"])
+                take, key, at = np.concatenate((take, more[:, 0])), np.concatenate((key, more[:, 1])), np.concatenate((at, more[:, 2]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(first + take)), pa.array(key), pa.array(at.astype(np.int32))], ["id", "key", "at"])
 
 
 def near_lines(a: str, b: str) -> bool:
@@ -182,29 +191,36 @@ def near(a: str, b: str) -> bool:
 def _checked(batches):
     for batch in batches:
         ok = [near(a, b) for a, b in zip(batch.column("text").to_pylist(), batch.column("text2").to_pylist(), strict=True)]
-        yield batch.filter(pa.array(ok, pa.bool_())).select(["doc", "print", "line", "other"])
+        yield batch.filter(pa.array(ok, pa.bool_())).select(["id", "other"])
 
 
 PLACE = ["doc", "print", "line"]
 
 
 def near_earlier(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(doc, print, line, other): for the first occurrence of a line, an earlier near line, the earliest of a key group."""
-    half = firsts.where("n > 0").select("first", "h1", F.explode("halves").alias("key"))
-    shared = half.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low != high").select("key")
-    wanted = half.join(shared, "key", "left_semi").select("first.*").distinct().groupBy("doc", "print").agg(F.sort_array(F.collect_list("line")).alias("wanted"))
-    lines = written(docs.join(wanted, ["doc", "print"]).dropDuplicates(["doc", "print"]).mapInArrow(_picked, "doc long, print long, line int, text string"))
-    variants = written(lines.mapInArrow(_variants, "doc long, print long, line int, key long, at int")).withColumn("place", F.struct(*PLACE))
-    replaced = variants.where("at >= 0").groupBy("key", "at").agg(F.min("place").alias("other"), F.count("*").alias("size")).where("size > 1").drop("size")
-    longer = variants.groupBy("key").agg(F.min(F.when(F.col("at") < 0, F.col("place"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("place"))).alias("cut"))
-    longer = longer.where("whole IS NOT NULL AND cut IS NOT NULL")
-    found = variants.join(replaced, ["key", "at"]).select("place", "other")
-    found = found.unionByName(variants.join(longer, "key").select("place", F.when(F.col("at") < 0, F.col("cut")).otherwise(F.col("whole")).alias("other")))
-    pairs = found.where(F.col("other") < F.col("place")).distinct().select("place.*", "other")
-    other = lines.select(F.struct(*PLACE).alias("other"), F.col("text").alias("text2"))
-    texts = pairs.join(lines, PLACE).join(other, "other").select(*PLACE, "text", "text2", "other")
-    checked = texts.mapInArrow(_checked, "doc long, print long, line int, other struct<doc:long,print:long,line:int>")
-    return checked.groupBy(*PLACE).agg(F.min("other").alias("other"))
+    """(first, near): for the first occurrence of a line, an earlier near line, the earliest of a key group; both are places."""
+    half = firsts.select("number", "n", F.posexplode("halves").alias("role", "key"))
+    half = half.select("number", "key", F.when(F.col("n") < MIN_WORDS, F.col("role") + 4).otherwise(F.col("role")).alias("role"))
+    shared = half.groupBy("key").agg(F.count("*").alias("f")).where("f > 1").select("key")
+    marked = half.join(shared, "key", "left_semi").groupBy("number").agg(F.expr("bit_or(shiftleft(1, role))").alias("mask"))
+    # ids in the order of the places, so that the smaller id is the earlier line
+    wanted = written(marked.join(firsts.select("number", "first"), "number").select("first.*", "mask").orderBy(*PLACE).withColumn("id", F.monotonically_increasing_id()))
+    by_text = wanted.groupBy("doc", "print").agg(F.collect_list(F.struct("id", "line", "mask")).alias("wanted"))
+    lines = written(docs.join(by_text, ["doc", "print"]).dropDuplicates(["doc", "print"]).select("text", "wanted").mapInArrow(_picked, "id long, mask int, text string"))
+    variants = written(lines.mapInArrow(_variants, "id long, key long, at int"))
+    cut, whole = variants.where("at >= 0"), variants.where("at < 0").select("id", "key")
+    least = written(cut.groupBy("key", "at").agg(F.min("id").alias("other"), F.count("*").alias("size")).where("size > 1").drop("size"))
+    longer = written(cut.select("id", "key").join(whole.groupBy("key").agg(F.min("id").alias("whole")), "key"))
+    found = cut.join(checked(least), ["key", "at"]).select("id", "other").unionByName(longer.select("id", F.col("whole").alias("other")))
+    found = found.unionByName(whole.join(longer.groupBy("key").agg(F.min("id").alias("other")), "key").select("id", "other"))
+    pairs = written(found.where("other < id").distinct())
+    discard(variants, least, longer)
+    texts = pairs.join(lines.select("id", "text"), "id").join(lines.select(F.col("id").alias("other"), F.col("text").alias("text2")), "other")
+    near = written(texts.select("id", "other", "text", "text2").mapInArrow(_checked, "id long, other long").groupBy("id").agg(F.min("other").alias("other")))
+    place = lambda name: wanted.select(F.col("id").alias(name), F.struct(*PLACE).alias(f"{name}_place"))
+    out = written(near.join(place("id"), "id").join(place("other"), "other").select(F.col("id_place").alias("first"), F.col("other_place").alias("near")))
+    discard(wanted, lines, pairs, near)
+    return out
 
 
 def line_duplicates(docs: DataFrame) -> DataFrame:
@@ -214,16 +230,17 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     blank line. Rows that repeat an id and a text are one document; those with one id and different texts come in the order
     of their hash. A null id comes first. Other columns are not read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     null = F.lit(-(2**63))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), null).alias("doc"), text_or_empty().alias("text")).withColumn("print", F.xxhash64("text"))
     lines = written(rows.mapInArrow(_hashed, LINE_SHAPE))
     same = ["n", "h1", "h2"]
-    firsts = written(lines.where("n > 0").groupBy(*same).agg(F.min(F.struct(*PLACE)).alias("first"), F.min("halves").alias("halves")))
-    near = written(near_earlier(rows, firsts)).select(F.struct(*PLACE).alias("first"), F.col("other").alias("near"))
-    kept = firsts.select(*same, "first").join(near, "first", "left")
-    found = lines.where("n > 0").select(*PLACE, *same).join(kept, same)
+    firsts = lines.where("n > 0").groupBy(*same).agg(F.min(F.struct(*PLACE)).alias("first"), F.min("halves").alias("halves"), F.count("*").alias("times"))
+    firsts = written(firsts.withColumn("number", F.monotonically_increasing_id()))
+    near = near_earlier(rows, firsts)
+    # only groups of which a line goes: those with more than one occurrence, and those with a near line before them
+    kept = written(firsts.select(*same, "first", "times").join(checked(near), "first", "left").where("times > 1 OR near IS NOT NULL").drop("times"))
+    discard(near, firsts)
+    found = lines.where("n > 0").select(*PLACE, *same).join(checked(kept), same)
     drop = found.where((F.struct(*PLACE) != F.col("first")) | F.col("near").isNotNull())
     keep = F.when(F.struct(*PLACE) != F.col("first"), F.col("first")).otherwise(F.col("near"))
     drop = drop.select(*PLACE, F.when(F.struct(*PLACE) != F.col("first"), "equal").otherwise("near").alias("kind"), keep.alias("keep")).distinct()
@@ -232,14 +249,16 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_duplicate_lines(docs: DataFrame) -> DataFrame:
-    """docs with n_lines, dropped (array of line numbers) and the text of the other lines; one row per row."""
-    drop = line_duplicates(docs).groupBy(F.col("doc_id").alias("id"), F.col("print").alias("p")).agg(F.array_sort(F.collect_list("line")).alias("dropped"))
-    rows = docs.withColumn("text", text_or_empty())
-    out = rows.join(drop, rows["doc_id"].eqNullSafe(drop["id"]) & (F.xxhash64(rows["text"]) == drop["p"]), "left")
-    out = out.withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>"))).withColumn("_lines", F.split("text", "\n", -1))
-    kept = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("dropped", i)), "\n")
-    out = out.withColumn("n_lines", F.size("_lines")).withColumn("text", F.when(F.size("dropped") > 0, kept).otherwise(F.col("text")))
-    return out.select(*docs.columns, *[c for c in ("n_lines", "dropped") if c not in docs.columns])
+    """docs with the text of the lines that stay, and two columns more: n_lines, and dropped (array of line numbers); one row
+    per row. Where docs has a column of such a name, the new one has an underscore behind it."""
+    n_lines, dropped = fresh(docs, "n_lines"), fresh(docs, "dropped")
+    drop = line_duplicates(docs).groupBy(F.col("doc_id").alias("gone_id"), F.col("print").alias("gone_print")).agg(F.array_sort(F.collect_list("line")).alias("gone_lines"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    out = docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(drop["gone_id"]) & (F.xxhash64(text) == drop["gone_print"]), "left")
+    gone, lines = F.coalesce(drop["gone_lines"], F.array().cast("array<int>")), F.split(text, "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    own = [F.when(F.size(gone) > 0, kept).otherwise(text).alias("text") if c == "text" else docs[c] for c in docs.columns]
+    return out.select(*own, F.size(lines).alias(n_lines), gone.alias(dropped))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import held_out, small_batches, table
+from loam.llm.common import held_out, table
 from loam.llm.wordhash import mix, word_hashes
 
 WINDOW, STRIDE = 48, 36
@@ -279,14 +279,16 @@ def _scored(shared):
     return run
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The model for labelled rows outside the held-out fifth: at most SAMPLE_TOXIC of label 1 and SAMPLE_CLEAN of label 0, by
-    the order of a hash of doc_id, texts of at most SAMPLE_CHARS code points. A document is toxic if any of its rows says so;
-    null labels teach nothing. Only the chosen ids are broadcast."""
+def fit_sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, chars: int = SAMPLE_CHARS) -> dict | None:
+    """The model for labelled rows outside the held-out fifth: at most `toxic` of label 1 and `clean` of label 0, by the order of
+    a hash of doc_id, of these the texts of at most `chars` code points; a bounded sample of whole texts, whatever the input. A
+    document is toxic if any of its rows says so; null labels teach nothing, a null text is empty, and of several texts of one
+    id the smallest is taken. Only the chosen ids are broadcast."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = lambda k, n: known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = some(1, SAMPLE_TOXIC).unionByName(some(0, SAMPLE_CLEAN))
-    rows = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    chosen = some(1, toxic).unionByName(some(0, clean))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
     return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
 
 
@@ -297,14 +299,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     the training share of label 1 (below 0.5); without labels every score is 0. Repeated rows get a row each, null ids stay.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(fit_sample(docs, labels))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(shared), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose text scores below the threshold; one scan, no shuffle."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit_sample(docs, labels))
 
     def keep(batches):

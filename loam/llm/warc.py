@@ -153,13 +153,13 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """One archive per partition of pages(page_id, url, html), of about ARCHIVE_BYTES of payload. The pages are shuffled once,
     to their archive; what is a revisit joins them there."""
     spark = pages.sparkSession
-    small_batches(spark)
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     key = ["page_id", "digest"]
     rows = pages.withColumn("digest", F.sha1("html")).repartition(max(spark.sparkContext.defaultParallelism, -(-total // ARCHIVE_BYTES)), *key)
     packed = rows.join(revisits(pages), key, "left").select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_archive, "value binary")
-    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    with small_batches(spark):
+        packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
 #: Text bytes worked on at a time; a longer text is a piece of its own.
 PIECE = 2 << 20
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Places of a word with table values of their own; values beyond are computed.
+PLACES = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,30 +21,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """(white space by byte, value by byte); A-Z have the values of a-z."""
+def space_bytes() -> np.ndarray:
+    """Whether a byte is white space, by byte."""
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
-    value = mix(np.arange(1, 257, dtype=np.uint64) * _P)
-    value[65:91] = value[97:123]
-    return space, value
-
-
-_powers: dict[str, np.ndarray] = {}
+    return space
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, PIECE + 1)
-        for name, base in (("up", _P), ("down", _P_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    if len(_powers["up"]) > 4 * PIECE >= n:  # do not keep what one very long text needed
-        _powers.clear()
-        return _power(n)
-    return _powers["up"], _powers["down"]
+def byte_values(seed: int = 0) -> np.ndarray:
+    """A random-looking value for each place in a word (the first PLACES of them) and byte; A-Z have the values of a-z."""
+    value = mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * _STEP + np.uint64(seed)).reshape(PLACES, 256)
+    value[:, 65:91] = value[:, 97:123]
+    return value
 
 
 def pieces(column: pa.Array, limit: int = PIECE):
@@ -64,7 +51,7 @@ def pieces(column: pa.Array, limit: int = PIECE):
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of the words: runs of bytes other than space and \\t to \\r, within a row."""
-    inside = ~_tables()[0][data]
+    inside = ~space_bytes()[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -76,12 +63,28 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, np.flatnonzero(last) + 1, np.searchsorted(offsets, start, "right") - 1
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased: a polynomial over its bytes, mixed with its length."""
-    up, down = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_tables()[1][data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word with A-Z lower-cased: the sum of a random-looking value for every place and byte, mixed with
+    the length (tabulation). No algebra links the places, so words built to cancel out in a polynomial do not meet."""
+    value, n = byte_values(seed), len(data)
+    place = np.ones(n, np.int32)  # sums up to a byte's place in the word that it is in or behind
+    place[start] -= np.diff(start, prepend=-1).astype(np.int32)
+    place = np.cumsum(place, dtype=np.int32)
+    far = np.flatnonzero(place >= PLACES)
+    at = np.minimum(place, PLACES - 1)
+    at *= 256
+    at += data
+    each = value.ravel().take(at)
+    if len(far):
+        each[far] = mix(mix(place[far].astype(np.uint64) * _STEP + np.uint64(seed)) + value[0][data[far]])
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(each, out=sums[1:])
+    return mix(sums[end] - sums[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def sequence_values(words: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What each word adds to the hash of a sequence in which it stands at that place; sums of these are hashes of sequences."""
+    return mix(words + (place.astype(np.uint64) + np.uint64(1)) * _STEP)
 
 
 def hashed_words(column: pa.Array, limit: int = PIECE):
