@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import table, text_or_empty, written
+from loam.llm.common import table, text_or_empty, text_print, written
 
 BLOCK_BYTES = 4096
 
@@ -52,24 +52,24 @@ def block_names(docs: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256; print: the text's 64-bit hash.
 
     keep_id is the largest doc_id among equal texts (null only where no other id is there), group_size their number of
     rows. A null text counts as empty, and empty texts equal each other. A repeated row counts again and is kept if its
     id is; rows with one doc_id and different texts are told apart. Other columns are not read; an empty table gives an
     empty result.
     """
-    row = F.struct("doc_id", F.xxhash64("text").alias("print")).alias("row")
+    row = F.struct("doc_id", text_print().alias("print")).alias("row")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     names = block_names(docs.select(row, "text"), block)
-    named = docs.select("doc_id", row, F.sha2("text", 256).alias("text_sha256")).join(names, "row").drop("row")
-    named = written(named)
+    named = docs.select("doc_id", row, F.sha2("text", 256).alias("text_sha256")).join(names, "row")
+    named = written(named.select("doc_id", "n", "name", "text_sha256", F.col("row.print").alias("print")))
     groups = named.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return named.join(groups, ["n", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return named.join(groups, ["n", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "print")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("print")
 
 
 OP10_SQL = """

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import components, small_batches, table, written
+from loam.llm.common import checked, components, discard, table, text_print, written
 from loam.llm.wordhash import hashed_words, mix
 
 SHINGLE = 5
@@ -106,12 +106,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 
 def _sketch(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sketch", pa.binary())])
     for batch in batches:
         sets = list(shingle_sets(batch.column("text")))
         n = np.array([len(s) for s in sets], np.int64)
         total = lambda salt: np.array([mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
-        columns = [batch.column("doc_id"), pa.array(n), pa.array(total(0x51)), pa.array(total(0xA7C3)), pa.array([registers(s).tobytes() for s in sets], pa.binary())]
+        columns = [batch.column("doc_id"), batch.column("print"), pa.array(n), pa.array(total(0x51)), pa.array(total(0xA7C3)), pa.array([registers(s).tobytes() for s in sets], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
@@ -154,22 +154,25 @@ def _linked(percent: int):
     return verify
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, sorted shingle hashes) of the documents with these ids."""
-    sets = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary")
-    return written(sets.dropDuplicates(["id"]))
+def _sets_of(chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, sorted shingle hashes) of the texts of docs(doc_id, print, text) that chosen(id, first), a written table, names."""
+    wanted = chosen.select("id", F.col("first.doc_id").alias("own"), F.col("first.print").alias("own_print"))
+    here = checked(wanted)
+    texts = docs.join(here, docs["doc_id"].eqNullSafe(here["own"]) & (docs["print"] == here["own_print"])).select("id", "text")
+    sets = written(texts.mapInArrow(_sets, "id long, shingles binary"))
+    return written(sets.dropDuplicates(["id"])) if sets.count() > chosen.count() else sets  # rows may repeat
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, sets: DataFrame | None = None) -> DataFrame:
+def _verified(pairs: DataFrame, chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the estimate and then the comparison of their full sets."""
-    side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    side = lambda s: chosen.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     close = F.col("na") * 100 >= F.col("nb") * percent
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(close & (F.col("nb") * 100 >= F.col("na") * percent))
     near = written(near.mapInArrow(_near(percent), "a long, b long"))
-    if sets is None:
-        sets = _sets_of(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return written(both.mapInArrow(_linked(percent), "a long, b long"))
+    both = checked(near).join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    out = written(both.mapInArrow(_linked(percent), "a long, b long"))
+    discard(near)
+    return out
 
 
 def _exploded(batches):
@@ -204,43 +207,54 @@ def _across(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept; print, stays.
 
     Documents are linked where 100 * |intersection| >= percent * |union| of their distinct 5-word shingles; component_id is
     the smallest doc_id reachable over links, kept says that it is the document's own. Null and empty texts, and texts
-    without words, have no shingles and stand alone. doc_id names a document: repeated rows get a row each and are kept
-    together; a null id is never a component's name unless nothing else is there. Other columns are not read.
+    without words, have no shingles and stand alone. A document is a row: texts that share an id are told apart, repeated
+    rows get a row each, and a null id only names a component where nothing else is there. print is the hash of the text;
+    stays marks one text of each component (repeated rows alike), the smallest id's, and every text without words. Other
+    columns are not read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(docs.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, sketch binary"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_print().alias("print"), "text")
+    rows = written(docs.mapInArrow(_sketch, "doc_id long, print long, n long, k1 long, k2 long, sketch binary"))
     same = ["n", "k1", "k2"]
-    reps = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    reps = rows.where("n > 0").groupBy(*same).agg(F.min(place).alias("first"), F.min("sketch").alias("sketch"))
+    reps = written(reps.withColumn("id", F.monotonically_increasing_id()))
     bands = written(reps.select("id", "sketch").mapInArrow(_bands, "id long, key long"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(bands.join(sizes, "key"))
-    degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
-    members = written(shared.drop("size").join(degree, "id").join(reps.select("id", "n"), "id"))
+    discard(bands)
+    degree = written(shared.groupBy("id").agg(F.sum("size").alias("degree")))
+    chosen = written(reps.join(checked(degree), "id").select("id", "n", "first", "sketch", "degree"))
+    discard(degree)
+    members = written(shared.drop("size").join(chosen.select("id", "n", "degree"), "id"))
+    discard(shared)
     first = lambda *order: F.min(F.struct(*order, F.col("id").alias("leader")))["leader"]
     leaders = members.groupBy("key").agg(first(-F.col("degree")).alias("central"), first(F.xxhash64("id", "key")).alias("other"))
-    members = written(members.join(leaders, "key").select("key", "id", "n", "central", "other"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    star = members.select("id", F.explode(F.array("central", "other")).alias("leader")).where("id != leader").select(*pair(F.col("id"), F.col("leader"))).distinct()
-    links = _verified(star, reps, docs, percent)
+    star = members.join(leaders, "key").select("id", F.explode(F.array("central", "other")).alias("leader")).where("id != leader").select(*pair(F.col("id"), F.col("leader"))).distinct()
+    sets = _sets_of(chosen, docs)
+    links = _verified(star, chosen, sets, percent)
     labels = components(links)
     # links the stars may have missed: members of one bucket that are in different components
     named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     mixed = written(named.join(spread, "key", "left_semi").select("id", "n", "component").distinct())
-    sets = _sets_of(mixed.select("id"), docs)
-    more = _verified(_across(mixed, sets, percent), reps, docs, percent, sets)
+    discard(members)
+    more = _verified(_across(mixed, sets.join(checked(mixed.select("id")), "id", "left_semi"), percent), chosen, sets, percent)
+    discard(sets, chosen, mixed)
     if more.limit(1).count():
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    classes = reps.select(*same, "id").join(labels, "id", "left").select(*same, F.coalesce("component", "id").alias("class"))
-    out = rows.select("doc_id", *same).join(classes, same, "left").withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    linked = labels.unionByName(labels.select(F.col("component").alias("id"), "component").distinct())
+    heads = linked.join(reps.select("id", "first"), "id").groupBy("component").agg(F.min("first").alias("head"))
+    heads = written(linked.join(heads, "component").select("id", "head"))
+    classes = reps.select(*same, "id", "first").join(checked(heads), "id", "left").select(*same, F.coalesce("head", "first").alias("head"))
+    out = rows.select("doc_id", "print", *same).join(classes, same, "left")
+    component = F.when(F.col("n") > 0, F.col("head.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "print", ((F.col("n") == 0) | (place == F.col("head"))).alias("stays"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
