@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loam.llm.common import small_batches, table, written
+from loam.llm.common import discard, table, written
 
 CAPACITY = 2048
 END_ID = 1
@@ -39,17 +39,18 @@ def tokenizer_path() -> str:
 
 
 def make_encode(path: str):
-    """text -> ids of the byte-level BPE in the tokenizers file at path; special tokens' strings are ordinary text.
+    """text -> ids of the tokenizers file at path, without special tokens around the text (add_special_tokens=False).
 
     The merges run in tiktoken, on the ranks that lie beside the file, as its ids are the same and it takes a fifth of the
-    time; a text that it refuses, and a vocabulary without ranks, go through tokenizers.
+    time. Through tokenizers go a text that holds the string of an added token, which the file gives an id of its own, a text
+    that tiktoken refuses, and all texts where there are no ranks.
     """
     import os
+    import re
 
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
     slow = lambda text: exact.encode(text, add_special_tokens=False).ids
     ranks = os.path.splitext(path)[0] + ".tiktoken"
     if not os.path.exists(ranks):
@@ -60,8 +61,12 @@ def make_encode(path: str):
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    own = [t.content for t in exact.get_added_tokens_decoder().values()]
+    added = re.compile("|".join(map(re.escape, own)) if own else "(?!)")
 
     def encode(text: str) -> list[int]:
+        if added.search(text):
+            return slow(text)
         try:
             return fast.encode_ordinary(text)
         except ValueError:
@@ -147,8 +152,6 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     capacity ids together. Other columns are not read; an empty table gives an empty result. Memory: one text's ids, and
     what waits for its class (less than one sequence for each).
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     pieces = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packer(path or tokenizer_path(), capacity, end_id), COLUMNS))
     whole, left = pieces.where("sequence_id IS NOT NULL"), pieces.where("sequence_id IS NULL")
     workers, level = (pieces.agg(F.max("worker")).first()[0] or 0) + 1, 0
