@@ -135,7 +135,7 @@ def test_contamination(spark, chars):
     r = random.Random(5)
     bench = [(k, " ".join(r.choices("abcdef", k=r.randint(0, 14)))) for k in range(12)] + [(50, None), (51, "Solo")]
     docs = [(k, " ".join(r.choices("abcdefgh", k=r.randint(0, 60))) + (" " + bench[k % 12][1]) * (k % 3)) for k in range(60)] + [(90, "x SOLO, y"), (91, None)]
-    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), broadcast_chars=chars).collect()
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), broadcast_bytes=chars).collect()
     assert {x.doc_id: (x.n_words, x.n_hit, x["items"]) for x in got} == window_brute(docs, bench)
     assert len(got) == len(docs) and all(x.contaminated == (x.n_hit > 0) for x in got)
 

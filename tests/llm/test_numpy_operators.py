@@ -110,8 +110,7 @@ def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(packing.tokenizer_path())
-    exact.encode_special_tokens = True
-    docs = documents(spark) + [(5000, None), (5001, ""), (5002, "<|endoftext|> x"), (5003, " \n\n  a　b 12345 don't " * 50), (5004, "z" * 20000)]
+    docs = documents(spark) + [(5000, None), (5001, ""), (5002, "<|endoftext|> x"), (5012, "a<|endoftext|>b <|endoftext|><|end"), (5003, " \n\n  a　b 12345 don't " * 50), (5004, "z" * 20000)]
     got = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for p in got:
