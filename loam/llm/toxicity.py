@@ -25,7 +25,7 @@ HIDDEN, WORD_DIM, CHAR_DIM, GRAMS = 12, 12, 12, 1 << 13
 #: The training sample: rows of either label at most, code points of a text at most, words with an embedding of their own.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS, VOCABULARY = 800, 2400, 6_000, 20_000
 BATCH, LEARNING_RATE, EPOCHS, LEAST_STEPS = 96, 0.01, 6, 250
-PIECE = 1 << 20
+PIECE, SLICE = 1 << 19, 256
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -270,11 +270,18 @@ def _in_parts(model: dict | None, texts: list[str | None]):
         yield score_texts(model, part)
 
 
+def _slices(shared, batches):
+    """(slice of a batch, scores of its texts): a worker holds the strings of SLICE rows at a time, however long a batch is."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, SLICE):
+            part = batch.slice(a, SLICE)
+            yield part, np.concatenate([np.zeros(0), *_in_parts(shared.value, part.column("text").to_pylist())])
+
+
 def _scored(shared):
     def run(batches):
-        for batch in batches:
-            scores = np.concatenate([np.zeros(0), *_in_parts(shared.value, batch.column("text").to_pylist())])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
+        for part, scores in _slices(shared, batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     return run
 
@@ -308,9 +315,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     shared = docs.sparkSession.sparkContext.broadcast(fit_sample(docs, labels))
 
     def keep(batches):
-        for batch in batches:
-            scores = np.concatenate([np.zeros(0), *_in_parts(shared.value, batch.column("text").to_pylist())])
-            yield batch.filter(pa.array(scores < threshold))
+        for part, scores in _slices(shared, batches):
+            yield part.filter(pa.array(scores < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
 
