@@ -7,6 +7,7 @@ does; its line separator is an empty skippable frame, which readers pass over. R
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -22,7 +23,7 @@ from loam.llm.common import shared_dir, small_batches, table
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
 SEPARATOR = "P*M\x18\0\0\0\0"  # magic 0x184D2A50 and length 0: an empty skippable frame
-VERSION = "WARC/1.1"
+VERSION, VERSIONS = "WARC/1.1", ("WARC/1.0", "WARC/1.1")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: Payload bytes in one archive, and samples and size for its dictionary.
@@ -44,24 +45,59 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
 
 
 def parse_record(data: bytes) -> dict:
-    """The headers and block of one record. Raises ValueError if version, headers, lengths or digest are not right."""
+    """The headers, by lower-cased names, and the block of one record of WARC 1.0 or 1.1; folded header lines are joined.
+
+    Raises ValueError if version, headers or lengths are not right, or a digest is given that the block does not have. The
+    payload digest and this writer's payload length are optional; a record of any type passes.
+    """
     head, found, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not found or lines[0] != VERSION:
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not found or lines[0] not in VERSIONS:
         raise ValueError("not a WARC record")
-    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-    missing = {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Payload-Digest", "WARC-Payload-Length"} - set(fields)
-    if missing:
+    fields, name = {}, ""
+    for line in lines[1:]:
+        if line[:1] in " \t" and name:
+            fields[name] = f"{fields[name]} {line.strip()}".strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon:
+            raise ValueError(f"header without a colon: {line[:60]!r}")
+        name = name.strip().lower()
+        fields[name] = value.strip()
+    if missing := {"warc-type", "warc-record-id", "warc-date", "content-length"} - set(fields):
         raise ValueError(f"headers missing: {sorted(missing)}")
-    size = int(fields["Content-Length"])
+    if not fields["content-length"].isdigit():
+        raise ValueError(f"record of {fields['warc-record-id']}: Content-Length is no number")
+    size, kind = int(fields["content-length"]), fields["warc-type"].lower()
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
-        raise ValueError(f"record of {fields['WARC-Record-ID']}: Content-Length {size} does not fit")
+        raise ValueError(f"record of {fields['warc-record-id']}: Content-Length {size} does not fit")
     block = rest[:size]
-    if fields["WARC-Type"] == "response" and (size != int(fields["WARC-Payload-Length"]) or f"sha1:{hashlib.sha1(block).hexdigest()}" != fields["WARC-Payload-Digest"]):
-        raise ValueError(f"record of {fields['WARC-Record-ID']}: payload does not fit its digest or length")
-    if fields["WARC-Type"] == "revisit" and (size or "WARC-Refers-To" not in fields):
-        raise ValueError(f"record of {fields['WARC-Record-ID']}: not a revisit")
-    return fields | {"block": block}
+    payload = _payload(block, fields.get("content-type", "")) if kind == "response" else block
+    if kind != "revisit":
+        if "warc-payload-length" in fields and int(fields["warc-payload-length"]) != len(payload):
+            raise ValueError(f"record of {fields['warc-record-id']}: payload does not fit its length")
+        for digest, of in (("warc-payload-digest", payload), ("warc-block-digest", block)):
+            if digest in fields and not _fits(fields[digest], of):
+                raise ValueError(f"record of {fields['warc-record-id']}: payload does not fit its digest")
+    elif "warc-payload-digest" not in fields and "warc-refers-to" not in fields:
+        raise ValueError(f"record of {fields['warc-record-id']}: not a revisit")
+    return fields | {"block": block, "payload": payload}
+
+
+def _payload(block: bytes, kind: str) -> bytes:
+    """What an HTTP response carries behind its headers; any other block is its own payload."""
+    if "application/http" in kind.lower():
+        return block.partition(b"\r\n\r\n")[2]
+    return block
+
+
+def _fits(stated: str, data: bytes) -> bool:
+    """Whether data has a stated SHA-1 digest, in hex or base 32; other algorithms are not tested."""
+    algorithm, _, value = stated.rpartition(":")
+    if algorithm.lower() not in ("sha1", "sha-1", ""):
+        return True
+    digest = hashlib.sha1(data)
+    return value.lower() == digest.hexdigest() or value.upper() == base64.b32encode(digest.digest()).decode()
 
 
 def make_dictionary(samples: list[bytes]) -> bytes:
@@ -128,8 +164,11 @@ def _records(batches):
             rows, held = [], 0
             for data in frames(memoryview(content.as_buffer())):
                 r = parse_record(data)
-                text = r["block"].decode() if r["WARC-Type"] == "response" else None
-                rows.append((number(r["WARC-Record-ID"]), int(r["WARC-Payload-Length"]), r["WARC-Payload-Digest"].removeprefix("sha1:"), r["WARC-Type"], number(r.get("WARC-Refers-To")), r.get("WARC-Target-URI", ""), text))
+                kind, payload = r["warc-type"].lower(), r["payload"]
+                text = payload.decode("utf-8", "replace") if kind != "revisit" else None
+                size = int(r.get("warc-payload-length") or len(payload)) if kind != "revisit" or "warc-payload-length" in r else None
+                digest = r.get("warc-payload-digest", "").removeprefix("sha1:") or hashlib.sha1(payload).hexdigest()
+                rows.append((number(r["warc-record-id"]), size, digest, kind, number(r.get("warc-refers-to")), r.get("warc-target-uri", ""), text))
                 held += len(data)
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in rows], schema)
@@ -165,7 +204,9 @@ def write_archives(pages: DataFrame, path: str) -> None:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under path: page_id, payload_bytes, payload_digest, record_type, refers_to, url, html.
 
-    html is null for revisits. A record that does not validate fails the job; an empty file is no archive and is passed over.
+    html is null for revisits; payload_bytes is null where a revisit does not state it; page_id and refers_to are null for
+    record ids that are not this writer's. Records of all types come back (warcinfo, request and others). A record that does
+    not validate fails the job; an empty file is no archive and is passed over.
     """
     shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string"
     return spark.read.format("binaryFile").load(path).where("length > 0").select("content").mapInArrow(_records, shape)
