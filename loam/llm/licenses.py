@@ -2,7 +2,7 @@
 
 The base labels come from phrases of consecutive words. The operator adds labels of its own: every text block
 whose words hold at least a given share of a license template's distinct words, found by a prefix-filtered join. Blocks are
-the lines, of any length, and for notices that are wrapped over lines every word window of a text, over line ends, that is
+the lines, of any length, for templates of LINE_WORDS words at least, and every word window of a text, over line ends, that is
 as long as the template. The
 templates' tokens are ordered by their frequency in the whole corpus, rarest first; a block can only reach the
 threshold if it holds one of a template's first |T| - ceil(t |T|) + 1 tokens. Candidates pass the length and the positional
@@ -35,7 +35,9 @@ TEMPLATES = [
     ("notice:all-rights-reserved", "All rights reserved"),
 ]
 THRESHOLD = "0.8"
-#: Distinct template tokens that may be broadcast or put into an expression.
+#: A template of fewer distinct words is only compared with windows of its own length: in a long line its words stand by chance.
+LINE_WORDS = 5
+#: Distinct template tokens of one pass; more templates are scanned in parts, each with its own passes over the blocks.
 MAX_TOKENS = 20_000
 
 
@@ -73,24 +75,35 @@ def template_table(spark: SparkSession, templates=None) -> DataFrame:
     return t.select("template", "label", F.array_distinct("w").alias("tokens"), F.size("w").alias("width")).where(F.size("tokens") > 0)
 
 
+def template_parts(known: DataFrame) -> list[DataFrame]:
+    """The rows of a template table in parts of at most MAX_TOKENS distinct tokens; a template of more is a part of its own."""
+    parts: list[list[int]] = []
+    held: set[str] = set()
+    for r in sorted(known.collect(), key=lambda r: r["template"]):
+        if not parts or len(held | set(r["tokens"])) > MAX_TOKENS:
+            parts.append([])
+            held = set()
+        parts[-1].append(r["template"])
+        held |= set(r["tokens"])
+    return [known.where(F.col("template").isin(p)) for p in parts]
+
+
 def containment_join(blocks: DataFrame, templates: DataFrame, threshold: str = THRESHOLD) -> DataFrame:
     """(key columns of blocks, template, label, containment): all pairs with |B and T| >= threshold * |T|, exactly.
 
     blocks: key columns and tokens (distinct words, an array; null or empty: never matches). Equal blocks each get their
-    rows. The token order and the prefix index have the size of the templates, which is checked; blocks meet the
+    rows. The token order and the prefix index have the size of the templates (see template_parts); blocks meet the
     index by token, after those that hold no token of a template's prefix are gone.
     """
     share = Fraction(threshold)
     keys = [c for c in blocks.columns if c != "tokens"]
-    vocabulary = sorted(r[0] for r in templates.select(F.explode("tokens")).distinct().limit(MAX_TOKENS + 1).collect())
-    if len(vocabulary) > MAX_TOKENS:
-        raise ValueError(f"templates have more than {MAX_TOKENS} distinct tokens; scan them in parts")
+    vocabulary = sorted(r[0] for r in templates.select(F.explode("tokens")).distinct().collect())
     if not vocabulary:
         return blocks.select(*keys, F.lit(0).alias("template"), F.lit("").alias("label"), F.lit(0.0).alias("containment")).where(F.lit(False))
     known = F.filter("tokens", lambda x: x.isin(vocabulary))
     near = blocks.select(*keys, F.size("tokens").alias("n"), known.alias("tokens")).where(F.size("tokens") > 0)
     counts = near.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    df = {r["token"]: r["df"] for r in counts.collect()}  # at most MAX_TOKENS rows
+    df = {r["token"]: r["df"] for r in counts.collect()}  # a row for each template token
     order = {t: k for k, t in enumerate(sorted(vocabulary, key=lambda t: (df.get(t, 0), t)))}
     index, sets = [], []
     for r in templates.collect():
@@ -128,8 +141,6 @@ def window_join(texts: DataFrame, templates: DataFrame, threshold: str = THRESHO
     keys = [c for c in texts.columns if c != "w"]
     rows = templates.collect()
     vocabulary = {t for r in rows for t in r["tokens"]}
-    if len(vocabulary) > MAX_TOKENS:
-        raise ValueError(f"templates have more than {MAX_TOKENS} distinct tokens; scan them in parts")
     if not vocabulary:
         return texts.select(*keys, F.lit(0).alias("template"), F.lit("").alias("label"), F.lit(0.0).alias("containment")).where(F.lit(False))
     # any order of tokens will do; those in few templates, then the long ones, stand in for the rare ones
@@ -159,8 +170,8 @@ def window_join(texts: DataFrame, templates: DataFrame, threshold: str = THRESHO
 def scan_licenses(docs: DataFrame, templates=None, threshold: str = THRESHOLD) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_words, places, notices (array of (label, containment)), score.
 
-    Null texts count as empty and have no words and no labels. Blocks are the lines of a text, of any length, and its word
-    windows over line ends. Repeated rows and rows with null or repeated ids give one row each; other columns are not read. score: 1 with a base label,
+    Null texts count as empty and have no words and no labels. Blocks are the lines of a text, of any length (for templates of
+    LINE_WORDS distinct words at least), and its word windows as long as the template, over line ends too. Repeated rows and rows with null or repeated ids give one row each; other columns are not read. score: 1 with a base label,
     else the best containment, else 0.
     """
     spark = docs.sparkSession
@@ -168,10 +179,11 @@ def scan_licenses(docs: DataFrame, templates=None, threshold: str = THRESHOLD) -
     lines = rows.select("doc_id", "print", F.explode(F.split("text", "\n", -1)).alias("line"))
     blocks = lines.select("doc_id", "print", F.array_distinct(words(F.col("line"))).alias("tokens"))
     known = template_table(spark, templates)
-    pairs = containment_join(blocks, known.drop("width"), threshold)
-    # windows inside one line are part of its block
-    wrapped = rows.where(F.contains("text", F.lit("\n"))).select("doc_id", "print", words(F.col("text")).alias("w"))
-    pairs = pairs.unionByName(window_join(wrapped, known, threshold))
+    texts = rows.select("doc_id", "print", words(F.col("text")).alias("w"))
+    pairs = None
+    for part in template_parts(known) or [known]:
+        found = containment_join(blocks, part.where(F.size("tokens") >= LINE_WORDS).drop("width"), threshold).unionByName(window_join(texts, part, threshold))
+        pairs = found if pairs is None else pairs.unionByName(found)
     notices = pairs.groupBy("doc_id", "print", "label").agg(F.max("containment").alias("containment")).groupBy(F.col("doc_id").alias("id"), F.col("print").alias("p"))
     notices = written(notices.agg(F.collect_list(F.struct("label", "containment")).alias("notices")))
     base = base_labels(rows).select("doc_id", "print", "n_words", "places")
