@@ -82,9 +82,15 @@ def blocks_brute(docs, templates, share=0.8):
             have = set(words(line))
             for label, t in templates:
                 t = set(words(t))
-                if t and len(have & t) * 10 >= 8 * len(t):
+                if len(t) >= licenses.LINE_WORDS and len(have & t) * 10 >= 8 * len(t):
                     out.setdefault(d, {}).setdefault(label, 0)
                     out[d][label] = max(out[d][label], len(have & t) / len(t))
+        w = words(text)
+        for label, t in templates:
+            span, t = len(words(t)), set(words(t))
+            for a in range(max(1, len(w) - span + 1)):
+                if t and len(common := set(w[a : a + span]) & t) * 10 >= 8 * len(t):
+                    out.setdefault(d, {})[label] = max(out.get(d, {}).get(label, 0), len(common) / len(t))
     return out
 
 

@@ -4,20 +4,7 @@ import random
 
 from loam.llm import licenses
 
-from tests.llm.test_native_operators import blocks_brute, words
-
-
-def windows_brute(docs):
-    out = blocks_brute(docs, licenses.TEMPLATES)
-    for d, text in docs:
-        w = words(text)
-        for label, t in licenses.TEMPLATES:
-            span, t = len(words(t)), set(words(t))
-            for a in range(max(1, len(w) - span + 1)):
-                share = len(set(w[a : a + span]) & t) / len(t)
-                if len(set(w[a : a + span]) & t) * 10 >= 8 * len(t):
-                    out.setdefault(d, {})[label] = max(out.get(d, {}).get(label, 0), share)
-    return out
+from tests.llm.test_native_operators import blocks_brute
 
 
 def test_wrapped_notices(spark):
@@ -33,7 +20,7 @@ def test_wrapped_notices(spark):
         docs.append((k, "\n# ".join(" ".join(w[a : a + cut]) for a in range(0, len(w), cut))))
     docs.append((5000, "This program is free software: you can redistribute it\nand/or modify it under the terms of the GNU General\nPublic License"))
     got = {x.doc_id: x for x in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    want = windows_brute(docs)
+    want = blocks_brute(docs, licenses.TEMPLATES)
     assert len(got) == len(docs) and sum(map(len, want.values())) > 50
     for d, _ in docs:
         assert {n.label: round(n.containment, 9) for n in got[d].notices} == {k: round(v, 9) for k, v in want.get(d, {}).items()}, d
