@@ -30,7 +30,7 @@ def confidence(pool: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id").agg(F.max("cosine").alias("top1"), F.avg("cosine").alias("mean5"))
 
 
-def retrieve(points: DataFrame, queries: DataFrame, n: int = 5, weights: dict | None = None, threshold=CONFIDENCE, marginal=MARGINAL_TOP1, mean=MEAN_TOP5, overfetch=OVERFETCH, manual_source: str | None = None, commands=rules.MANUAL_COMMANDS, exclude_self=False) -> DataFrame:
+def retrieve(points: DataFrame, queries: DataFrame, n: int = 5, weights: dict | None = None, threshold=CONFIDENCE, marginal=MARGINAL_TOP1, mean=MEAN_TOP5, overfetch=OVERFETCH, manual_source: str | None = None, commands=rules.MANUAL_COMMANDS, exclude_self=False, category_hard: bool = False) -> DataFrame:
     """Hits of each query: query_id, rank, point_id, article_id, source, tier, raw_score, score.
 
     points: point_id, embedding, article_id, source, category, versions, tier, title; queries: query_id, embedding, text and
@@ -38,18 +38,23 @@ def retrieve(points: DataFrame, queries: DataFrame, n: int = 5, weights: dict |
     join the pool; a query whose pool is weak falls back to nothing; then source weights and boosts, rounding to 4 digits, the
     best chunk of each article, n per query, and tier 1 last where the query says that the basics were tried.
     """
-    pool = top_similar(points, queries, overfetch * n, POINT, exclude_self=exclude_self)
+    if "category" in queries.columns:
+        queries = queries.withColumn("category", F.when(F.trim("category") != "", X.normal_category("category")))
+    filters = queries if category_hard or "category" not in queries.columns else queries.drop("category")
+    pool = top_similar(points, filters, overfetch * n, POINT, exclude_self=exclude_self)
     asked = queries.select("query_id", "text", *[c for c in ("version", "category") if c in queries.columns])
     named = X.named_commands("text", commands)
+    sure = None
     if manual_source:
-        with_command = queries.where(F.size(named) > 0)
-        pool = with_manual_pages(pool, top_similar(points.where(F.col("source") == manual_source), with_command, MANUAL_PROBE, POINT, exclude_self=exclude_self))
-    rows = pool.join(F.broadcast(asked.select("query_id", "text", named.alias("named"), *[F.col(c).alias(f"asked_{c}") for c in asked.columns[2:]])), "query_id")
+        pages = top_similar(points.where(F.col("source") == manual_source), filters.where(F.size(named) > 0), MANUAL_PROBE, POINT, exclude_self=exclude_self)
+        sure = pages.where(F.col("cosine") >= threshold).select("query_id").distinct()  # a page near enough settles it
+        pool = with_manual_pages(pool, pages)
+    rows = pool.join((asked.select("query_id", "text", named.alias("named"), *[F.col(c).alias(f"asked_{c}") for c in asked.columns[2:]])), "query_id")
     strong = _manual_match(manual_source) if manual_source else F.lit(False)
     rows = rows.withColumn("manual", strong)
-    sure = confidence(pool).join(rows.groupBy("query_id").agg(F.bool_or("manual").alias("any_manual")), "query_id")
     weak = (F.col("top1") < threshold) | ((F.col("top1") < marginal) & (F.col("mean5") < mean))
-    sure = sure.where(~weak | F.col("any_manual")).select("query_id")
+    trusted = confidence(pool).where(~weak).select("query_id")
+    sure = trusted if sure is None else trusted.unionByName(sure).distinct()
     table = rules.SOURCE_WEIGHTS if weights is None else weights
     weight = F.coalesce(F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col("source")], F.lit(1.0))
     score = F.col("cosine") * weight + F.when(F.col("manual"), MANUAL_BOOST).otherwise(0.0)
@@ -72,7 +77,7 @@ def retrieve(points: DataFrame, queries: DataFrame, n: int = 5, weights: dict |
 def _manual_match(source: str) -> Column:
     """A manual page whose title starts with, or holds as a word, a command that the query names."""
     title = F.lower(F.coalesce("title", F.lit("")))
-    return (F.col("source") == source) & F.exists("named", lambda c: F.startswith(title, c) | title.rlike(F.concat(F.lit(r"\b"), c, F.lit(r"\b"))))
+    return (F.col("source") == source) & F.exists("named", lambda c: F.startswith(title, c) | F.regexp_like(title, F.concat(F.lit(r"\b\Q"), c, F.lit(r"\E\b"))))
 
 
 def merged(kb: DataFrame, web: DataFrame, relevance: DataFrame | None = None, most: int = MERGED) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BATCH = 100
-#: Queries in one pass over the points: their matrix is what is broadcast.
-QUERY_BLOCK = 2000
+#: Queries and points that meet in one task.
+QUERY_BLOCK, POINT_PART = 2000, 50_000
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -55,66 +55,67 @@ def top_similar(points: DataFrame, queries: DataFrame, k: int, point: str = "poi
     """The k points nearest to each query by cosine: columns of points but the vector, and query_id, cosine, pos (1 to k).
 
     queries: query_id, embedding, and optionally version, category (null: any) and min_tier, against the points' versions,
-    category and tier. Ties go to the smaller point id. The points are read once for each block of queries: every
-    batch keeps its k best for each query, so what is shuffled is k rows for a query and batch, not all pairs.
+    category and tier. A version of "all", "any" or "" asks for any. Ties go to the smaller point id. Points are dealt into parts,
+    queries into blocks, of bounded size; each pair of part and block meets in one task, which keeps the k best for each query,
+    so k rows for a query and part go on, not all pairs. Nothing passes through the driver.
     """
     payload = [f for f in points.schema.fields if f.name != "embedding"]
     shape = T.StructType([*payload, T.StructField(query, queries.schema[query].dataType), T.StructField("cosine", T.DoubleType())])
-    asked = queries.toArrow().sort_by(query)
-    parts = []
-    for a in range(0, max(1, asked.num_rows), QUERY_BLOCK):
-        block = asked.slice(a, QUERY_BLOCK)
-        parts.append(points.mapInArrow(_nearest(block.to_pydict(), k, point, query, exclude_self), shape))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+    blocks, parts = -(-queries.count() // QUERY_BLOCK) or 1, max(points.sparkSession.sparkContext.defaultParallelism, -(-points.count() // POINT_PART))
+    number = lambda df, key, n: df.withColumn(key[0], F.pmod(F.xxhash64(key[1]), F.lit(n)).cast("int"))
+    left = number(points, ("_part", point), parts).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = number(queries, ("_block", query), blocks).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    search = _nearest(k, point, query, exclude_self)
+
+    def meet(key: tuple[pa.Scalar, ...], some: pa.Table, asked: pa.Table) -> pa.Table:
+        return search(some.drop_columns(["_part", "_block"]), asked.drop_columns(["_part", "_block"]).sort_by(query).to_pydict(), asked.schema.field(query).type)
+
+    found = left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(meet, shape)
     order = Window.partitionBy(query).orderBy(F.desc("cosine"), point)
     return found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
 
 
-def _nearest(asked: dict, k: int, point: str, query: str, exclude_self: bool):
-    matrix = np.array(asked["embedding"], np.float64).reshape(len(asked[query]), -1)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    none = [None] * len(matrix)
-    wanted = list(zip(asked.get("version", none), asked.get("category", none), asked.get("min_tier", none), strict=True))
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows or not len(matrix):
-                continue
-            flat = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            vectors = flat.reshape(b.num_rows, -1)
-            ids = b.column(point).to_pylist()
-            rank = np.argsort(np.argsort(np.array(ids, object), kind="stable"), kind="stable")
-            cosine = matrix @ (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)).T
-            masks: dict = {}
-
-            def allowed(version, category, tier, b=b, masks=masks):
-                if (key := (version, category, tier)) not in masks:
-                    ok = np.ones(b.num_rows, bool)
-                    if version is not None:
-                        ok &= np.array([bool(v) and (version in v or "all" in v) for v in b.column("versions").to_pylist()])
-                    if category is not None:
-                        ok &= np.array([c == category for c in b.column("category").to_pylist()])
-                    if tier is not None:
-                        ok &= np.array([t is not None and t >= tier for t in b.column("tier").to_pylist()])
-                    masks[key] = ok
-                return masks[key]
-
-            rows, of, value = [], [], []
-            for q, (scores, want) in enumerate(zip(cosine, wanted, strict=True)):
-                ok = allowed(*want)
-                if exclude_self:
-                    ok = ok & np.array([i != asked[query][q] for i in ids])
-                at = np.flatnonzero(ok)
-                if len(at) > k:  # all that reach the k-th best score, so that ties are settled by id
-                    at = at[scores[at] >= np.partition(scores[at], len(at) - k)[len(at) - k]]
-                at = at[np.lexsort((rank[at], -scores[at]))][:k]
-                rows += at.tolist()
-                of += [asked[query][q]] * len(at)
-                value += scores[at].tolist()
-            if rows:
-                kept = b.drop_columns(["embedding"]).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(of), pa.array(value)], [*kept.schema.names, query, "cosine"])
+def _nearest(k: int, point: str, query: str, exclude_self: bool):
+    def run(b: pa.Table, asked: dict, kind: pa.DataType) -> pa.Table:
+        width = max([0, *(len(v) for v in asked["embedding"][:1])])
+        matrix = np.array(asked["embedding"], np.float64).reshape(len(asked[query]), width)
+        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        none = [None] * len(matrix)
+        wanted = [(None if str(v or "").lower() in ("", "all", "any") else v, c, t) for v, c, t in zip(asked.get("version", none), asked.get("category", none), asked.get("min_tier", none), strict=True)]
+        b = b if len(matrix) else b.slice(0, 0)
+        flat = [c.flatten().to_numpy(zero_copy_only=False) for c in b.column("embedding").chunks]
+        vectors = np.concatenate([np.zeros(0), *flat]).reshape(b.num_rows, width)
+        ids = b.column(point).to_pylist()
+        rank = np.argsort(np.argsort(np.array(ids, object), kind="stable"), kind="stable")
+        cosine = matrix @ (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)).T
+        masks: dict = {}
+
+        def allowed(version, category, tier, b=b, masks=masks):
+            if (key := (version, category, tier)) not in masks:
+                ok = np.ones(b.num_rows, bool)
+                if version is not None:
+                    ok &= np.array([bool(v) and (version in v or "all" in v) for v in b.column("versions").to_pylist()])
+                if category is not None:
+                    ok &= np.array([c == category for c in b.column("category").to_pylist()])
+                if tier is not None:
+                    ok &= np.array([t is not None and t >= tier for t in b.column("tier").to_pylist()])
+                masks[key] = ok
+            return masks[key]
+
+        rows, of, value = [], [], []
+        for q, (scores, want) in enumerate(zip(cosine, wanted, strict=True)):
+            ok = allowed(*want)
+            if exclude_self:
+                ok = ok & np.array([i != asked[query][q] for i in ids])
+            at = np.flatnonzero(ok)
+            if len(at) > k:  # all that reach the k-th best score, so that ties are settled by id
+                at = at[scores[at] >= np.partition(scores[at], len(at) - k)[len(at) - k]]
+            at = at[np.lexsort((rank[at], -scores[at]))][:k]
+            rows += at.tolist()
+            of += [asked[query][q]] * len(at)
+            value += scores[at].tolist()
+        kept = b.drop_columns(["embedding"]).take(pa.array(rows, pa.int64()))
+        kept = kept.append_column(query, pa.array(of, kind))
+        return kept.append_column("cosine", pa.array(value, pa.float64()))
 
     return run
