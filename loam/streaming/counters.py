@@ -48,6 +48,14 @@ def drained(changes: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("m")).select(*key, "m.*")
 
 
+def appended(rows: DataFrame) -> DataFrame:
+    """Run a stream that only appends rows over all input there is; its rows as a batch table."""
+    base = f"{shared_dir(rows.sparkSession)}/loam/{uuid.uuid4().hex}"
+    query = rows.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{base}/rows")
+
+
 def stream_rates(events: DataFrame, label: str, width: str, slide: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Rates of a stream; rows later than the delay are dropped and their windows' state is freed."""
     return rates(events.withWatermark("ts", delay), label, width, slide)
