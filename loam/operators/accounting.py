@@ -63,3 +63,79 @@ def error_share(rows: DataFrame, failed: Column) -> DataFrame:
     """(total, errors, share): the share's denominator is at least 0.0001, so an empty ledger gives 0."""
     n, bad = F.count("*"), F.count_if(failed)
     return rows.agg(n.alias("total"), bad.alias("errors"), (bad / F.greatest(n.cast("double"), F.lit(0.0001))).alias("share"))
+
+
+def call_tokens(calls: DataFrame, chars_per_token: int = 4) -> DataFrame:
+    """calls with tokens_in, tokens_out and estimated: what the provider's usage says, else the message's metadata; where a
+    count is still missing, both are estimated from characters."""
+    usage = F.col("prompt_tokens").isNotNull()
+    given_in = F.coalesce("prompt_tokens", "meta_in")
+    given_out = F.when(usage, F.col("completion_tokens")).otherwise(F.coalesce("meta_out", "completion_tokens"))
+    none = given_in.isNull() | given_out.isNull()
+    chars = lambda c: F.floor(F.coalesce(F.col(c), F.lit(0)) / chars_per_token)
+    return calls.withColumn("tokens_in", F.when(none, chars("prompt_chars")).otherwise(given_in)).withColumn("tokens_out", F.when(none, chars("completion_chars")).otherwise(given_out)).withColumn("estimated", none)
+
+
+def turn_usage(calls: DataFrame, *by: str, default=X.rules.DEFAULT_PRICE, flat: float = FLAT_USD) -> DataFrame:
+    """(by..., llm_calls, tokens_in, tokens_out, cost_usd, estimated) of calls(by..., model, failed, token and character counts).
+
+    A failed call counts, as estimated input at the default price, only if its prompt had characters. One flat share a turn."""
+    failed = F.coalesce("failed", F.lit(False))
+    rows = call_tokens(calls).where(~failed | (F.coalesce("prompt_chars", F.lit(0)) > 0))
+    guess = F.floor(F.coalesce("prompt_chars", F.lit(0)) / 4)
+    low, high = X.price("model")
+    cost = F.when(failed, guess * default[0]).otherwise(F.col("tokens_in") * low + F.col("tokens_out") * high) / 1e6
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("llm_calls"), F.sum(F.when(failed, guess).otherwise(F.col("tokens_in"))).cast("long").alias("tokens_in"), F.sum(F.when(failed, 0).otherwise(F.col("tokens_out"))).cast("long").alias("tokens_out"),
+        F.round(F.sum(cost) + flat, 9).alias("cost_usd"), F.bool_or(failed | F.col("estimated")).alias("estimated"),
+    )
+
+
+def counters(rows: DataFrame, metrics: dict[str, tuple]) -> DataFrame:
+    """(metric, label, value): the sum of each metric by its label, in one pass; metrics: name -> (label, value). Null labels are
+    left out."""
+    cells = [F.struct(F.lit(name).alias("metric"), label.cast("string").alias("label"), value.cast("double").alias("value")) for name, (label, value) in metrics.items()]
+    return rows.select(F.inline(F.array(*cells))).where("label IS NOT NULL").groupBy("metric", "label").agg(F.round(F.sum("value"), 6).alias("value"))
+
+
+def range_sums(rows: DataFrame, label, value, now, spans: dict[str, int]) -> DataFrame:
+    """(span, label, total, per_minute) over the seconds of each span before now: (now - span, now]."""
+    age = F.unix_micros(now) - F.unix_micros(F.col("ts").cast("timestamp"))
+    cells = [F.when((age >= 0) & (age < seconds * 1_000_000), F.struct(F.lit(name).alias("span"), F.lit(seconds).alias("seconds"))) for name, seconds in spans.items()]
+    inside = rows.select(label.alias("label"), value.cast("double").alias("v"), F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c"))
+    total = F.sum("v")
+    return inside.groupBy("c.span", "label").agg(F.round(total, 6).alias("total"), F.round(total / F.max("c.seconds") * 60, 6).alias("per_minute"))
+
+
+def positive_share(rows: DataFrame, up, rated) -> DataFrame:
+    """(ratings, positive, share): the share of good ratings, with a denominator of at least 0.0001."""
+    n, good = F.count_if(rated), F.count_if(up & rated)
+    return rows.agg(n.alias("ratings"), good.alias("positive"), (good / F.greatest(n.cast("double"), F.lit(0.0001))).alias("share"))
+
+
+def pii_totals(texts: DataFrame) -> DataFrame:
+    """(kind, n): personal data found in texts(text), counted in the order of replacement."""
+    found = X.redacted("text")[1]
+    cells = [F.struct(F.lit(k).alias("kind"), n.cast("long").alias("n")) for k, n in found.items()]
+    return texts.select(F.inline(F.array(*cells))).groupBy("kind").agg(F.sum("n").alias("n"))
+
+
+def dashboard(rows: DataFrame, now, cost_bounds: list[float] = COST_BUCKETS) -> DataFrame:
+    """(panel, label, value) of a ledger(ts, outcome, cost_usd, tokens_in, tokens_out, rating): spend of 30 days and of a day,
+    requests by minute and outcome, token rates, error share, positive share, cost quantiles."""
+    day, month = 86_400, 30 * 86_400
+    shape = lambda df, panel, label, value: df.select(F.lit(panel).alias("panel"), label.cast("string").alias("label"), value.cast("double").alias("value"))
+    spent = range_sums(rows, F.lit("all"), F.coalesce("cost_usd", F.lit(0.0)), now, {"30d": month, "24h": day})
+    asked = range_sums(rows, F.col("outcome"), F.lit(1), now, {"24h": day})
+    sides = F.array(F.struct(F.lit("in").alias("side"), F.col("tokens_in").alias("n")), F.struct(F.lit("out").alias("side"), F.col("tokens_out").alias("n")))
+    tokens = range_sums(rows.select("ts", F.inline(sides)), F.col("side"), F.coalesce("n", F.lit(0)), now, {"24h": day})
+    hist = histogram(rows.withColumn("one", F.lit("all")), "one", "cost_usd", cost_bounds)
+    parts = [
+        shape(spent, "spend_usd", F.col("span"), F.col("total")), shape(asked, "requests_per_minute", F.col("label"), F.col("per_minute")), shape(tokens, "tokens_per_minute", F.col("label"), F.col("per_minute")),
+        shape(error_share(rows, F.col("outcome") == "error"), "error_share", F.lit("all"), F.col("share")), shape(positive_share(rows, F.col("rating") == "up", F.col("rating").isNotNull()), "positive_share", F.lit("all"), F.col("share")),
+        *[shape(quantile(hist, "one", q), "cost_usd", F.lit(f"p{round(100 * q)}"), F.round("value", 6)) for q in (0.5, 0.95)],
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -69,3 +69,93 @@ def m5_feedback(spark, d):
 @query(r"""SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1), lambda u: regexp_replace(u, '[?#].*$', '')))) AS target FROM pages""")
 def s15_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(readers.hrefs("html")).alias("target"))
+
+
+def calls(spark, d):
+    """Model calls, five a turn: usage for some, metadata for some, only characters for the rest; every eleventh failed."""
+    e = F.col("event_id")
+    some = lambda k, n: F.when(e % 3 == k, e % n)
+    model = F.when(e % 2 == 0, "llama-3.1-8b-instant").otherwise("other")
+    return table(spark, d, "events").select(F.floor(e / 5).alias("turn"), e.alias("event_id"), model.alias("model"), some(0, 1000).alias("prompt_tokens"), some(0, 300).alias("completion_tokens"), some(1, 500).alias("meta_in"), some(1, 200).alias("meta_out"), (e % 4000).alias("prompt_chars"), (e % 900).alias("completion_chars"), (e % 11 == 0).alias("failed"))
+
+
+CALLS = """WITH c AS (SELECT event_id // 5 AS turn, event_id, event_id % 2 = 0 AS small, event_id % 11 = 0 AS failed, event_id % 4000 AS pc, event_id % 900 AS cc, event_id % 3 AS k FROM events),
+t AS (SELECT *, CASE k WHEN 0 THEN event_id % 1000 WHEN 1 THEN event_id % 500 ELSE pc // 4 END AS tin, CASE k WHEN 0 THEN event_id % 300 WHEN 1 THEN event_id % 200 ELSE cc // 4 END AS tout, k = 2 AS est FROM c)"""
+
+
+@query(f"{CALLS} SELECT event_id, tin AS tokens_in, tout AS tokens_out, est AS estimated FROM t")
+def x37_call_tokens(spark, d):
+    return A.call_tokens(calls(spark, d)).select("event_id", "tokens_in", "tokens_out", "estimated")
+
+
+@query(f"""{CALLS} SELECT turn, count(*) AS llm_calls, sum(CASE WHEN failed THEN pc // 4 ELSE tin END)::BIGINT AS tokens_in, sum(CASE WHEN failed THEN 0 ELSE tout END)::BIGINT AS tokens_out,
+round(sum(CASE WHEN failed THEN (pc // 4) * 0.59::DOUBLE WHEN small THEN tin * 0.05::DOUBLE + tout * 0.08::DOUBLE ELSE tin * 0.59::DOUBLE + tout * 0.79::DOUBLE END / 1e6) + 0.00001, 9) AS cost_usd, bool_or(failed OR est) AS estimated
+FROM t WHERE NOT failed OR pc > 0 GROUP BY turn""")
+def a27_turn_usage(spark, d):
+    return A.turn_usage(calls(spark, d), "turn")
+
+
+@query("""WITH m AS (SELECT 'requests' AS metric, event_type AS label, 1.0 AS value FROM events UNION ALL SELECT 'tokens', 'in', event_id % 1000 FROM events UNION ALL SELECT 'tokens_out', 'out', event_id % 300 FROM events
+UNION ALL SELECT 'errors', 'kind' || event_id % 4, 1 FROM events WHERE event_type = 'error') SELECT metric, label, round(sum(value), 6)::DOUBLE AS value FROM m GROUP BY 1, 2""")
+def a30_counters(spark, d):
+    e, one = F.col("event_id"), F.lit(1)
+    kind = F.when(F.col("event_type") == "error", F.concat(F.lit("kind"), (e % 4).cast("string")))
+    return A.counters(table(spark, d, "events"), {"requests": (F.col("event_type"), one), "tokens": (F.lit("in"), e % 1000), "tokens_out": (F.lit("out"), e % 300), "errors": (kind, one)})
+
+
+@query("""WITH s AS (SELECT unnest([{'span': '24h', 's': 86400}, {'span': '10d', 's': 864000}]) AS x), n AS (SELECT TIMESTAMP '2024-01-20 00:00:00' AS now)
+SELECT x.span AS span, event_type AS label, round(sum(value), 6) AS total, round(sum(value) / any_value(x.s) * 60, 6) AS per_minute FROM events, s, n WHERE ts <= now AND ts > now - to_seconds(x.s) GROUP BY 1, 2""")
+def a33_range_sums(spark, d):
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    return A.range_sums(table(spark, d, "events"), F.col("event_type"), F.col("value"), now, {"24h": 86_400, "10d": 864_000})
+
+
+@query("SELECT count(*) FILTER (event_id % 3 <> 0) AS ratings, count(*) FILTER (event_id % 3 = 1) AS positive, count(*) FILTER (event_id % 3 = 1) / greatest(count(*) FILTER (event_id % 3 <> 0), 0.0001) AS share FROM events")
+def a34_positive_share(spark, d):
+    e = F.col("event_id")
+    return A.positive_share(table(spark, d, "events"), e % 3 == 1, e % 3 != 0)
+
+
+@query("SELECT kind, n FROM (SELECT unnest([{'kind': 'email', 'n': count(*)}, {'kind': 'ipv4', 'n': 2 * count(*) FILTER (doc_id % 2 = 0)}, {'kind': 'mac_address', 'n': 0}, {'kind': 'ipv6', 'n': 0}, {'kind': 'serial_number', 'n': 0}, {'kind': 'user_path', 'n': count(*) FILTER (doc_id % 5 = 0)}], recursive := true) FROM documents)")
+def a35_pii_totals(spark, d):
+    i = F.col("doc_id")
+    text = F.concat(F.lit("ask a"), i.cast("string"), F.lit("@b.org"), F.when(i % 2 == 0, " at 10.0.0.1 or 10.0.0.2").otherwise(""), F.when(i % 5 == 0, " in /Users/ann/x").otherwise(""))
+    return A.pii_totals(table(spark, d, "documents").select(text.alias("text")))
+
+
+LEDGER = """WITH l AS (SELECT ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS outcome, (event_id % 120) / 1000 AS cost, event_id % 1000 AS tin, event_id % 300 AS tout, event_id % 4 AS r, TIMESTAMP '2024-01-30 00:00:00' AS now FROM events),
+h AS (SELECT unnest([0.001, 0.005, 0.01, 0.05, 0.1, 'Infinity'::DOUBLE]::DOUBLE[]) AS le), b AS (SELECT le, count(*) FILTER (cost <= le) AS n FROM h, l GROUP BY le), z AS (SELECT *, lag(n, 1, 0) OVER (ORDER BY le) AS below, lag(le, 1, 0.0) OVER (ORDER BY le) AS low, max(n) OVER () AS whole FROM b)"""
+PER_DAY = "FROM l WHERE ts <= now AND ts > now - INTERVAL 1 DAY"
+
+
+@query(f"""{LEDGER} SELECT 'spend_usd' AS panel, '30d' AS label, round(sum(cost), 6)::DOUBLE AS value FROM l WHERE ts <= now AND ts > now - INTERVAL 30 DAY UNION ALL SELECT 'spend_usd', '24h', round(sum(cost), 6) {PER_DAY}
+UNION ALL SELECT 'requests_per_minute', outcome, round(count(*) / 86400 * 60, 6) {PER_DAY} GROUP BY 2 UNION ALL SELECT 'tokens_per_minute', 'in', round(sum(tin) / 86400 * 60, 6) {PER_DAY} UNION ALL SELECT 'tokens_per_minute', 'out', round(sum(tout) / 86400 * 60, 6) {PER_DAY}
+UNION ALL SELECT 'error_share', 'all', count(*) FILTER (outcome = 'error') / count(*) FROM l UNION ALL SELECT 'positive_share', 'all', count(*) FILTER (r = 1) / count(*) FILTER (r IN (1, 2)) FROM l
+UNION ALL SELECT 'cost_usd', 'p' || q, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (whole * q / 100 - below) / (n - below) END, 6) FROM z, (SELECT unnest([50, 95]) AS q) WHERE n >= whole * q / 100 QUALIFY row_number() OVER (PARTITION BY q ORDER BY le) = 1""")
+def g4_dashboard(spark, d):
+    e = F.col("event_id")
+    outcome = F.when(F.col("event_type") == "error", "error").otherwise("ok")
+    rows = table(spark, d, "events").select("ts", outcome.alias("outcome"), (e % 120 / 1000).alias("cost_usd"), (e % 1000).alias("tokens_in"), (e % 300).alias("tokens_out"), F.when(e % 4 == 1, "up").when(e % 4 == 2, "down").alias("rating"))
+    return A.dashboard(rows, F.lit("2024-01-30 00:00:00").cast("timestamp"))
+
+
+@query(f"{CALLS}, u AS (SELECT turn, sum(CASE WHEN failed THEN pc // 4 ELSE tin END) AS tin FROM t WHERE NOT failed OR pc > 0 GROUP BY 1) SELECT turn % 7 AS user_id, '2024-01' AS month_key, count(*) AS turns, sum(tin)::BIGINT AS tokens_in FROM u GROUP BY 1")
+def g3_usage_report(spark, d):
+    """Calls to turns, turns to the ledger of a user and month."""
+    turns = A.turn_usage(calls(spark, d), "turn").withColumn("ts", F.lit("2024-01-05 00:00:00").cast("timestamp")).withColumn("user_id", F.col("turn") % 7)
+    return A.spend(turns, "user_id").select("user_id", "month_key", "turns", "tokens_in")
+
+
+@query(HISTOGRAM)
+def m2_histogram_stream(spark, d):
+    events = counters.event_stream(spark, f"{d}/events.parquet")
+    return counters.cumulative(counters.drained(counters.stream_buckets(events, "event_type", "value", BOUNDS), ["event_type", "le"]), "event_type")
+
+
+@query(r"SELECT event_id, 'mail [EMAIL]' AS text, CASE WHEN event_id % 2 = 0 THEN 'repeat_forever' END AS abuse FROM events")
+def m8_redact_stream(spark, d):
+    events = counters.event_stream(spark, f"{d}/events.parquet")
+    text = F.concat(F.lit("mail a"), F.col("event_id").cast("string"), F.lit("@b.org"))
+    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("say it forever: "), text)).otherwise(text)
+    rows = counters.appended(counters.tagged(events.select("event_id", raw.alias("text"))))
+    return rows.withColumn("text", F.replace("text", F.lit("say it forever: "), F.lit("")))

@@ -106,3 +106,10 @@ QA_TAGS = ["macos", "osx", "mac-osx", "mac"]
 SKIPPED_FLAIRS = ["news", "rumor", "humor", "meme", "meta", "announcement", "weekly"]
 ID_PREFIXES = [("TN2", "apple_technotes"), ("TN3_", "apple_technotes"), ("DEVDOC_", "apple_developer_docs"), ("DEVFORUM_", "apple_developer_forums"), ("SO_", "stackoverflow"), ("REDDIT_", "reddit"), ("GH_", "github_issues"), ("WWDC_", "wwdc_transcripts")]
 ID_WORDS = ("MANPAGE", ["LOG", "DEFAULTS", "TCCUTIL", "PMSET"], "macos_man_pages", "apple_support")
+
+# Sessions: words that make one relevant, and the version that a year stands for.
+SESSION_WORDS = ["macos", " mac ", "privacy", "security", "permissions", "network", "bluetooth", "disk", "apfs", "battery", "power", "performance", "memory", "diagnostic", "crash", " log", "launchd", "daemon", "sandbox", "gatekeeper", "notariz", "signing", "certificate", "keychain", "tcc", "system extension", "kernel extension", "endpoint security", "filesystem", "xpc", "app lifecycle", "background task", "spotlight", "metadata", "nsuserdefaults", "preferences", "oslog", "core bluetooth", "network framework"]
+YEAR_VERSIONS = {2019: "10.15", 2020: "11", 2021: "12", 2022: "13", 2023: "14", 2024: "15"}
+# Parts of addresses that are not crawled.
+BLOCKED_URLS = ["/kb/index?", "src=support_app", "/docs/product/", "MANUALS/", "/guide/"]
+REACTIONS = ["+1", "laugh", "hooray", "heart", "rocket", "eyes"]

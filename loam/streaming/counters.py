@@ -11,7 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from loam.functions import text as X
 from loam.operators.accounting import rates
 
 
@@ -64,3 +66,24 @@ def stream_rates(events: DataFrame, label: str, width: str, slide: str | None =
 def stream_last_feedback(events: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
     """The last value of each key: the state is one row a key."""
     return events.groupBy(*key).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def stream_buckets(events: DataFrame, label: str, value: str, bounds: list[float]) -> DataFrame:
+    """(label, le, n): how many values fall into each bucket, the last without a bound; the state is one row a label and bucket."""
+    v = F.col(value)
+    le = F.lit(float("inf"))
+    for b in sorted(bounds, reverse=True):
+        le = F.when(v <= b, F.lit(float(b))).otherwise(le)
+    every = F.explode(F.array(*[F.struct(F.lit(float(b)).alias("le"), (le == float(b)).cast("long").alias("n")) for b in [*bounds, float("inf")]]))
+    return events.where(v.isNotNull()).select(label, every.alias("b")).groupBy(label, F.col("b.le").alias("le")).agg(F.sum("b.n").alias("n"))
+
+
+def cumulative(buckets: DataFrame, label: str) -> DataFrame:
+    """Bucket counts to counts of values at most each bound; a label has as many rows as there are bounds."""
+    upto = Window.partitionBy(label).orderBy("le").rowsBetween(Window.unboundedPreceding, 0)
+    return buckets.withColumn("n", F.sum("n").over(upto))
+
+
+def tagged(messages: DataFrame) -> DataFrame:
+    """messages(text, ...) with personal data replaced and the kind of abuse: without state, on a batch or a stream."""
+    return messages.withColumn("abuse", X.abuse_kind("text")).withColumn("text", X.redacted("text")[0])
