@@ -120,11 +120,23 @@ def tags(value) -> Column:
 
 
 def unescape(text) -> Column:
-    """The five entities of XML and the blank one, ampersand last."""
-    out = col(text)
-    for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(character))
-    return out
+    """Character references of HTML: numbers, and the names of the standard. Each is decoded once, so that an escaped
+    reference stays one; what is no reference stays as it is."""
+    import html.entities
+    import json
+
+    source = col(text)
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")})), "map<string,string>")
+    found = F.array_distinct(F.regexp_extract_all(source, F.lit("&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+
+    def character(name):
+        code = F.when(F.startswith(F.lower(name), F.lit("#x")), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2))).try_cast("long")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(F.startswith(name, F.lit("#")), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(F.try_element_at(names, name))
+
+    pairs = F.filter(F.transform(found, lambda n: F.struct((character(n) == "&").alias("last"), n.alias("name"), character(n).alias("by"))), lambda p: p["by"].isNotNull())
+    done = F.aggregate(F.array_sort(pairs), source, lambda out, p: F.replace(out, F.concat(F.lit("&"), p["name"], F.lit(";")), p["by"]))
+    return F.when(F.contains(source, F.lit("&")), done).otherwise(source)
 
 
 def html_text(html) -> Column:

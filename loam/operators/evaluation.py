@@ -154,3 +154,24 @@ def repaired_judgment(raw):
     """Column: the scores map of a judge's raw reply: fences stripped, from the first brace to the last; null if it does not parse."""
     body = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
     return F.from_json(body, "scores map<string,struct<correctness:int,actionability:int,depth_triage:int,grounding:int,note:string>>, best string")
+
+
+def judgments(replies: DataFrame, labels: list[str]) -> DataFrame:
+    """(columns of replies but raw, label, the four dimensions, note, best, parse_error) of replies(raw, ...), a row for each label:
+    scores clamped to 0..5, a missing one 0, notes cut at 200 characters; a best that is no label becomes the one with the
+    highest sum, the first of equals. A reply that does not parse has a row with zeros for each label and no best."""
+    dims = ["correctness", "actionability", "depth_triage", "grounding"]
+    rows = replies.withColumn("parsed", repaired_judgment("raw"))
+    own = F.transform(
+        F.array(*[F.lit(x) for x in labels]),
+        lambda x: F.struct(x.alias("label"), *[F.greatest(F.lit(0), F.least(F.lit(5), F.coalesce(F.try_element_at(F.col("parsed.scores"), x)[d], F.lit(0)))).alias(d) for d in dims], F.left(F.coalesce(F.try_element_at(F.col("parsed.scores"), x)["note"], F.lit("")), F.lit(200)).alias("note")),
+    )
+    rows = rows.withColumn("own", own)
+    total = lambda s: s["correctness"] + s["actionability"] + s["depth_triage"] + s["grounding"]
+    most = F.array_max(F.transform("own", total))
+    highest = F.get(F.filter("own", lambda s: total(s) == most), F.lit(0))["label"]
+    given = F.col("parsed.best")
+    failed = F.col("parsed").isNull() | (F.col("parsed.scores").isNull() & given.isNull())
+    best = F.when(~failed, F.when(given.isin(labels), given).otherwise(highest))
+    keep = [c for c in replies.columns if c != "raw"]
+    return rows.select(*keep, F.explode("own").alias("s"), best.alias("best"), failed.alias("parse_error")).select(*keep, "s.*", "best", "parse_error")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loam.operators import articles as A
 from loam.plans.common import contains_any, quoted, table
 from loam.plans.registry import query
+from loam.sources import pages as P
 
 NOW = F.lit("2024-01-01 00:00:00").cast("timestamp")
 WORDS, LABELS, PHRASES = ["and", "der"], ["s1", "s2"], ["the", "ist"]
@@ -218,3 +219,92 @@ def c1_pair_articles(spark, d):
     pairs = q.join(a, "question_id").where((F.length(F.concat("t", "q", "a")) >= 120) & (F.length("a") >= 90))
     pairs = pairs.select("question_id", F.concat("t", F.lit(" &amp; more")).alias("title"), F.array(F.lit("macos")).alias("tags"), F.concat(F.lit("<p>"), "q", F.lit("</p>")).alias("question"), F.concat(F.lit("<div>"), "a", F.lit("</div>")).alias("answer"))
     return A.pair_articles(pairs, NOW, category=lambda t: F.lit("general")).select("article_id", "title", "summary", F.col("sections")[1]["body"].alias("answer"))
+
+
+@query("""SELECT page_id, trim(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)[1]) AS title FROM pages WHERE regexp_matches(html, '<h1>[^<&]*</h1>')""")
+def s4_support_titles(spark, d):
+    simple = table(spark, d, "pages").where("regexp_like(html, '<h1>[^<&]*</h1>')")
+    return P.support_fields(simple).select("page_id", "title")
+
+
+@query()
+def s4_support_pages(spark, d):
+    fields = P.support_fields(table(spark, d, "pages"))
+    return fields.select("page_id", "title", "summary", F.size("sections").cast("long").alias("n_sections"), F.size("steps").cast("long").alias("n_steps"))
+
+
+@query()
+def s5_notes(spark, d):
+    return P.note_fields(table(spark, d, "pages")).select("page_id", "title", F.length(F.col("sections")[0]["body"]).alias("n_body"))
+
+
+@query()
+def s17_sessions(spark, d):
+    return P.session_fields(table(spark, d, "pages")).select("page_id", "title", F.length("content").alias("n_content"))
+
+
+@query()
+def c2_page_articles(spark, d):
+    pages = table(spark, d, "pages").withColumn("url", F.concat(F.lit("https://s.org/en-us/"), (100_000 + F.col("page_id")).cast("string")))
+    return P.page_articles(pages, NOW, ["iMac", "MacBook"]).select("article_id", "title", "summary", F.size("sections").alias("n_sections"))
+
+
+@query("SELECT page_id, y AS year, CAST(page_id % 900 + k AS VARCHAR) AS id FROM pages, (SELECT unnest([{'y': '2023', 'k': 1}, {'y': '2024', 'k': 2}]) AS u), LATERAL (SELECT u.y AS y, u.k AS k)")
+def s16_link_pairs(spark, d):
+    i = F.col("page_id") % 900
+    html = F.concat(F.lit('<a href="/play/wwdc2023/'), (i + 1).cast("string"), F.lit('/">a</a><a href="/play/wwdc2024/'), (i + 2).cast("string"), F.lit('">b</a><a href="/play/wwdc2023/'), (i + 1).cast("string"), F.lit('"></a>'))
+    return table(spark, d, "pages").select("page_id", F.inline(P.link_pairs(html)))
+
+
+def content(spark, d):
+    """Documents as documentation files: an opening paragraph, a heading, a list and code."""
+    node = lambda kind, **x: F.struct(F.lit(kind).alias("type"), *[v.alias(k) for k, v in x.items()])
+    piece = lambda a, n: F.trim(F.substring("text", a, n))
+    inline = F.array(node("text", text=piece(1, 30)))
+    item = F.struct(F.array(F.struct(F.array(node("text", text=piece(61, 30))).alias("inlineContent"))).alias("content"))
+    nodes = [F.to_json(node("paragraph", inlineContent=inline)), F.to_json(node("heading", text=piece(31, 30))), F.to_json(node("unorderedList", items=F.array(item))), F.to_json(node("codeListing", code=F.array(F.lit("a"), F.lit("b"))))]
+    whole = F.concat(F.lit('{"metadata":{"title":"t'), ID.cast("string"), F.lit('"},"primaryContentSections":[{"kind":"content","content":['), F.concat_ws(",", *nodes), F.lit("]}]}"))
+    return docs(spark, d).where(F.length("text") >= 100).select(ID.cast("string").alias("name"), whole.alias("json"))
+
+
+@query(f"""{T}, m AS (SELECT doc_id, t FROM x WHERE len(t) >= 100) SELECT CAST(doc_id AS VARCHAR) AS name, 't' || doc_id AS title, 'Overview' AS heading, trim(substr(t, 1, 30)) AS body FROM m WHERE trim(substr(t, 1, 30)) <> ''
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 't' || doc_id, trim(substr(t, 31, 30)), trim(trim(substr(t, 61, 30)) || ' a b') FROM m""")
+def s6_doc_sections(spark, d):
+    return P.doc_sections(content(spark, d)).select("name", "title", F.inline("sections"))
+
+
+@query(f"{T} SELECT 'topic' || (doc_id % 3) AS topic, 0 AS pos, left(t, 10) AS title, '/documentation/x/' || doc_id AS url FROM x WHERE doc_id % 5 <> 0")
+def s8_index_links(spark, d):
+    name = ID.cast("string")
+    place = F.when(ID % 5 == 0, F.concat(F.lit("/other/"), name)).otherwise(F.concat(F.lit("/documentation/x/"), name))
+    refs = F.create_map(F.concat(F.lit("doc://"), name), F.struct(F.left("text", F.lit(10)).alias("title"), place.alias("url")))
+    topics = F.array(F.struct(F.concat(F.lit("topic"), (ID % 3).cast("string")).alias("title"), F.array(F.concat(F.lit("doc://"), name), F.lit("doc://none")).alias("identifiers")))
+    return P.index_links(docs(spark, d).select(F.to_json(F.struct(topics.alias("topicSections"), refs.alias("references"))).alias("json")), "/documentation/x/")
+
+
+@query(f"{T} SELECT doc_id AS number, left(t, 20) AS title, doc_id % 9 AS comments FROM x WHERE doc_id % 4 <> 0 AND doc_id % 7 <> 0")
+def s11_closed_issues(spark, d):
+    record = F.struct(ID.alias("number"), F.left("text", F.lit(20)).alias("title"), F.when(ID % 4 == 0, "open").otherwise("closed").alias("state"), (ID % 9).alias("comments"), F.when(ID % 7 == 0, F.struct(F.lit("u").alias("url"))).alias("pull_request"))
+    return P.closed_issues(docs(spark, d).select(F.to_json(record).alias("json"))).select("number", "title", "comments")
+
+
+@query("SELECT doc_id AS number, doc_id % 5 + doc_id % 3 AS reactions FROM documents")
+def j12_comments(spark, d):
+    record = F.to_json(F.struct(F.lit("b").alias("body"), F.create_map(F.lit("+1"), ID % 5, F.lit("heart"), ID % 3, F.lit("confused"), F.lit(9).cast("long")).alias("reactions")))
+    return P.issue_comments(table(spark, d, "documents").select(ID.alias("number"), F.lit(1).alias("pos"), record.alias("json"))).select("number", F.col("reactions").cast("long").alias("reactions"))
+
+
+@query(f"{T} SELECT 'p' || doc_id AS post_id, left(t, 20) AS title, doc_id % 50 AS score FROM x")
+def s12_listed_posts(spark, d):
+    child = F.struct(F.struct(F.concat(F.lit("p"), ID.cast("string")).alias("id"), F.left("text", F.lit(20)).alias("title"), (ID % 50).alias("score")).alias("data"))
+    pages = docs(spark, d).groupBy((ID % 40).alias("k")).agg(F.collect_list(child).alias("children"))
+    return P.listed_posts(pages.select(F.to_json(F.struct(F.struct("children").alias("data"))).alias("json"))).select("post_id", "title", "score")
+
+
+@query(f"{T} SELECT q.doc_id AS question_id, left(q.t, 20) AS title, left(a.t, 20) AS answer FROM x q JOIN x a ON a.doc_id = q.doc_id + 1 WHERE q.doc_id % 6 >= 2 AND q.doc_id % 4 <> 0 AND a.doc_id % 3 >= 1")
+def s13_api_pairs(spark, d):
+    part = F.left("text", F.lit(20))
+    q = F.struct(ID.alias("question_id"), part.alias("title"), part.alias("body"), F.when(ID % 4 != 0, ID + 1).alias("accepted_answer_id"), (ID % 6).alias("score"))
+    a = F.struct(ID.alias("answer_id"), part.alias("body"), (ID % 3).alias("score"))
+    rows = docs(spark, d)
+    return P.api_pairs(rows.select(F.to_json(q).alias("json")), rows.select(F.to_json(a).alias("json"))).select("question_id", "title", "answer")

@@ -9,7 +9,7 @@ from loam.operators import grounding as G
 from loam.operators import turns as U
 from loam.plans.common import contains_any, quoted, table
 from loam.plans.registry import query
-from loam.streaming import counters
+from loam.streaming import conversations, counters
 
 FAILED, TOOLS, RECENT, TOPICAL = ["and", "with"], ["the", "der", "le"], ["new", "from"], ["the", "in "]
 STOP = ["and", "for"]
@@ -95,9 +95,13 @@ def x39_turn_action(spark, d):
 
 
 def updates(spark, d):
+    return updates_of(messages(spark, d))
+
+
+def updates_of(rows):
     t, c = F.col("turn"), F.col("conv_id")
     some = lambda test, value: F.when(test, value)
-    return messages(spark, d).select(
+    return rows.select(
         "conv_id", "turn", some(t % 3 == 1, F.concat(F.lit("v"), t.cast("string"))).alias("version"), some((t + c) % 4 == 0, F.concat(F.lit("m"), (c % 3).cast("string"))).alias("chip"),
         F.element_at(F.array(F.lit("general"), F.lit("disk"), F.lit(None), F.lit("wifi")), ((t + c) % 4 + 1).cast("int")).alias("category"), some(F.col("role") == "user", F.left("text", F.lit(30))).alias("topic"),
         F.slice(F.split("text", " "), 1, 2).alias("tried"), ((t > 2) & ((c + t) % 5 == 0)).alias("new_problem"), ((t + c) % 7 == 1).alias("asked"), (t % 3).alias("diagnostics"),
@@ -105,7 +109,7 @@ def updates(spark, d):
     )
 
 
-@query("""WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'v' || turn END AS version, CASE WHEN (turn + conv_id) % 4 = 0 THEN 'm' || (conv_id % 3) END AS chip, ['general', 'disk', NULL, 'wifi'][1 + (turn + conv_id) % 4] AS category,
+CASES = """WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'v' || turn END AS version, CASE WHEN (turn + conv_id) % 4 = 0 THEN 'm' || (conv_id % 3) END AS chip, ['general', 'disk', NULL, 'wifi'][1 + (turn + conv_id) % 4] AS category,
 CASE WHEN role = 'user' THEN left(text, 30) END AS topic, string_split(text, ' ')[1:2] AS tried, turn > 2 AND (conv_id + turn) % 5 = 0 AS new, (turn + conv_id) % 7 = 1 AS asked, turn % 3 AS diagnostics,
 CASE WHEN role = 'assistant' THEN 'ask' || turn WHEN (turn + conv_id) % 2 = 0 THEN 'CLEAR' END AS pending FROM conversations),
 f AS (SELECT conv_id, arg_max(version, turn) FILTER (version IS NOT NULL) AS version, arg_max(chip, turn) FILTER (chip IS NOT NULL) AS chip, coalesce(max(turn) FILTER (new), -1) AS since FROM x GROUP BY 1),
@@ -115,7 +119,10 @@ nullif(arg_max(pending, turn) FILTER (pending IS NOT NULL), 'CLEAR') AS pending
 s AS (SELECT conv_id, turn, pos, tried[pos] AS step FROM (SELECT conv_id, turn, tried, unnest(range(1, len(tried) + 1)) AS pos FROM p)),
 k AS (SELECT conv_id, min(row(turn, pos, step)) AS first FROM s GROUP BY conv_id, lower(step)),
 t AS (SELECT conv_id, string_agg(first[3], '|' ORDER BY first) AS tried FROM k GROUP BY 1)
-SELECT conv_id, version, chip, topic, category, asked, diagnostics, pending, coalesce(tried, '') AS tried FROM f JOIN o USING (conv_id) LEFT JOIN t USING (conv_id)""")
+SELECT conv_id, version, chip, topic, category, asked, diagnostics, pending, coalesce(tried, '') AS tried FROM f JOIN o USING (conv_id) LEFT JOIN t USING (conv_id)"""
+
+
+@query(CASES)
 def g5_case_files(spark, d):
     return U.case_files(updates(spark, d)).withColumn("tried", F.array_join("tried", "|"))
 
@@ -234,3 +241,24 @@ def k12_reset(spark, d):
 def k10_append(spark, d):
     ledger = table(spark, d, "events").select("event_id", F.col("value").alias("cost_usd"))
     return C.with_entries(ledger.where("event_id % 2 = 0"), ledger.where("event_id % 50 = 0").select("event_id"))
+
+
+def message_stream(spark, d):
+    rows = spark.readStream.schema(messages(spark, d).schema).parquet(f"{d}/conversations.parquet*")
+    return rows
+
+
+@query(CASES)
+def m3_case_stream(spark, d):
+    return counters.appended(conversations.stream_case_files(updates_of(message_stream(spark, d)))).withColumn("tried", F.array_join("tried", "|"))
+
+
+@query("SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS turns FROM (SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) GROUP BY 1")
+def m7_history_stream(spark, d):
+    return counters.appended(conversations.stream_history(message_stream(spark, d)))
+
+
+@query("SELECT DISTINCT 'c' || (event_id % 700) AS chunk_id FROM events")
+def m6_ingest_stream(spark, d):
+    events = counters.event_stream(spark, f"{d}/events.parquet")
+    return counters.appended(conversations.stream_once(events.select(F.concat(F.lit("c"), (F.col("event_id") % 700).cast("string")).alias("chunk_id")), "chunk_id"))
