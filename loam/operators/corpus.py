@@ -89,3 +89,18 @@ def rebuilt(articles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     patched = articles.withColumn("source", F.coalesce("source", X.source_of_id("article_id"))).withColumn("category", F.coalesce("category", X.scored_category(blob)))
     chunks = chunk_articles(patched)
     return patched, chunks, index_of(patched, chunks)
+
+
+def subset(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the ids, each once however often an id is listed."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def message_fault(text, most: int = 16_000) -> Column:
+    """Why a message is refused before anything else: empty or too long; null where it is not."""
+    text = F.coalesce(F.col(text), F.lit(""))
+    return F.when(F.trim(text) == "", "empty").when(F.length(text) > most, "too long")
+
+
+def snippet(text, most: int = 280) -> Column:
+    return F.left(F.coalesce(F.col(text), F.lit("")), F.lit(most))

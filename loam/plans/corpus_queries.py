@@ -91,17 +91,17 @@ def f15_ran_today(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def f16_subset(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_semi").select("doc_id")
+    return C.subset(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").select("doc_id")
 
 
 @query("SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN len(text) > 400 THEN 'too long' END AS rejected FROM conversations")
 def f17_message_checks(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.when(F.trim("text") == "", "empty").when(F.length("text") > 400, "too long").alias("rejected"))
+    return table(spark, d, "conversations").select("conv_id", "turn", C.message_fault("text", 400).alias("rejected"))
 
 
 @query("SELECT doc_id, left(text, 280) AS snippet, source FROM documents")
 def f19_snippet(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.left("text", F.lit(280)).alias("snippet"), "source")
+    return table(spark, d, "documents").select("doc_id", C.snippet("text").alias("snippet"), "source")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -78,6 +78,25 @@ def j5_manual_pages(spark, d):
     return both.select("query_id", "point_id", F.col("pos").cast("long").alias("pos"))
 
 
+def pmset_queries(spark, d):
+    """Every fifth query vector names a command; half of them ask for version 14, half for any."""
+    q = queries_of(spark, d).drop("query_label")
+    i = F.col("query_id")
+    return q.withColumn("text", F.when(i % 100 == 0, "run pmset now").otherwise("plain")).withColumn("version", F.when(i % 150 == 0, "any").otherwise("14")).withColumn("category", F.lit("7"))
+
+
+@query(f"""WITH {RANKED}, mp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, point_id) AS pos FROM c WHERE source = 's3' AND query_id % 100 = 0 QUALIFY pos <= 6),
+whole AS (SELECT query_id, point_id, article_id, source, tier, cosine, pos FROM pool UNION ALL SELECT query_id, point_id, article_id, source, tier, cosine, pos + 15 FROM mp WHERE (query_id, point_id) NOT IN (SELECT query_id, point_id FROM pool)),
+trusted AS (SELECT query_id FROM (SELECT query_id, max(cosine) AS top1, avg(cosine) FILTER (r <= 5) AS mean5 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, pos) AS r FROM whole) GROUP BY 1) WHERE NOT (top1 < 0.34 OR (top1 < 0.45 AND mean5 < 0.36)) UNION SELECT query_id FROM mp WHERE cosine >= 0.34),
+scored AS (SELECT *, round_even(cosine * {WEIGHT} + CASE WHEN source = 's3' AND query_id % 100 = 0 AND point_id % 11 = 0 THEN 0.25 ELSE 0 END + CASE WHEN query_id % 150 <> 0 AND point_id % 2 = 1 THEN 0.02 ELSE 0 END, 4) AS score FROM whole WHERE query_id IN (SELECT query_id FROM trusted)),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, article_id ORDER BY score DESC, pos) = 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank, point_id, score FROM best QUALIFY rank <= 5""")
+def x22_manual_retrieval(spark, d):
+    """Manual pages join and lift, a near one overrides a weak pool, versions filter and lift, the category only would lift."""
+    found = R.retrieve(points(spark, d), pmset_queries(spark, d), 5, WEIGHTS, threshold=0.34, marginal=0.45, mean=0.36, manual_source="s3", commands=["pmset"], exclude_self=True)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "point_id", "score")
+
+
 GRADED = f"{HITS}, g AS (SELECT query_id, rank, tier, CASE WHEN label = query_label THEN 3 WHEN abs(label - query_label) = 1 THEN 1 ELSE 0 END AS grade FROM hits)"
 PADDED = f"{GRADED}, pad AS (SELECT q.query_id, r.rank, coalesce(g.grade, 0) AS grade FROM q CROSS JOIN (SELECT unnest(range(1, 6)) AS rank) r LEFT JOIN g ON g.query_id = q.query_id AND g.rank = r.rank)"
 METRICS = f"""{PADDED},
