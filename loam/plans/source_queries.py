@@ -9,13 +9,15 @@ from loam.plans.common import contains_any, quoted, table
 from loam.plans.registry import query
 from loam.sources import pages as P
 
-NOW = F.lit("2024-01-01 00:00:00").cast("timestamp")
 WORDS, LABELS, PHRASES = ["and", "der"], ["s1", "s2"], ["the", "ist"]
-ID = F.col("doc_id")
 #: One line of plain words: markup and odd white space have tests of their own.
 PLAIN = "regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9.]+', ' ', 'g'), '^ | $', '', 'g')"
 
 
+def now():
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+
 def plain(df):
     return df.withColumn("text", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9.]+", " ")))
 
@@ -26,8 +28,8 @@ def docs(spark, d):
 
 def posts(spark, d):
     return docs(spark, d).select(
-        F.concat(F.lit("p"), ID.cast("string")).alias("post_id"), F.lit("mac").alias("group"), F.left("text", F.lit(40)).alias("title"), F.when(ID % 9 != 0, F.col("text")).otherwise(" ").alias("body"), F.lit("/r/x").alias("permalink"),
-        (ID * 60).alias("created"), (ID % 12).alias("score"), (ID % 7).alias("comments"), (ID % 5 != 0).alias("is_self"), (ID % 11 == 0).alias("stickied"), F.when(ID % 13 == 0, True).alias("over_18"), F.when(ID % 4 == 0, F.col("source")).when(ID % 17 == 0, F.lit("Weekly News")).alias("flair"),
+        F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("post_id"), F.lit("mac").alias("group"), F.left("text", F.lit(40)).alias("title"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).otherwise(" ").alias("body"), F.lit("/r/x").alias("permalink"),
+        (F.col("doc_id") * 60).alias("created"), (F.col("doc_id") % 12).alias("score"), (F.col("doc_id") % 7).alias("comments"), (F.col("doc_id") % 5 != 0).alias("is_self"), (F.col("doc_id") % 11 == 0).alias("stickied"), F.when(F.col("doc_id") % 13 == 0, True).alias("over_18"), F.when(F.col("doc_id") % 4 == 0, F.col("source")).when(F.col("doc_id") % 17 == 0, F.lit("Weekly News")).alias("flair"),
     )
 
 
@@ -43,20 +45,20 @@ def f3_posts(spark, d):
 @query(f"""{T} SELECT 'REDDIT_P' || doc_id AS article_id, trim(left(t, 40)) AS title, left(trim(left(t, 40)) || '. ' || t, 300) AS summary, strftime(make_timestamp(doc_id * 60000000), '%Y-%m-%dT%H:%M:%SZ') AS last_modified, len(trim(left(t, 40)) || '. ' || t) AS n_body
 FROM x WHERE {WORTH} AND len(t) > 80 AND len(trim(left(t, 40)) || '. ' || t) >= 100""")
 def c4_post_articles(spark, d):
-    out = A.post_articles(posts(spark, d).where(F.length("body") > 80), NOW, category=lambda t: F.lit("general"))
+    out = A.post_articles(posts(spark, d).where(F.length("body") > 80), now(), category=lambda t: F.lit("general"))
     return out.where(F.length(out["sections"][0]["body"]) >= 100).select("article_id", "title", "summary", "last_modified", F.length(F.col("sections")[0]["body"]).cast("long").alias("n_body"))
 
 
 def issues(spark, d):
     rows = docs(spark, d).where("doc_id % 3 = 0")
-    return rows.select(F.lit("own").alias("owner"), F.col("source").alias("repo"), ID.alias("number"), F.left("text", F.lit(30)).alias("title"), F.col("text").alias("body"), F.array("lang", F.upper("source")).alias("labels"), (ID % 8).alias("comments"), F.lit("u").alias("url"))
+    return rows.select(F.lit("own").alias("owner"), F.col("source").alias("repo"), F.col("doc_id").alias("number"), F.left("text", F.lit(30)).alias("title"), F.col("text").alias("body"), F.array("lang", F.upper("source")).alias("labels"), (F.col("doc_id") % 8).alias("comments"), F.lit("u").alias("url"))
 
 
 def comments(spark, d):
     """Each document is a comment on one of the five issues after it."""
     rows = docs(spark, d)
     on = docs(spark, d).where("doc_id % 3 = 0").select(F.col("source").alias("repo"), F.col("doc_id").alias("number"))
-    near = rows.select(F.explode(F.sequence(ID, ID + 5)).alias("number"), ID.alias("pos"), F.col("text").alias("body"), (ID % 6).alias("reactions"))
+    near = rows.select(F.explode(F.sequence(F.col("doc_id"), F.col("doc_id") + 5)).alias("number"), F.col("doc_id").alias("pos"), F.col("text").alias("body"), (F.col("doc_id") % 6).alias("reactions"))
     return near.join(on, "number").select(F.lit("own").alias("owner"), "repo", "number", "pos", "body", "reactions")
 
 
@@ -81,12 +83,12 @@ def w6_solutions(spark, d):
 @query(f"""{T}, {PICKED} SELECT 'GH_OWN_' || upper(source) || '_' || doc_id AS article_id, left(t, 30) AS title, left(t, 300) AS summary, left(t, 1000) AS problem, left(solution, 1000) AS solution
 FROM x JOIN s ON number = doc_id WHERE {RELEVANT} AND doc_id % 8 >= 3 AND len(t) >= 200""")
 def c3_issue_articles(spark, d):
-    out = A.issue_articles(issues(spark, d), comments(spark, d), NOW, WORDS, LABELS, category=lambda t: F.lit("general"))
+    out = A.issue_articles(issues(spark, d), comments(spark, d), now(), WORDS, LABELS, category=lambda t: F.lit("general"))
     return out.select("article_id", "title", "summary", F.col("sections")[0]["body"].alias("problem"), F.col("sections")[1]["body"].alias("solution"))
 
 
 def sessions(spark, d):
-    return docs(spark, d).select(F.concat(F.lit("s"), ID.cast("string")).alias("session_id"), (2017 + ID % 9).cast("int").alias("year"), F.left("text", F.lit(30)).alias("title"), F.left("text", F.lit(200)).alias("description"), "text", F.when(ID % 3 == 0, F.left("text", F.lit(200))).otherwise(F.col("text")).alias("content"), F.lit("u").alias("url"))
+    return docs(spark, d).select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("session_id"), (2017 + F.col("doc_id") % 9).cast("int").alias("year"), F.left("text", F.lit(30)).alias("title"), F.left("text", F.lit(200)).alias("description"), "text", F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(200))).otherwise(F.col("text")).alias("content"), F.lit("u").alias("url"))
 
 
 @query(f"{T} SELECT doc_id, {contains_any('''lower(left(t, 30) || ' ' || left(t, 200))''', WORDS)} AS relevant FROM x")
@@ -97,7 +99,7 @@ def f6_session_relevant(spark, d):
 @query(f"""{T} SELECT 'WWDC_' || (2017 + doc_id % 9) || '_S' || doc_id AS article_id, 'WWDC' || (2017 + doc_id % 9) || ': ' || left(t, 30) AS title, coalesce(['10.15', '11', '12', '13', '14', '15'][CASE WHEN doc_id % 9 BETWEEN 2 AND 7 THEN doc_id % 9 - 1 ELSE 99 END], 'all') AS version,
 left(CASE WHEN doc_id % 3 = 0 THEN left(t, 200) ELSE t END, 1500) AS content FROM x WHERE {contains_any('''lower(left(t, 30) || ' ' || left(t, 200))''', WORDS)} AND len(t) > 120""")
 def c6_session_articles(spark, d):
-    out = A.session_articles(sessions(spark, d).where(F.length("text") > 120), NOW, WORDS, category=lambda t: F.lit("general"))
+    out = A.session_articles(sessions(spark, d).where(F.length("text") > 120), now(), WORDS, category=lambda t: F.lit("general"))
     return out.select("article_id", "title", F.col("macos_versions")[0].alias("version"), F.col("sections")[1]["body"].alias("content"))
 
 
@@ -125,18 +127,18 @@ def f7_threads_worth(spark, d):
 @query(f"{THREADS} SELECT 'DEVFORUM_' || (conv_id + 1000) AS article_id, title, left(post, 300) AS summary, accepted AS solution FROM h WHERE coalesce(accepted, '') <> '' AND replies >= 2 AND (title <> '' OR post <> '') AND len(post || accepted) >= 100")
 def c7_thread_articles(spark, d):
     threads = A.threads_of(thread_posts(spark, d)).where(F.length(F.concat("post", "accepted")) >= 100)
-    return A.thread_articles(threads, NOW, category=lambda t: F.lit("general")).select("article_id", "title", "summary", F.col("sections")[1]["body"].alias("solution"))
+    return A.thread_articles(threads, now(), category=lambda t: F.lit("general")).select("article_id", "title", "summary", F.col("sections")[1]["body"].alias("solution"))
 
 
 def manuals(spark, d):
     """Documents as manual pages: name, synopsis with flags, description, examples."""
     rows = docs(spark, d).where(F.length("text") >= 300)
-    c = F.concat(F.lit("c"), (ID % 20).cast("string"))
+    c = F.concat(F.lit("c"), (F.col("doc_id") % 20).cast("string"))
     raw = F.concat(
-        F.lit("C(1)\nNAME\n     "), c, F.lit(" - "), F.left("text", F.lit(20)), F.lit("\nSYNOPSIS\n     "), c, F.lit(" -b"), (ID % 3).cast("string"), F.lit(" --all -x file\n\nDESCRIPTION\n     "), F.substring("text", 21, 200),
-        F.lit("\nEXAMPLES\n     $ "), c, F.lit(" -x one\n     # a remark\n     two"), (ID % 3).cast("string"), F.lit(" words\nEMPTY ONE\nSEE ALSO\n     log"),
+        F.lit("C(1)\nNAME\n     "), c, F.lit(" - "), F.left("text", F.lit(20)), F.lit("\nSYNOPSIS\n     "), c, F.lit(" -b"), (F.col("doc_id") % 3).cast("string"), F.lit(" --all -x file\n\nDESCRIPTION\n     "), F.substring("text", 21, 200),
+        F.lit("\nEXAMPLES\n     $ "), c, F.lit(" -x one\n     # a remark\n     two"), (F.col("doc_id") % 3).cast("string"), F.lit(" words\nEMPTY ONE\nSEE ALSO\n     log"),
     )
-    return rows.select("doc_id", c.alias("command"), ID.cast("string").alias("section"), raw.alias("raw_text"))
+    return rows.select("doc_id", c.alias("command"), F.col("doc_id").cast("string").alias("section"), raw.alias("raw_text"))
 
 
 M = f"{T}, m AS (SELECT doc_id, 'c' || doc_id % 20 AS c, t FROM x WHERE len(t) >= 300)"
@@ -164,7 +166,7 @@ def f8_manuals(spark, d):
 
 @query(f"{M} SELECT 'MANPAGE_C' || doc_id % 20 || '_' || doc_id AS article_id, c || '(' || doc_id || ') — ' || trim(left(t, 20)) AS title, trim(left(t, 20)) AS summary, 4 AS n_sections, 2 AS n_steps FROM m WHERE c IN ({quoted(WANTED)})")
 def c5_manual_articles(spark, d):
-    return A.manual_articles(manuals(spark, d), NOW, WANTED).select("article_id", "title", "summary", F.size("sections").alias("n_sections"), F.size("steps").alias("n_steps"))
+    return A.manual_articles(manuals(spark, d), now(), WANTED).select("article_id", "title", "summary", F.size("sections").alias("n_sections"), F.size("steps").alias("n_steps"))
 
 
 def urls(spark, d):
@@ -200,7 +202,7 @@ def t4_limited(spark, d):
 
 @query("SELECT 'c' || doc_id % 50 AS command, min(row(doc_id % 4, source || doc_id))[1]::INT AS directory, min(row(doc_id % 4, source || doc_id))[2] AS path FROM documents GROUP BY 1")
 def w9_first_directory(spark, d):
-    files = table(spark, d, "documents").select(F.concat(F.lit("c"), (ID % 50).cast("string")).alias("command"), (ID % 4).cast("int").alias("directory"), F.concat("source", ID.cast("string")).alias("path"))
+    files = table(spark, d, "documents").select(F.concat(F.lit("c"), (F.col("doc_id") % 50).cast("string")).alias("command"), (F.col("doc_id") % 4).cast("int").alias("directory"), F.concat("source", F.col("doc_id").cast("string")).alias("path"))
     return A.first_directory(files)
 
 
@@ -214,11 +216,11 @@ def w15_sections(spark, d):
 @query(f"""{T}, p AS (SELECT q.doc_id AS id, left(q.t, 30) AS title, q.t AS ask, a.t AS told FROM x q JOIN x a ON a.doc_id = q.doc_id + 1 WHERE q.doc_id % 2 = 0)
 SELECT 'ASK_' || id AS article_id, title || ' & more' AS title, left(ask, 300) AS summary, told AS answer FROM p WHERE len(title || ask || told) >= 120 AND len(told) >= 90""")
 def c1_pair_articles(spark, d):
-    q = docs(spark, d).where("doc_id % 2 = 0").select(ID.alias("question_id"), F.left("text", F.lit(30)).alias("t"), F.col("text").alias("q"))
-    a = docs(spark, d).select((ID - 1).alias("question_id"), F.col("text").alias("a"))
+    q = docs(spark, d).where("doc_id % 2 = 0").select(F.col("doc_id").alias("question_id"), F.left("text", F.lit(30)).alias("t"), F.col("text").alias("q"))
+    a = docs(spark, d).select((F.col("doc_id") - 1).alias("question_id"), F.col("text").alias("a"))
     pairs = q.join(a, "question_id").where((F.length(F.concat("t", "q", "a")) >= 120) & (F.length("a") >= 90))
     pairs = pairs.select("question_id", F.concat("t", F.lit(" &amp; more")).alias("title"), F.array(F.lit("macos")).alias("tags"), F.concat(F.lit("<p>"), "q", F.lit("</p>")).alias("question"), F.concat(F.lit("<div>"), "a", F.lit("</div>")).alias("answer"))
-    return A.pair_articles(pairs, NOW, category=lambda t: F.lit("general")).select("article_id", "title", "summary", F.col("sections")[1]["body"].alias("answer"))
+    return A.pair_articles(pairs, now(), category=lambda t: F.lit("general")).select("article_id", "title", "summary", F.col("sections")[1]["body"].alias("answer"))
 
 
 @query("""SELECT page_id, trim(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)[1]) AS title FROM pages WHERE regexp_matches(html, '<h1>[^<&]*</h1>')""")
@@ -246,7 +248,7 @@ def s17_sessions(spark, d):
 @query()
 def c2_page_articles(spark, d):
     pages = table(spark, d, "pages").withColumn("url", F.concat(F.lit("https://s.org/en-us/"), (100_000 + F.col("page_id")).cast("string")))
-    return P.page_articles(pages, NOW, ["iMac", "MacBook"]).select("article_id", "title", "summary", F.size("sections").alias("n_sections"))
+    return P.page_articles(pages, now(), ["iMac", "MacBook"]).select("article_id", "title", "summary", F.size("sections").alias("n_sections"))
 
 
 @query("SELECT page_id, y AS year, CAST(page_id % 900 + k AS VARCHAR) AS id FROM pages, (SELECT unnest([{'y': '2023', 'k': 1}, {'y': '2024', 'k': 2}]) AS u), LATERAL (SELECT u.y AS y, u.k AS k)")
@@ -263,8 +265,8 @@ def content(spark, d):
     inline = F.array(node("text", text=piece(1, 30)))
     item = F.struct(F.array(F.struct(F.array(node("text", text=piece(61, 30))).alias("inlineContent"))).alias("content"))
     nodes = [F.to_json(node("paragraph", inlineContent=inline)), F.to_json(node("heading", text=piece(31, 30))), F.to_json(node("unorderedList", items=F.array(item))), F.to_json(node("codeListing", code=F.array(F.lit("a"), F.lit("b"))))]
-    whole = F.concat(F.lit('{"metadata":{"title":"t'), ID.cast("string"), F.lit('"},"primaryContentSections":[{"kind":"content","content":['), F.concat_ws(",", *nodes), F.lit("]}]}"))
-    return docs(spark, d).where(F.length("text") >= 100).select(ID.cast("string").alias("name"), whole.alias("json"))
+    whole = F.concat(F.lit('{"metadata":{"title":"t'), F.col("doc_id").cast("string"), F.lit('"},"primaryContentSections":[{"kind":"content","content":['), F.concat_ws(",", *nodes), F.lit("]}]}"))
+    return docs(spark, d).where(F.length("text") >= 100).select(F.col("doc_id").cast("string").alias("name"), whole.alias("json"))
 
 
 @query(f"""{T}, m AS (SELECT doc_id, t FROM x WHERE len(t) >= 100) SELECT CAST(doc_id AS VARCHAR) AS name, 't' || doc_id AS title, 'Overview' AS heading, trim(substr(t, 1, 30)) AS body FROM m WHERE trim(substr(t, 1, 30)) <> ''
@@ -275,36 +277,36 @@ def s6_doc_sections(spark, d):
 
 @query(f"{T} SELECT 'topic' || (doc_id % 3) AS topic, 0 AS pos, left(t, 10) AS title, '/documentation/x/' || doc_id AS url FROM x WHERE doc_id % 5 <> 0")
 def s8_index_links(spark, d):
-    name = ID.cast("string")
-    place = F.when(ID % 5 == 0, F.concat(F.lit("/other/"), name)).otherwise(F.concat(F.lit("/documentation/x/"), name))
+    name = F.col("doc_id").cast("string")
+    place = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("/other/"), name)).otherwise(F.concat(F.lit("/documentation/x/"), name))
     refs = F.create_map(F.concat(F.lit("doc://"), name), F.struct(F.left("text", F.lit(10)).alias("title"), place.alias("url")))
-    topics = F.array(F.struct(F.concat(F.lit("topic"), (ID % 3).cast("string")).alias("title"), F.array(F.concat(F.lit("doc://"), name), F.lit("doc://none")).alias("identifiers")))
+    topics = F.array(F.struct(F.concat(F.lit("topic"), (F.col("doc_id") % 3).cast("string")).alias("title"), F.array(F.concat(F.lit("doc://"), name), F.lit("doc://none")).alias("identifiers")))
     return P.index_links(docs(spark, d).select(F.to_json(F.struct(topics.alias("topicSections"), refs.alias("references"))).alias("json")), "/documentation/x/")
 
 
 @query(f"{T} SELECT doc_id AS number, left(t, 20) AS title, doc_id % 9 AS comments FROM x WHERE doc_id % 4 <> 0 AND doc_id % 7 <> 0")
 def s11_closed_issues(spark, d):
-    record = F.struct(ID.alias("number"), F.left("text", F.lit(20)).alias("title"), F.when(ID % 4 == 0, "open").otherwise("closed").alias("state"), (ID % 9).alias("comments"), F.when(ID % 7 == 0, F.struct(F.lit("u").alias("url"))).alias("pull_request"))
+    record = F.struct(F.col("doc_id").alias("number"), F.left("text", F.lit(20)).alias("title"), F.when(F.col("doc_id") % 4 == 0, "open").otherwise("closed").alias("state"), (F.col("doc_id") % 9).alias("comments"), F.when(F.col("doc_id") % 7 == 0, F.struct(F.lit("u").alias("url"))).alias("pull_request"))
     return P.closed_issues(docs(spark, d).select(F.to_json(record).alias("json"))).select("number", "title", "comments")
 
 
 @query("SELECT doc_id AS number, doc_id % 5 + doc_id % 3 AS reactions FROM documents")
 def j12_comments(spark, d):
-    record = F.to_json(F.struct(F.lit("b").alias("body"), F.create_map(F.lit("+1"), ID % 5, F.lit("heart"), ID % 3, F.lit("confused"), F.lit(9).cast("long")).alias("reactions")))
-    return P.issue_comments(table(spark, d, "documents").select(ID.alias("number"), F.lit(1).alias("pos"), record.alias("json"))).select("number", F.col("reactions").cast("long").alias("reactions"))
+    record = F.to_json(F.struct(F.lit("b").alias("body"), F.create_map(F.lit("+1"), F.col("doc_id") % 5, F.lit("heart"), F.col("doc_id") % 3, F.lit("confused"), F.lit(9).cast("long")).alias("reactions")))
+    return P.issue_comments(table(spark, d, "documents").select(F.col("doc_id").alias("number"), F.lit(1).alias("pos"), record.alias("json"))).select("number", F.col("reactions").cast("long").alias("reactions"))
 
 
 @query(f"{T} SELECT 'p' || doc_id AS post_id, left(t, 20) AS title, doc_id % 50 AS score FROM x")
 def s12_listed_posts(spark, d):
-    child = F.struct(F.struct(F.concat(F.lit("p"), ID.cast("string")).alias("id"), F.left("text", F.lit(20)).alias("title"), (ID % 50).alias("score")).alias("data"))
-    pages = docs(spark, d).groupBy((ID % 40).alias("k")).agg(F.collect_list(child).alias("children"))
+    child = F.struct(F.struct(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("id"), F.left("text", F.lit(20)).alias("title"), (F.col("doc_id") % 50).alias("score")).alias("data"))
+    pages = docs(spark, d).groupBy((F.col("doc_id") % 40).alias("k")).agg(F.collect_list(child).alias("children"))
     return P.listed_posts(pages.select(F.to_json(F.struct(F.struct("children").alias("data"))).alias("json"))).select("post_id", "title", "score")
 
 
 @query(f"{T} SELECT q.doc_id AS question_id, left(q.t, 20) AS title, left(a.t, 20) AS answer FROM x q JOIN x a ON a.doc_id = q.doc_id + 1 WHERE q.doc_id % 6 >= 2 AND q.doc_id % 4 <> 0 AND a.doc_id % 3 >= 1")
 def s13_api_pairs(spark, d):
     part = F.left("text", F.lit(20))
-    q = F.struct(ID.alias("question_id"), part.alias("title"), part.alias("body"), F.when(ID % 4 != 0, ID + 1).alias("accepted_answer_id"), (ID % 6).alias("score"))
-    a = F.struct(ID.alias("answer_id"), part.alias("body"), (ID % 3).alias("score"))
+    q = F.struct(F.col("doc_id").alias("question_id"), part.alias("title"), part.alias("body"), F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") + 1).alias("accepted_answer_id"), (F.col("doc_id") % 6).alias("score"))
+    a = F.struct(F.col("doc_id").alias("answer_id"), part.alias("body"), (F.col("doc_id") % 3).alias("score"))
     rows = docs(spark, d)
     return P.api_pairs(rows.select(F.to_json(q).alias("json")), rows.select(F.to_json(a).alias("json"))).select("question_id", "title", "answer")
