@@ -16,7 +16,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import table, text_or_empty, written
+from loam.llm.common import ascii_lower, table, text_or_empty, written
 from loam.llm.decontaminate import words
 
 #: Phrases of the base labels.
@@ -101,7 +101,8 @@ def containment_join(blocks: DataFrame, templates: DataFrame, threshold: str = T
     if not vocabulary:
         return blocks.select(*keys, F.lit(0).alias("template"), F.lit("").alias("label"), F.lit(0.0).alias("containment")).where(F.lit(False))
     known = F.filter("tokens", lambda x: x.isin(vocabulary))
-    near = blocks.select(*keys, F.size("tokens").alias("n"), known.alias("tokens")).where(F.size("tokens") > 0)
+    # written, as it is read twice and only holds template tokens: the texts are split once
+    near = written(blocks.select(*keys, F.size("tokens").alias("n"), known.alias("tokens")).where(F.size("tokens") > 0))
     counts = near.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     df = {r["token"]: r["df"] for r in counts.collect()}  # a row for each template token
     order = {t: k for k, t in enumerate(sorted(vocabulary, key=lambda t: (df.get(t, 0), t)))}
@@ -167,6 +168,19 @@ def window_join(texts: DataFrame, templates: DataFrame, threshold: str = THRESHO
     return found.groupBy(*keys, "template", "label").agg(F.max(F.col("common") / F.col("size")).alias("containment"))
 
 
+def _may_hold_window(known: DataFrame, threshold: str) -> Column:
+    """Texts whose windows can add to their lines' labels: those of several lines, and for the short templates, which lines are not
+    compared with, texts that hold all their words as strings (all texts where a template needs fewer than all)."""
+    share, text, out = Fraction(threshold), ascii_lower(F.col("text")), F.contains("text", F.lit("\n"))
+    for r in known.where(F.size("tokens") < LINE_WORDS).collect():
+        need = -(-len(r["tokens"]) * share.numerator // share.denominator)
+        every = F.lit(True)
+        for t in r["tokens"] if need == len(r["tokens"]) else []:
+            every = every & F.contains(text, F.lit(t))
+        out = out | every
+    return out
+
+
 def scan_licenses(docs: DataFrame, templates=None, threshold: str = THRESHOLD) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_words, places, notices (array of (label, containment)), score.
 
@@ -179,9 +193,9 @@ def scan_licenses(docs: DataFrame, templates=None, threshold: str = THRESHOLD) -
     lines = rows.select("doc_id", "print", F.explode(F.split("text", "\n", -1)).alias("line"))
     blocks = lines.select("doc_id", "print", F.array_distinct(words(F.col("line"))).alias("tokens"))
     known = template_table(spark, templates)
-    texts = rows.select("doc_id", "print", words(F.col("text")).alias("w"))
     pairs = None
     for part in template_parts(known) or [known]:
+        texts = rows.where(_may_hold_window(part, threshold)).select("doc_id", "print", words(F.col("text")).alias("w"))
         found = containment_join(blocks, part.where(F.size("tokens") >= LINE_WORDS).drop("width"), threshold).unionByName(window_join(texts, part, threshold))
         pairs = found if pairs is None else pairs.unionByName(found)
     notices = pairs.groupBy("doc_id", "print", "label").agg(F.max("containment").alias("containment")).groupBy(F.col("doc_id").alias("id"), F.col("print").alias("p"))
