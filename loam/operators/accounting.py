@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loam.functions import text as X
 
 FLAT_USD = 0.00001
-COST_BUCKETS = [0.001, 0.005, 0.01, 0.05, 0.1]
+COST_BUCKETS, LATENCY_BUCKETS = X.rules.COST_BUCKETS, X.rules.LATENCY_BUCKETS
 
 
 def turn_cost(model, tokens_in, tokens_out, flat: float = FLAT_USD) -> Column:

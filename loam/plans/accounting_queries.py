@@ -136,7 +136,7 @@ def g4_dashboard(spark, d):
     e = F.col("event_id")
     outcome = F.when(F.col("event_type") == "error", "error").otherwise("ok")
     rows = table(spark, d, "events").select("ts", outcome.alias("outcome"), (e % 120 / 1000).alias("cost_usd"), (e % 1000).alias("tokens_in"), (e % 300).alias("tokens_out"), F.when(e % 4 == 1, "up").when(e % 4 == 2, "down").alias("rating"))
-    return A.dashboard(rows, F.lit("2024-01-30 00:00:00").cast("timestamp"))
+    return A.dashboard(rows, F.lit("2024-01-30 00:00:00").cast("timestamp"), [0.001, 0.005, 0.01, 0.05, 0.1])
 
 
 @query(f"{CALLS}, u AS (SELECT turn, sum(CASE WHEN failed THEN pc // 4 ELSE tin END) AS tin FROM t WHERE NOT failed OR pc > 0 GROUP BY 1) SELECT turn % 7 AS user_id, '2024-01' AS month_key, count(*) AS turns, sum(tin)::BIGINT AS tokens_in FROM u GROUP BY 1")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loam.functions import text as X
 from loam.operators import articles as A
 from loam.plans.common import contains_any, quoted, table
 from loam.plans.registry import query
 from loam.sources import pages as P
+from loam.sources import readers
 
 WORDS, LABELS, PHRASES = ["and", "der"], ["s1", "s2"], ["the", "ist"]
 #: One line of plain words: markup and odd white space have tests of their own.
@@ -310,3 +312,27 @@ def s13_api_pairs(spark, d):
     a = F.struct(F.col("doc_id").alias("answer_id"), part.alias("body"), (F.col("doc_id") % 3).alias("score"))
     rows = docs(spark, d)
     return P.api_pairs(rows.select(F.to_json(q).alias("json")), rows.select(F.to_json(a).alias("json"))).select("question_id", "title", "answer")
+
+
+@query(f"""{T}, p AS (SELECT *, CASE WHEN doc_id % 10 = 7 THEN NULL ELSE doc_id % 8 END AS s FROM x)
+SELECT q.doc_id AS question_id, left(q.t, 20) || ' & x' AS title, left(a.t, 20) AS answer FROM p q JOIN p a ON a.doc_id = q.doc_id + 1 WHERE q.doc_id % 2 = 0 AND q.s >= 3 AND q.doc_id % 6 <> 4 AND coalesce(a.s, 0) >= 1""")
+def j1_accepted_pairs(spark, d):
+    """Even documents ask, odd ones answer; some scores are no numbers, some tags have no delimiters."""
+    i, kind = F.col("doc_id"), F.col("doc_id") % 2
+    score = F.when(i % 10 == 7, "many").otherwise((i % 8).cast("string"))
+    tag = F.when(i % 6 == 0, "|macos|x|").when(i % 6 == 2, "<mac><y>").otherwise("macos")
+    posts = docs(spark, d).select(i.alias("_Id"), (1 + kind).cast("int").alias("_PostTypeId"), F.when(kind == 0, i + 1).alias("_AcceptedAnswerId"), score.alias("_Score"), tag.alias("_Tags"), F.concat(F.left("text", F.lit(20)), F.lit(" &amp; x")).alias("_Title"), F.left("text", F.lit(20)).alias("_Body"))
+    return readers.accepted_pairs(posts).select("question_id", "title", "answer")
+
+
+@query("SELECT doc_id, '`' || lang || '` & text' AS text FROM documents")
+def x10_html_text(spark, d):
+    html = F.concat(F.lit("<div><code class='c'>"), "lang", F.lit("</code> <b>&amp;</b>\n<br/>text</div>"))
+    return table(spark, d, "documents").select("doc_id", X.html_text(html).alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '13|14' ELSE '14' END AS versions FROM documents")
+def u5_all_versions(spark, d):
+    tags = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("ventura"), F.lit("x"))).otherwise(F.array(F.lit("x")))
+    rows = table(spark, d, "documents").select("doc_id", tags.alias("tags"), F.lit("on macOS 14.1 now").alias("t"))
+    return rows.select("doc_id", F.array_join(X.all_versions("tags", {"ventura": "13"}, "t"), "|").alias("versions"))

@@ -98,8 +98,6 @@ COMMAND_STOP_WORDS = ["the", "a", "an", "to", "of", "and", "or", "in", "on", "fo
 SOURCE_WEIGHTS = {"apple_support": 1.05, "apple_technotes": 1.04, "macos_man_pages": 1.04, "apple_developer_docs": 1.03, "apple_developer_forums": 1.02, "ask_different": 1.00, "stackoverflow": 1.00, "wwdc_transcripts": 0.99, "github_issues": 0.98, "reddit": 0.97}
 PRICES = [("llama-3.3-70b", 0.59, 0.79), ("llama-3.1-8b", 0.05, 0.08), ("gpt-4o-mini", 0.15, 0.60)]
 DEFAULT_PRICE = (0.59, 0.79)
-EMBEDDING_COST = 0.00001
-CHARS_PER_TOKEN = 4
 COST_BUCKETS = [0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1]
 LATENCY_BUCKETS = [0.5, 1, 2, 4, 8, 15, 30, 60]
 QA_TAGS = ["macos", "osx", "mac-osx", "mac"]

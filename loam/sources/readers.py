@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam import rules
+from loam.functions import text as X
+
 from loam import schemas
 
 POST = "_Id long, _PostTypeId int, _AcceptedAnswerId long, _ParentId long, _Score string, _Title string, _Body string, _Tags string"
@@ -26,17 +29,17 @@ def dump_posts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "row").schema(POST).load(path)
 
 
-def accepted_pairs(posts: DataFrame, tags: list[str], question_score: int = 3, answer_score: int = 1) -> DataFrame:
+def accepted_pairs(posts: DataFrame, tags: list[str] = rules.QA_TAGS, question_score: int = 3, answer_score: int = 1) -> DataFrame:
     """(question_id, title, question, answer, tags): questions of enough score with one of the tags, joined to the answer they accept.
 
     A question whose score is no integer is left out; an answer's counts as 0.
     """
-    tag = F.regexp_extract_all(F.coalesce("_Tags", F.lit("")), F.lit(r"([^<>|]+)"), F.lit(1))
+    tag = X.tags("_Tags")  # a word without delimiters is no tag
     score = F.expr("try_cast(_Score AS int)")
     asked = posts.where((F.col("_PostTypeId") == 1) & F.col("_AcceptedAnswerId").isNotNull() & (score >= question_score)).withColumn("tags", tag)
     asked = asked.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])))
     answers = posts.where((F.col("_PostTypeId") == 2) & (F.coalesce(score, F.lit(0)) >= answer_score)).select(F.col("_Id").alias("_AcceptedAnswerId"), F.col("_Body").alias("answer"))
-    return asked.join(answers, "_AcceptedAnswerId").select(F.col("_Id").alias("question_id"), F.col("_Title").alias("title"), F.col("_Body").alias("question"), "answer", "tags")
+    return asked.join(answers, "_AcceptedAnswerId").select(F.col("_Id").alias("question_id"), X.unescape("_Title").alias("title"), F.col("_Body").alias("question"), "answer", "tags")
 
 
 def hrefs(html) -> Column:
