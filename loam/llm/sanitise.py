@@ -6,6 +6,10 @@ PMI(c; t) = log2(n(c,t) N / (n(c) n(t))) against the entity's own information IC
 share PMI / IC of at least `remove` is removed, one of at least `generalise` is generalised, both only if entity and term meet
 in `support` documents; then every occurrence goes, in every document that holds the entity, wherever it stands.
 
+A generalised term gives way to a broader one that the corpus teaches: of the terms that stand at most `near` terms away at a
+share `broader` of all its places, that are in more documents than it but at most half of all, and that disclose no entity,
+the rarest (then the first by spelling). Where there is none, it becomes [TERM].
+
 Patterns run only on texts that hold their key character and each is written so that no start is tried twice in a run. Pairs
 are made from the entities found in `support` documents at least, times the distinct terms of their documents; counts are
 map-side combined. No vocabulary is collected or broadcast.
@@ -17,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loam.llm.common import table, text_or_empty, written
+from loam.llm.common import checked, table, text_or_empty, written
 
 #: Base kinds in their order. The patterns match what the contract's match, leftmost and non-overlapping; the
 #: possessive forms and the look-behinds only keep the search linear.
@@ -30,7 +34,9 @@ KINDS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 ORDER = [*KINDS, "removed", "generalised"]
 TERM = r"\p{L}[\p{L}\p{N}]{2,}"
-#: What a span becomes in the sanitised text.
+#: Terms in a block when a text's terms are gone through with their neighbours.
+BLOCK = 64
+#: What a span becomes in the sanitised text; a generalised term only where no broader term is known.
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "", "generalised": "[TERM]"}
 
 
@@ -106,8 +112,38 @@ def term_counts(docs: DataFrame, blanks: DataFrame) -> DataFrame:
     return every.unionByName(inside).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosures(docs: DataFrame, blanks: DataFrame, holds: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """(doc, row, term, kind): the terms to mask in each document. holds: (doc, row, entity), distinct.
+def term_windows(docs: DataFrame, near: int) -> DataFrame:
+    """(term, others): each term of the texts, at each of its places, with the distinct other terms at most `near` terms away.
+
+    A text's terms are cut into blocks first, which overlap by `near` on both sides, so that no row holds more than one."""
+    seq = docs.select(_terms(F.col("text")).alias("seq"))
+    cut = F.transform(F.sequence(F.lit(0), F.size("seq") - 1, F.lit(BLOCK)), lambda i: F.struct(F.least(i, F.lit(near)).alias("lead"), F.slice("seq", F.greatest(i - near, F.lit(0)) + 1, F.least(i, F.lit(near)) + BLOCK + near).alias("part")))
+    blocks = seq.where(F.size("seq") > 0).select(F.explode(cut).alias("b")).select("b.*")
+    own = F.sequence(F.col("lead") + 1, F.least(F.col("lead") + BLOCK, F.size("part")))
+    around = lambda i: F.slice("part", F.greatest(i - near, F.lit(1)), i - F.greatest(i - near, F.lit(1)) + near + 1)
+    each = blocks.select("part", F.explode(own).alias("i")).select(F.element_at("part", F.col("i")).alias("term"), around(F.col("i")).alias("others"))
+    return each.select("term", F.array_except("others", F.array("term")).alias("others"))
+
+
+def broader_terms(docs: DataFrame, counts: DataFrame, told: DataFrame, total: int, broader: float, near: int) -> DataFrame:
+    """(term, instead): the broader terms of the generalised terms in told(term, kind), where there is one.
+
+    counts: (term, n_term), documents by term. All places of such a term in the corpus are counted, map-side combined."""
+    wanted = checked(written(told.where("kind = 'generalised'").select("term").distinct()))
+    places = term_windows(docs, near).join(wanted, "term")
+    each = places.select("term", F.explode(F.concat(F.array("term"), "others")).alias("instead"))
+    both = written(each.groupBy("term", "instead").agg(F.count("*").alias("n")))
+    every = both.where("term = instead").select("term", F.col("n").alias("n_places"))
+    fits = both.where("term != instead").join(every, "term").where(F.col("n") >= F.lit(broader) * F.col("n_places"))
+    general = counts.where(F.col("n_term") <= total / 2).join(told.select("term").distinct(), "term", "left_anti")
+    general = general.select(F.col("term").alias("instead"), F.col("n_term").alias("n_instead"))
+    wider = fits.join(general, "instead").join(counts, "term").where("n_instead > n_term")
+    return wider.groupBy("term").agg(F.min(F.struct("n_instead", "instead"))["instead"].alias("instead"))
+
+
+def disclosures(docs: DataFrame, blanks: DataFrame, holds: DataFrame, support: int, generalise: float, remove: float, broader: float, near: int) -> DataFrame:
+    """(doc, row, term, kind, instead): the terms to mask in each document; instead: the broader term, else null. holds: (doc,
+    row, entity), distinct.
 
     The pairs that disclose are those of entity and term, counted by document over whole texts; each is masked in all
     documents that hold both."""
@@ -117,29 +153,33 @@ def disclosures(docs: DataFrame, blanks: DataFrame, holds: DataFrame, support: i
     pairs = live.join(blanks, ["doc", "row"]).select("doc", "row", "entity", "n_entity", F.explode(F.array_distinct(_terms(F.col("blank")))).alias("term"))
     both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= support)
     share = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(float(total)) / F.col("n_entity"))
-    weighed = both.join(term_counts(docs, blanks), "term").withColumn("share", share).where(F.col("share") >= generalise)
+    counts = written(term_counts(docs, blanks).where(F.col("n_term") >= support))
+    weighed = both.join(counts, "term").withColumn("share", share).where(F.col("share") >= generalise)
     told = written(weighed.select("entity", "term", F.when(F.col("share") >= remove, "removed").otherwise("generalised").alias("kind")))
-    return pairs.join(told, ["entity", "term"]).select("doc", "row", "term", "kind").distinct()
+    masked = pairs.join(told, ["entity", "term"]).select("doc", "row", "term", "kind").distinct()
+    instead = written(broader_terms(docs, counts, told, total, broader, near))
+    return masked.join(checked(instead), "term", "left").select("doc", "row", "term", "kind", F.when(F.col("kind") == "generalised", F.col("instead")).alias("instead"))
 
 
 def occurrences(blanks: DataFrame, told: DataFrame) -> DataFrame:
-    """(doc, row, kind, start, end): every place of the terms told(doc, row, term, kind) in their documents."""
+    """(doc, row, kind, start, end, instead): every place of the terms told(doc, row, term, kind, instead) in their documents."""
     texts = blanks.join(told.select("doc", "row").distinct(), ["doc", "row"], "left_semi")
     hit, gap = F.regexp_extract_all("blank", F.lit(TERM), F.lit(0)), F.split("blank", TERM, -1)
     piece = F.arrays_zip(hit.alias("t"), F.slice(gap, F.lit(1), F.size(hit)).alias("b"))
     each = texts.select("doc", "row", F.posexplode(piece).alias("k", "p")).select("doc", "row", "k", F.lower("p.t").alias("term"), F.length("p.t").alias("n"), (F.length("p.b") + F.length("p.t")).alias("step"))
     here = Window.partitionBy("doc", "row").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     placed = each.withColumn("end", F.sum("step").over(here).cast("int")).withColumn("start", F.col("end") - F.col("n"))
-    return placed.join(told, ["doc", "row", "term"]).select("doc", "row", "kind", "start", "end")
+    return placed.join(told, ["doc", "row", "term"]).select("doc", "row", "kind", "start", "end", "instead")
 
 
-def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.5, remove: float = 0.9) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, spans (array of (kind, start, end), base kinds first, then start), text.
+def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.5, remove: float = 0.9, broader: float = 0.5, near: int = 5) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, spans (array of (kind, start, end, instead), base kinds first, then
+    start; instead: the broader term of a generalised one, else null), text.
 
-    text is the sanitised text; overlapping spans are masked as one, by the first. A null text counts as empty and has no
-    spans. Rows that repeat an id and text, or have a null id, keep a row each, and rows that repeat both count as one
-    document; other columns are not read; an empty table gives an empty result. Ties at a threshold disclose. Long texts are
-    searched whole.
+    text is the sanitised text, where a broader term stands in brackets; overlapping spans are masked as one, by the first. A
+    null text counts as empty and has no spans. Rows that repeat an id and text, or have a null id, keep a row each, and rows
+    that repeat both count as one document; other columns are not read; an empty table gives an empty result. Ties at a
+    threshold disclose. Long texts are searched whole.
     """
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     rows = texts.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.xxhash64("text", F.col("doc_id").isNull()).alias("row"))
@@ -150,18 +190,18 @@ def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.5, remove:
     blanks = written(blanked(matches, spans))
     value = F.when(F.col("kind").isin("card", "phone"), _digits(F.col("match"))).otherwise(F.lower("match"))
     holds = spans.select("doc", "row", F.concat_ws(":", "kind", value).alias("entity")).distinct()
-    told = written(disclosures(distinct, blanks, holds, support, generalise, remove))
+    told = written(disclosures(distinct, blanks, holds, support, generalise, remove, broader, near))
     rank = F.element_at(F.create_map(*[F.lit(x) for k, kind in enumerate(ORDER) for x in (kind, k)]), F.col("kind"))
-    every = spans.drop("match").unionByName(occurrences(blanks, told))
-    every = every.groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "start", "end", "kind"))).alias("spans"))
+    every = spans.drop("match").withColumn("instead", F.lit(None).cast("string")).unionByName(occurrences(blanks, told))
+    every = every.groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "start", "end", "kind", "instead"))).alias("spans"))
     every = written(every)
     out = rows.join(every, ["doc", "row"], "left")
     mask = F.create_map(*[F.lit(x) for t in MASKS.items() for x in t])
     sanitised = F.aggregate(
-        F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
+        F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["instead"].alias("instead")))),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), mask[s["kind"]]).alias("out"))
+            F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.coalesce(F.concat(F.lit("["), s["instead"], F.lit("]")), mask[s["kind"]])).alias("out"))
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
     )

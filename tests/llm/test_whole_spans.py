@@ -51,3 +51,33 @@ def test_terms_anywhere(spark):
         assert {(s.kind, s.start, s.end) for s in got[d].spans if s.rank > 3} == want[d], d
         assert ("zebulon" in got[d].text.lower()) == (d == 200)
     assert len({s.start for s in got[100].spans if s.rank > 3 and rows[40][1][s.start : s.end].lower() == "zebulon"}) == 3
+
+
+def broader_brute(rows, wanted, disclosing, broader=0.5, near=5):
+    """{term: broader term} of the wanted terms, from every place in whole texts."""
+    term = re.compile(r"[^\W\d_][^\W_]{2,}")
+    seqs = [[m.lower() for m in term.findall(t)] for _, t in rows]
+    in_docs, places, both = Counter(t for s in seqs for t in set(s)), Counter(), Counter()
+    for seq in seqs:
+        for i, t in enumerate(seq):
+            if t in wanted:
+                places[t] += 1
+                both.update((t, g) for g in {*seq[max(0, i - near) : i + near + 1]} - {t})
+    fits = [(t, in_docs[g], g) for (t, g), n in both.items() if n >= broader * places[t] and in_docs[t] < in_docs[g] <= len(rows) / 2 and g not in disclosing]
+    return {t: min((n, g) for u, n, g in fits if u == t)[1] for t, _, _ in fits}
+
+
+def test_broader_terms(spark):
+    fill = "the desk or words " * 30
+    rows = [(k, f"{fill} filler{k} hospital {fill}") for k in range(30)] + [(100 + k, f"{fill}{fill} number{k}") for k in range(60)]
+    rows += [(200 + k, f"{fill} the Quasimodo big hospital {fill} {'Lonely' if k % 2 else 'lonely'} {'' if k else 'hospital'} 4111 1111 1111 1111") for k in range(4)]
+    rows += [(300 + k, f"Quasimodo hospital {fill}{fill}{fill} quasimodo {'one two hospital' if k else ''} {fill} lonely") for k in range(4)]
+    got = {r.doc_id: r for r in sanitise.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    masked = disclosing_brute(rows)
+    told = {(kind, rows_text[a:b].lower()) for d, rows_text in rows for kind, a, b in masked.get(d, ())}
+    want = broader_brute(rows, {t for kind, t in told if kind == "generalised"}, {t for _, t in told})
+    assert want == {"quasimodo": "hospital"} and ("generalised", "lonely") in told
+    for d, text in rows:
+        for s in got[d].spans:
+            assert s.instead == (want.get(text[s.start : s.end].lower()) if s.kind == "generalised" else None)
+    assert "the [hospital]  hospital" in got[201].text and "[TERM]" in got[201].text and got[300].text == dict(rows)[300]
