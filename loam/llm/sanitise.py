@@ -6,13 +6,15 @@ PMI(c; t) = log2(n(c,t) N / (n(c) n(t))) against the entity's own information IC
 share PMI / IC of at least `remove` is removed, one of at least `generalise` is generalised, both only if entity and term meet
 in `support` documents; then every occurrence goes, in every document that holds the entity, wherever it stands.
 
-A generalised term gives way to a broader one that the corpus teaches: of the terms that stand at most `near` terms away at a
-share `broader` of all its places, that are in more documents than it but at most half of all, and that disclose no entity,
-the rarest (then the first by spelling). Where there is none, it becomes [TERM].
+A generalised term becomes [TERM], or, where the caller sets `broader`, a broader term that the corpus teaches: of the terms
+that stand at most `near` terms away at a share `broader` of all its places, that are in more documents than it but at most
+half of all, and that disclose no entity, the rarest (then the first by spelling), and [TERM] where there is none. That counts
+all pairs of neighbours of such terms, which shuffles a multiple of the texts; the spans are the same either way, and
+op4_sanitise, which returns spans and no text, leaves it out.
 
 Patterns run only on texts that hold their key character and each is written so that no start is tried twice in a run. Pairs
 are made from the entities found in `support` documents at least, times the distinct terms of their documents; counts are
-map-side combined. No vocabulary is collected or broadcast.
+map-side combined. No vocabulary is collected; the generalised terms are broadcast up to a checked number of rows.
 """
 
 from __future__ import annotations
@@ -141,7 +143,7 @@ def broader_terms(docs: DataFrame, counts: DataFrame, told: DataFrame, total: in
     return wider.groupBy("term").agg(F.min(F.struct("n_instead", "instead"))["instead"].alias("instead"))
 
 
-def disclosures(docs: DataFrame, blanks: DataFrame, holds: DataFrame, support: int, generalise: float, remove: float, broader: float, near: int) -> DataFrame:
+def disclosures(docs: DataFrame, blanks: DataFrame, holds: DataFrame, support: int, generalise: float, remove: float, broader: float | None, near: int) -> DataFrame:
     """(doc, row, term, kind, instead): the terms to mask in each document; instead: the broader term, else null. holds: (doc,
     row, entity), distinct.
 
@@ -153,10 +155,14 @@ def disclosures(docs: DataFrame, blanks: DataFrame, holds: DataFrame, support: i
     pairs = live.join(blanks, ["doc", "row"]).select("doc", "row", "entity", "n_entity", F.explode(F.array_distinct(_terms(F.col("blank")))).alias("term"))
     both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= support)
     share = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(float(total)) / F.col("n_entity"))
-    counts = written(term_counts(docs, blanks).where(F.col("n_term") >= support))
+    counts = term_counts(docs, blanks)
+    if broader is not None:
+        counts = written(counts.where(F.col("n_term") >= support))
     weighed = both.join(counts, "term").withColumn("share", share).where(F.col("share") >= generalise)
     told = written(weighed.select("entity", "term", F.when(F.col("share") >= remove, "removed").otherwise("generalised").alias("kind")))
     masked = pairs.join(told, ["entity", "term"]).select("doc", "row", "term", "kind").distinct()
+    if broader is None:
+        return masked.withColumn("instead", F.lit(None).cast("string"))
     instead = written(broader_terms(docs, counts, told, total, broader, near))
     return masked.join(checked(instead), "term", "left").select("doc", "row", "term", "kind", F.when(F.col("kind") == "generalised", F.col("instead")).alias("instead"))
 
@@ -172,7 +178,7 @@ def occurrences(blanks: DataFrame, told: DataFrame) -> DataFrame:
     return placed.join(told, ["doc", "row", "term"]).select("doc", "row", "kind", "start", "end", "instead")
 
 
-def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.5, remove: float = 0.9, broader: float = 0.5, near: int = 5) -> DataFrame:
+def sanitise(docs: DataFrame, support: int = 3, generalise: float = 0.5, remove: float = 0.9, broader: float | None = None, near: int = 5) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, spans (array of (kind, start, end, instead), base kinds first, then
     start; instead: the broader term of a generalised one, else null), text.
 

@@ -72,7 +72,7 @@ def test_broader_terms(spark):
     rows = [(k, f"{fill} filler{k} hospital {fill}") for k in range(30)] + [(100 + k, f"{fill}{fill} number{k}") for k in range(60)]
     rows += [(200 + k, f"{fill} the Quasimodo big hospital {fill} {'Lonely' if k % 2 else 'lonely'} {'' if k else 'hospital'} 4111 1111 1111 1111") for k in range(4)]
     rows += [(300 + k, f"Quasimodo hospital {fill}{fill}{fill} quasimodo {'one two hospital' if k else ''} {fill} lonely") for k in range(4)]
-    got = {r.doc_id: r for r in sanitise.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in sanitise.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), broader=0.5).collect()}
     masked = disclosing_brute(rows)
     told = {(kind, rows_text[a:b].lower()) for d, rows_text in rows for kind, a, b in masked.get(d, ())}
     want = broader_brute(rows, {t for kind, t in told if kind == "generalised"}, {t for _, t in told})
