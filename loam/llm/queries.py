@@ -1,6 +1,6 @@
 """The queries of this package and their DuckDB equivalents, for __spark_entry__.py."""
 
-from loam.llm import collocations, decontaminate, exact_dedup, licenses, line_dedup, maxent, near_dedup, packing, sanitise, toxicity, warc
+from loam.llm import collocations, decontaminate, exact_dedup, licenses, line_dedup, maxent, near_dedup, packing, sanitise, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,5 +14,6 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_collocations": collocations.op11_collocations,
+    "op12_simhash": simhash.op12_simhash,
 }
 ORACLES = {"op8_warc": warc.OP8_SQL, "op9_decontamination": decontaminate.OP9_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL, "op11_collocations": collocations.OP11_SQL}
