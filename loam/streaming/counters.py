@@ -6,8 +6,9 @@ takes the newest row of each key.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,22 +16,18 @@ from pyspark.sql.window import Window
 
 from loam.functions import text as X
 from loam.operators.accounting import rates
+from loam.sources.storage import shared_dir
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, the application's temporary one,
-    which only a local master can use; on a cluster that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
-        path = f"file://{tempfile.gettempdir()}/loam-{spark.sparkContext.applicationId}"
-    return path.rstrip("/")
+def parquet_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """A Parquet file or folder as a stream. The source lists folders; a pattern that only the name itself fits lets it take a lone file."""
+    head, _, name = path.rstrip("/").rpartition("/")
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{head}/[{name[0]}]{name[1:]}")
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Rows of a Parquet file or folder as a stream, ts as an instant; the pattern lets the source take a lone file, too."""
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")
+    """Rows of a Parquet file or folder as a stream, ts as an instant."""
+    rows = parquet_stream(spark, path, files_per_batch)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -49,10 +46,24 @@ def drained(changes: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("m")).select(*key, "m.*")
 
 
+@contextmanager
+def only_with_data(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside the block run no batches without input: one whose state has a processing-time timeout would
+    otherwise go on for ever after all input there is."""
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def appended(rows: DataFrame) -> DataFrame:
     """Run a stream that only appends rows over all input there is; its rows as a batch table."""
     base = f"{shared_dir(rows.sparkSession)}/loam/{uuid.uuid4().hex}"
-    query = rows.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    with only_with_data(rows.sparkSession):
+        query = rows.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{base}/rows")
 
