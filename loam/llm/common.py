@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,6 +10,8 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.sources.storage import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows that may be broadcast, of a few numbers each; a larger side is joined by shuffling.
 BROADCAST_ROWS = 1 << 19
@@ -21,17 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, the application's temporary one,
-    which only a local master can use; on a cluster that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
-        path = f"file://{tempfile.gettempdir()}/loam-{spark.sparkContext.applicationId}"
-    return path.rstrip("/")
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
     """Bound the documents in one Arrow batch, so that a worker's memory does not depend on how long they are on average, for
@@ -45,11 +35,12 @@ def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and is not computed twice."""
+def written(df: DataFrame, batch: int = 256) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and is not computed twice. batch:
+    rows in an Arrow batch meanwhile; documents may be long."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loam/{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with small_batches(spark, batch):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _folders[out] = path
