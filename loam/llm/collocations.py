@@ -7,29 +7,42 @@ counted inside the distinct chunks, weighted by these frequencies. A phrase of u
 it starts before the overlap of three words, and lies in it whole; the last chunk of a piece also owns what starts in its end.
 Every place of a phrase is so counted once.
 
-One and two words are counted first; three and four only where all pairs of neighbours in them are frequent, which a frequent
-phrase's are. All counts combine before they are shuffled, so a hot chunk or phrase is one row for each task.
+One and two words are counted first, by 64-bit keys, which takes little of a shuffle: a frequent phrase has a frequent key.
+Phrases with such keys are then counted by their text. Three and four words are counted only where all pairs of neighbours in
+them have the keys of frequent pairs. So a key only ever keeps too much, and every count is that of a text. (A task adds up the
+places of a text by a 64-bit hash and a sum over its bytes before it passes the text on.) Where there are more frequent keys than KEYS, which
+every worker holds, texts are counted and joined without them, to the same result. All counts combine before they are
+shuffled, so a hot chunk or phrase is one row for each task.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loam.llm import wordhash
 from loam.llm.common import discard, table, written
 
 #: Words of a trigger, and the mean distance of triggers.
-OVERLAP, PERIOD = 3, 8
+OVERLAP, PERIOD = 3, 32
+#: The share of PERIOD that the first word of a trigger decides alone.
+FIRST = 4
 LEAST, MOST_WORDS, TOP = 30, 4, 2000
 #: Shares of 100 * a from which a longer phrase covers a shorter one.
 COVERED = 80
-#: A frequent pair table is broadcast up to so many bytes of text, and so many rows; beyond, the same join shuffles.
-BROADCAST_BYTES, BROADCAST_PAIRS = 64 << 20, 1 << 20
+#: Keys that a worker may hold, of 8 bytes, and the bytes of chunks that a worker looks at together.
+KEYS, BYTES = 1 << 22, 1 << 20
+#: Chunks in an Arrow batch.
+CHUNKS = 4096
+_GROW = np.uint64(0xD6E8FEB86659FD93)
 #: Distinct keys that a task counts before it passes them on.
 HELD = 200_000
 _MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
@@ -37,42 +50,166 @@ _MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 SALTS = 64
 
 
-def _chunks(words: list[bytes], period: int):
-    """(chunk, last) of a piece's words."""
-    at = 0
+def _inner(words: list[bytes], period: int, sure: dict[bytes, bool]) -> tuple[list[bytes], bytes]:
+    """The chunks of a piece's words but the last, and the last. A trigger's first word has a hash divisible by FIRST; sure
+    remembers words."""
+    at, out = 0, []
     for i in range(1, len(words) - OVERLAP):
-        if xxhash.xxh64_intdigest(b" ".join(words[i : i + OVERLAP])) % period == 0:
-            yield b" ".join(words[at : i + OVERLAP]), False
+        w = words[i]
+        if (ok := sure.get(w)) is None:
+            ok = sure[w] = zlib.crc32(w) % FIRST == 0
+        if ok and xxhash.xxh64_intdigest(b" ".join(words[i : i + OVERLAP])) % period == 0:
+            out.append(b" ".join(words[at : i + OVERLAP]))
             at = i
-    yield b" ".join(words[at:]), True
+    return out, b" ".join(words[at:] if at else words)
 
 
-def parsed(docs: DataFrame, period: int = PERIOD) -> DataFrame:
+def parsed(docs: DataFrame, period: int = PERIOD // FIRST) -> DataFrame:
     """(lang, chunk, last, freq) of docs(lang, text): the dictionary of chunks. last: the chunk ends its piece. A null language
-    is und, a null text empty. A task adds up what its batches hold, then equal chunks meet."""
+    is und, a null text empty. A task adds up what it has read so far, HELD chunks at most, then equal chunks meet."""
 
     def run(batches):
+        found: dict[tuple[str, bool], Counter] = {}
+        sure: dict[bytes, bool] = {}
         for batch in batches:
-            found: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
+                inner, ends = [], []
                 for piece in (text.as_py() or b"").lower().translate(_MARKS).split(b"\n"):
                     if words := piece.split():
-                        found.update((lang, *c) for c in _chunks(words, period))
-                if len(found) > HELD:
-                    yield _batch(found, ("lang", "chunk", "last"))
-                    found.clear()
-            yield _batch(found, ("lang", "chunk", "last"))
+                        if len(words) > OVERLAP + 1:
+                            more, last = _inner(words, period, sure)
+                            inner += more
+                            ends.append(last)
+                        else:
+                            ends.append(b" ".join(words))
+                for last, chunks in ((False, inner), (True, ends)):
+                    found.setdefault((lang, last), Counter()).update(chunks)
+            if sum(map(len, found.values())) > HELD:
+                yield from _counted(found)
+                found, sure = {}, {}
+        yield from _counted(found)
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, "lang string, chunk string, last boolean, n long")
     return rows.groupBy("lang", "chunk", "last").agg(F.sum("n").alias("freq"))
 
 
-def _batch(found: Counter, names: tuple[str, ...]) -> pa.RecordBatch:
-    """Counted keys as columns, and their numbers n; bytes are UTF-8 text."""
-    columns = list(zip(*found, strict=True)) or [()] * len(names)
-    kind = lambda n: pa.bool_() if n == "last" else pa.string()
-    arrays = [pa.array(c, pa.binary() if n not in ("last", "lang") else kind(n)).cast(kind(n)) for n, c in zip(names, columns, strict=True)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(found.values(), pa.int64())], [*names, "n"])
+def _counted(found: dict[tuple[str, bool], Counter]):
+    for (lang, last), chunks in found.items():
+        for k in range(0, len(chunks), 50_000):
+            part = list(islice(chunks.items(), k, k + 50_000))
+            texts = pa.array([c for c, _ in part], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), texts, pa.array([last] * len(part)), pa.array([n for _, n in part], pa.int64())], ["lang", "chunk", "last", "n"])
+
+
+def _gathered(batches):
+    """Batches of the dictionary put together to about BYTES of chunks."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column("chunk").nbytes
+        if size >= BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _places(table: pa.Table):
+    """(data, start, end, row, room, keys): the words of the chunks, where they stand in the bytes data and in which row; room is
+    the most words that a phrase may have which starts there and belongs to its chunk; keys: hashes of language and word."""
+    table = table.combine_chunks()
+    names = table.column("lang").combine_chunks().dictionary_encode()
+    lang = np.array([xxhash.xxh64_intdigest(x.encode()) for x in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy()]
+    last = table.column("last").combine_chunks().to_numpy(zero_copy_only=False)
+    for first, data, offsets in wordhash.pieces(table.column("chunk").combine_chunks()):
+        start, end, row = wordhash.word_spans(data, offsets)
+        stop = np.searchsorted(row, row, "right")  # where the words of the row end
+        row = row + first
+        room = np.minimum(stop - np.arange(len(row)), MOST_WORDS)
+        room[~last[row] & (np.arange(len(row)) >= stop - OVERLAP)] = 0  # the next chunk's
+        yield data, start, end, row, room, wordhash.mix(wordhash.word_hashes(data, start, end) + lang[row])
+
+
+def _keys(words: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """Keys of the phrases of n words that start at those places."""
+    key = words[at]
+    for k in range(1, n):
+        key = wordhash.mix(key * _GROW + words[at + k])
+    return key
+
+
+def _among(keys: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
+    """Which keys are in wanted, an array in order; None: all."""
+    if wanted is None:
+        return np.ones(len(keys), bool)
+    at = np.minimum(np.searchsorted(wanted, keys), max(len(wanted) - 1, 0))
+    return wanted[at] == keys if len(wanted) else np.zeros(len(keys), bool)
+
+
+def _texts(table: pa.Table, data, start, end, row, at: np.ndarray, n: int, keys: np.ndarray, sums: np.ndarray, freq: np.ndarray) -> pa.RecordBatch:
+    """The phrases of n words at those places with their summed frequencies; they are told apart by key, and by what sums, running
+    sums of a value for each byte, say of their text."""
+    check = sums[end[at + n - 1]] - sums[start[at]]
+    order = np.argsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.diff(keys[order]) != 0
+    if (np.diff(check[order])[~new[1:]] != 0).any():
+        order = np.lexsort((check, keys))
+        new[1:] = (np.diff(keys[order]) != 0) | (np.diff(check[order]) != 0)
+    first, heads = order[new], np.flatnonzero(new)
+    total = np.add.reduceat(freq[row[at[order]]], heads) if len(order) else np.zeros(0, np.int64)
+    a, b = start[at[first]], end[at[first] + n - 1]
+    offsets = np.concatenate(([0], np.cumsum(b - a)))
+    text = data[np.repeat(a - offsets[:-1], b - a) + np.arange(offsets[-1])]  # words of a chunk are one space apart
+    phrase = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text)]).cast(pa.string())
+    lang = table.column("lang").take(pa.array(row[at[first]])).combine_chunks()
+    return pa.RecordBatch.from_arrays([lang, phrase, pa.array(keys[first].view(np.int64)), pa.array(total)], ["lang", "phrase", "key", "n"])
+
+
+def short_keys(dictionary: DataFrame) -> DataFrame:
+    """(key, f) of the keys of all phrases of one and two words."""
+
+    def run(batches):
+        for table in _gathered(batches):
+            freq = table.column("freq").to_numpy()
+            for _, _, _, row, room, words in _places(table):
+                for n in (1, 2):
+                    at = np.flatnonzero(room >= n)
+                    yield pa.RecordBatch.from_arrays([pa.array(_keys(words, n, at).view(np.int64)), pa.array(freq[row[at]])], ["key", "n"])
+
+    return dictionary.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("f"))
+
+
+def counts(dictionary: DataFrame, sizes: tuple[int, ...], wanted: np.ndarray | None, pairs: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, key, f) of phrases of those sizes: with a key in wanted, and with all pairs of neighbours among pairs."""
+
+    byte = wordhash.mix(np.arange(1, 257, dtype=np.uint64) * _GROW)
+
+    def run(batches):
+        for table in _gathered(batches):
+            freq = table.column("freq").to_numpy()
+            for data, start, end, row, room, words in _places(table):
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(byte[data])))
+                near = np.zeros(len(row), bool)
+                if pairs is not None:
+                    at = np.flatnonzero(np.concatenate((row[1:] == row[:-1], [False])))
+                    near[at] = _among(_keys(words, 2, at), pairs)
+                for n in sizes:
+                    at = np.flatnonzero(room >= n)
+                    for k in range(n - 1) if pairs is not None else ():
+                        at = at[near[at + k]]
+                    keys = _keys(words, n, at)
+                    ok = _among(keys, wanted)
+                    yield _texts(table, data, start, end, row, at[ok], n, keys[ok], sums, freq)
+
+    return dictionary.mapInArrow(run, "lang string, phrase string, key long, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("key").alias("key"))
+
+
+def _held(keys: DataFrame) -> np.ndarray | None:
+    """The keys in order, if there are no more than KEYS."""
+    if keys.limit(KEYS + 1).count() > KEYS:
+        return None
+    return np.sort(keys.select("key").toArrow().column("key").to_numpy().view(np.uint64))
 
 
 def _own(n: int) -> str:
@@ -80,33 +217,11 @@ def _own(n: int) -> str:
     return f"if(last, size(w) - {n - 1}, size(w) - {OVERLAP})"
 
 
-def short_counts(dictionary: DataFrame) -> DataFrame:
-    """(lang, phrase, f) of all phrases of one and two words."""
-
-    def run(batches):
-        for batch in batches:
-            found: Counter = Counter()
-            for lang, chunk, last, freq in zip(*(batch.column(c).to_pylist() for c in ("lang", "chunk", "last", "freq")), strict=True):
-                words = chunk.split(" ")
-                own = len(words) if last else len(words) - OVERLAP
-                for w in words[:own]:
-                    found[lang, w] += freq
-                for pair in zip(words[:own], words[1:], strict=False):
-                    found[lang, " ".join(pair)] += freq
-                if len(found) > HELD:
-                    yield _batch(found, ("lang", "phrase"))
-                    found.clear()
-            yield _batch(found, ("lang", "phrase"))
-
-    rows = dictionary.mapInArrow(run, "lang string, phrase string, n long")
-    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-
-
-def long_counts(dictionary: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(lang, phrase, f) of the phrases of three and four words in which all neighbours are pairs(lang, phrase)."""
+def joined_counts(dictionary: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(lang, phrase, f) of the phrases of three and four words in which all neighbours are pairs(lang, phrase), by joins."""
     pair = lambda k: f"concat(w[i + {k - 1}], ' ', w[i + {k}])"
     places = F.expr(f"explode_outer(if({_own(3)} > 0, transform(sequence(1, {_own(3)}), i -> struct({pair(0)} AS a, {pair(1)} AS b, if(i + 3 <= size(w), {pair(2)}, NULL) AS c)), array()))")
-    rows = dictionary.select("lang", "last", "freq", F.split("chunk", " ").alias("w")).select("lang", "freq", places.alias("p")).where("p IS NOT NULL").select("lang", "freq", "p.*")  # an outer explode is not computed a second time by a filter below it
+    rows = dictionary.select("lang", "last", "freq", F.split("chunk", " ").alias("w")).select("lang", "freq", places.alias("p")).where("p IS NOT NULL").select("lang", "freq", "p.*")
     known = lambda c: pairs.select("lang", F.col("phrase").alias(c))
     rows = rows.join(known("a"), ["lang", "a"], "left_semi").join(known("b"), ["lang", "b"], "left_semi").join(known("c").withColumn("four", F.lit(True)), ["lang", "c"], "left")
     three = F.concat("a", F.lit(" "), F.substring_index("b", " ", -1))
@@ -115,10 +230,16 @@ def long_counts(dictionary: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("lang", "freq", phrase.alias("phrase")).groupBy("lang", "phrase").agg(F.sum("freq").alias("f"))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast where its rows and their text are within the bounds."""
-    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("lang") + F.octet_length("phrase")), F.lit(0))).first()
-    return F.broadcast(df) if rows <= BROADCAST_PAIRS and size <= BROADCAST_BYTES else df
+def frequent_phrases(dictionary: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, f), written, of the phrases of one to four words that occur `least` times or more."""
+    enough = F.col("f") >= least
+    keys = written(short_keys(dictionary).where(enough).select("key"), CHUNKS)
+    short = written(counts(dictionary, (1, 2), _held(keys)).where(enough), CHUNKS)
+    pairs = short.where(F.contains("phrase", F.lit(" ")))
+    held = _held(pairs)
+    long = joined_counts(dictionary, pairs) if held is None else counts(dictionary, (3, 4), None, held)
+    discard(keys)
+    return short.drop("key").unionByName(written(long.where(enough).select("lang", "phrase", "f"), CHUNKS))
 
 
 def _span(first: Column | int, n: Column | int) -> Column:
@@ -145,7 +266,7 @@ def covering(frequent: DataFrame) -> DataFrame:
     return rows.select("lang", F.col("f"), inside.alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, period: int = PERIOD) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, period: int = PERIOD // FIRST) -> DataFrame:
     """Ranked phrases of each language of docs(lang, text): lang, rank, phrase, a, l, r, n, score.
 
     Phrases of 2 to 4 words that occur `least` times or more; a is the count, l and r those of the parts at the cut, n the
@@ -156,13 +277,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, period: in
     """
     dictionary = written(parsed(docs, period))
     totals = dictionary.groupBy("lang").agg(F.sum(F.col("freq") * (F.size(F.split("chunk", " ")) - F.when(F.col("last"), 0).otherwise(OVERLAP))).alias("n"))
-    short = written(short_counts(dictionary).where(F.col("f") >= least))
-    pairs = written(short.where(F.contains("phrase", F.lit(" "))).select("lang", "phrase"))
-    frequent = short.unionByName(written(long_counts(dictionary, _bounded(pairs)).where(F.col("f") >= least)))
+    frequent = frequent_phrases(dictionary, least)
     whole = scored(frequent).join(covering(frequent), ["lang", "phrase"], "left")
     kept = whole.where("longer IS NULL OR 100 * cast(longer AS decimal(20,0)) < %d * cast(a AS decimal(20,0))" % COVERED).drop("longer")
     kept = written(kept.join(F.broadcast(written(totals)) if totals.limit(100_001).count() <= 100_000 else totals, "lang"))
-    discard(dictionary, pairs)
+    discard(dictionary)
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt")
     part = kept.select("*", salt).withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("place") <= top)

@@ -34,6 +34,7 @@ def brute(rows, least, top):
 @pytest.mark.parametrize(("period", "held"), [(8, 200_000), (1, 5), (1 << 60, 200_000)])
 def test_against_all_places(spark, monkeypatch, period, held):
     monkeypatch.setattr(C, "HELD", held)
+    monkeypatch.setattr(C, "BYTES", 100 if period == 1 else 1 << 20)
     r = random.Random(period)
     words = ["Alpha", "beta", "Γamma", "délta", "e", "F", "\x0bg", "z\x00z", "\U0001f600", "￮"]
     text = lambda: "".join(r.choice(words) + r.choice([" "] * 12 + ["  ", "\t", ", ", ".", "\n", "!", "\f"]) for _ in range(r.randrange(0, 60)))
@@ -48,17 +49,18 @@ def test_against_all_places(spark, monkeypatch, period, held):
 def test_shuffled_joins_give_the_same(spark, monkeypatch):
     rows = [("en", "a b c d e a b c"), ("en", "b c d e f")] * 9
     docs = spark.createDataFrame(rows, "lang string, text string")
-    monkeypatch.setattr(C, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(C, "KEYS", 0)
     assert sorted(tuple(x) for x in C.collocations(docs, 3).collect()) == brute(rows, 3, 2000)
 
 
 def test_chunks_overlap_and_own_each_place_once():
     r = random.Random(1)
     words = [str(r.randrange(50)).encode() for _ in range(400)]
-    parts = list(C._chunks(words, 5))
-    assert [last for _, last in parts] == [False] * (len(parts) - 1) + [True] and len(parts) > 20
-    joined = parts[0][0].split()
-    for part, _ in parts[1:]:
+    inner, last = C._inner(words, 1, {})
+    parts = [*inner, last]
+    assert len(parts) > 20
+    joined = parts[0].split()
+    for part in parts[1:]:
         assert joined[-3:] == part.split()[:3]
         joined += part.split()[3:]
     assert joined == words
