@@ -2,14 +2,17 @@
 
 Two lines are near when one word inserted, deleted or replaced makes one of them the other; A-Z is lower-cased, words stand
 between white space. Where the shorter has fewer than MIN_WORDS words, the edit is one character instead, other than a digit
-(which tells numbered lines apart), of lines of MIN_CHARS characters at least, one space between words. A line is dropped when
-an equal or near line occurs earlier (by doc_id, then line number) anywhere in the corpus; blank lines stay.
+(which tells numbered lines apart), of lines of MIN_CHARS characters at least, one space between words. Lines are decided in the
+order of doc_id and line number: one is dropped when an equal or near line that stays occurs earlier anywhere in the corpus. So a
+chain of near lines keeps every line that has no near one among those that stay. Blank lines stay.
 
 Equal lines, by two independent 64-bit hashes and their length, are collapsed first. A near pair shares its first or its last
 half, so lines that share a half with no other line are out; the rest emit the variants with one word (short lines: one
 character) deleted outside a shared half, as hashed keys. A key with the place of the deletion joins lines that differ in that
 place, one without it joins a line to those that have one more. Every key group is only asked for its earliest line, by
-map-side minimums and an equi-join, so a group's size does not matter; the pair is then verified.
+map-side minimums and an equi-join, so a group's size does not matter; the pair is then verified. Where the earliest near line
+has one before it itself, rounds follow over the keys of such lines alone: what is near to a line that stays goes, what then has
+no undecided line before it stays, until all are decided.
 """
 
 from __future__ import annotations
@@ -197,8 +200,50 @@ def _checked(batches):
 PLACE = ["doc", "print", "line"]
 
 
+def _verified(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, other), written: the earliest other of each id among pairs that are near, other before id."""
+    pairs = written(found.where("other < id").distinct())
+    texts = pairs.join(lines.select("id", "text"), "id").join(lines.select(F.col("id").alias("other"), F.col("text").alias("text2")), "other")
+    out = written(texts.select("id", "other", "text", "text2").mapInArrow(_checked, "id long, other long").groupBy("id").agg(F.min("other").alias("other")))
+    discard(pairs)
+    return out
+
+
+def _meeting(some: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs (id, other) of variants(id, key, at) that may be near: for each key group the earliest other."""
+    cut, whole = some.where("at >= 0"), some.where("at < 0")
+    least = lambda rows, *key: rows.groupBy(*key).agg(F.min("id").alias("other"))
+    same = cut.join(least(others.where("at >= 0"), "key", "at"), ["key", "at"])
+    shorter = cut.join(least(others.where("at < 0"), "key"), "key")
+    longer = whole.join(least(others.where("at >= 0"), "key"), "key")
+    return same.select("id", "other").unionByName(shorter.select("id", "other")).unionByName(longer.select("id", "other"))
+
+
+def _decided(near: DataFrame, variants: DataFrame, lines: DataFrame) -> DataFrame:
+    """near(id, other) for the lines that go, other being one that stays; near given: the earliest near line of each that has one."""
+    dropped = near.join(near.select(F.col("id").alias("other")), "other", "left_anti").select("id", "other")
+    undecided = written(near.select("id").join(dropped.select("id"), "id", "left_anti"))
+    if not undecided.limit(1).count():
+        discard(undecided)
+        return near
+    keys = variants.join(checked(undecided), "id", "left_semi").select("key").distinct()
+    around = written(variants.join(checked(written(keys)), "key", "left_semi"))
+    of = lambda ids: around.join(checked(ids), "id", "left_semi")
+    kept, gone = written(around.select("id").distinct().join(near.select("id"), "id", "left_anti")), [written(dropped)]
+    while undecided.limit(1).count():
+        gone.append(_verified(_meeting(of(undecided), of(kept)), lines))
+        left = written(undecided.join(gone[-1].select("id"), "id", "left_anti"))
+        blocked = _verified(_meeting(of(left), of(left)), lines)
+        kept, undecided = written(left.join(blocked.select("id"), "id", "left_anti")), written(blocked.select("id"))
+        discard(left, blocked)
+    out = gone[0]
+    for more in gone[1:]:
+        out = out.unionByName(more)
+    return written(out)
+
+
 def near_earlier(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(first, near): for the first occurrence of a line, an earlier near line, the earliest of a key group; both are places."""
+    """(first, near): for the first occurrence of a line that goes, a near line before it that stays; both are places."""
     half = firsts.select("number", "n", F.posexplode("halves").alias("role", "key"))
     half = half.select("number", "key", F.when(F.col("n") < MIN_WORDS, F.col("role") + 4).otherwise(F.col("role")).alias("role"))
     shared = half.groupBy("key").agg(F.count("*").alias("f")).where("f > 1").select("key")
@@ -213,20 +258,20 @@ def near_earlier(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     longer = written(cut.select("id", "key").join(whole.groupBy("key").agg(F.min("id").alias("whole")), "key"))
     found = cut.join(checked(least), ["key", "at"]).select("id", "other").unionByName(longer.select("id", F.col("whole").alias("other")))
     found = found.unionByName(whole.join(longer.groupBy("key").agg(F.min("id").alias("other")), "key").select("id", "other"))
-    pairs = written(found.where("other < id").distinct())
-    discard(variants, least, longer)
-    texts = pairs.join(lines.select("id", "text"), "id").join(lines.select(F.col("id").alias("other"), F.col("text").alias("text2")), "other")
-    near = written(texts.select("id", "other", "text", "text2").mapInArrow(_checked, "id long, other long").groupBy("id").agg(F.min("other").alias("other")))
+    first = _verified(found, lines)
+    discard(least, longer)
+    near = _decided(first, variants, lines)
+    discard(variants)
     place = lambda name: wanted.select(F.col("id").alias(name), F.struct(*PLACE).alias(f"{name}_place"))
     out = written(near.join(place("id"), "id").join(place("other"), "other").select(F.col("id_place").alias("first"), F.col("other_place").alias("near")))
-    discard(wanted, lines, pairs, near)
+    discard(wanted, lines, first, near)
     return out
 
 
 def line_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, print, line, kind, keep_doc, keep_line) of every dropped line of docs(doc_id, text); print: hash of the text.
 
-    kind is equal (to an earlier line) or near; keep_doc and keep_line name the earlier line. Null texts are empty: one
+    kind is equal (to an earlier line that stays) or near; keep_doc and keep_line name that line. Null texts are empty: one
     blank line. Rows that repeat an id and a text are one document; those with one id and different texts come in the order
     of their hash. A null id comes first. Other columns are not read; an empty table gives an empty result.
     """
@@ -242,8 +287,8 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     discard(near, firsts)
     found = lines.where("n > 0").select(*PLACE, *same).join(checked(kept), same)
     drop = found.where((F.struct(*PLACE) != F.col("first")) | F.col("near").isNotNull())
-    keep = F.when(F.struct(*PLACE) != F.col("first"), F.col("first")).otherwise(F.col("near"))
-    drop = drop.select(*PLACE, F.when(F.struct(*PLACE) != F.col("first"), "equal").otherwise("near").alias("kind"), keep.alias("keep")).distinct()
+    kind = F.when(F.col("near").isNull(), "equal").otherwise("near")
+    drop = drop.select(*PLACE, kind.alias("kind"), F.coalesce("near", "first").alias("keep")).distinct()
     back = lambda c: F.when(c != null, c)
     return drop.select(back(F.col("doc")).alias("doc_id"), "print", "line", "kind", back(F.col("keep.doc")).alias("keep_doc"), F.col("keep.line").alias("keep_line"))
 

@@ -28,7 +28,8 @@ def lines_brute(docs):
                 continue
             if any(w == e or (min(len(w), len(e)) >= 8 and abs(len(w) - len(e)) <= 1 and edit(w, e) <= 1) for e in earlier):
                 out[d].append(k)
-            earlier.append(w)
+            else:
+                earlier.append(w)
     return out
 
 

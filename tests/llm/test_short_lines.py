@@ -25,7 +25,8 @@ def brute(docs):
 
             if any(near(e) for e in earlier):
                 out[d].append(k)
-            earlier.append(w)
+            else:
+                earlier.append(w)
     return out
 
 
@@ -43,3 +44,21 @@ def test_short_lines(spark):
     got = {x.doc_id: list(x.dropped) for x in line_dedup.without_duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute(docs)
     assert got[2] == [0, 1] and got[4] == [] and got[6] == [0] and got[8] == [0]
+
+
+def test_chains_keep_what_no_kept_line_is_near_to(spark):
+    r = random.Random(7)
+    docs = []
+    for chain in range(12):
+        words = [f"c{chain}w{k}" for k in range(10)]
+        for step in range(r.choice([2, 3, 4, 5, 9])):
+            docs.append((len(docs), " ".join(words)))
+            words[step] = f"x{chain}y{step}"  # one word further from the first, one from the line before
+    r.shuffle(docs)
+    docs = [(k, t) for k, (_, t) in enumerate(docs)] + [(900 + k, t) for k, (_, t) in enumerate(docs[:20])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs)
+    assert {x.doc_id: list(x.dropped) for x in line_dedup.without_duplicate_lines(df).collect()} == want
+    stays = {(d, 0) for d, gone in want.items() if not gone}
+    found = line_dedup.line_duplicates(df).collect()
+    assert found and all((x.keep_doc, x.keep_line) in stays for x in found)
