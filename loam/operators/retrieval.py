@@ -46,7 +46,8 @@ def retrieve(points: DataFrame, queries: DataFrame, n: int = 5, weights: dict |
     named = X.named_commands("text", commands)
     sure = None
     if manual_source:
-        pages = top_similar(points.where(F.col("source") == manual_source), filters.where(F.size(named) > 0), MANUAL_PROBE, POINT, exclude_self=exclude_self)
+        probe = queries.where(F.size(named) > 0).select("query_id", "embedding")  # by source alone: no other filter may hide the page
+        pages = top_similar(points.where(F.col("source") == manual_source), probe, MANUAL_PROBE, POINT, exclude_self=exclude_self)
         sure = pages.where(F.col("cosine") >= threshold).select("query_id").distinct()  # a page near enough settles it
         pool = with_manual_pages(pool, pages)
     rows = pool.join((asked.select("query_id", "text", named.alias("named"), *[F.col(c).alias(f"asked_{c}") for c in asked.columns[2:]])), "query_id")

@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 BATCH = 100
 #: Queries and points that meet in one task.
 QUERY_BLOCK, POINT_PART = 2000, 50_000
+#: Points that are scored at a time in a task.
+TILE = 2048
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -75,47 +77,64 @@ def top_similar(points: DataFrame, queries: DataFrame, k: int, point: str = "poi
     return found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+
+
+def as_matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """A list column without nulls as rows of doubles."""
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
+    return np.concatenate([np.zeros(0), *flat]).reshape(len(column), width)
+
+
+def _fits(rows: pa.Table, want: tuple) -> np.ndarray:
+    """Which rows a (version, category, min_tier) allows; null: any."""
+    mask = lambda values: np.fromiter(values, bool, rows.num_rows)  # noqa: E731  also of no rows
+    ok, (version, category, tier) = np.ones(rows.num_rows, bool), want
+    if version is not None:
+        ok &= mask(bool(v) and (version in v or "all" in v) for v in rows.column("versions").to_pylist())
+    if category is not None:
+        ok &= mask(c == category for c in rows.column("category").to_pylist())
+    if tier is not None:
+        ok &= mask(t is not None and t >= tier for t in rows.column("tier").to_pylist())
+    return ok
+
+
 def _nearest(k: int, point: str, query: str, exclude_self: bool):
+    """The k best rows of a table for each query: in tiles of TILE rows, so that the scores held at a time are queries by TILE."""
+
     def run(b: pa.Table, asked: dict, kind: pa.DataType) -> pa.Table:
+        n = len(asked[query])
         width = max([0, *(len(v) for v in asked["embedding"][:1])])
-        matrix = np.array(asked["embedding"], np.float64).reshape(len(asked[query]), width)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        none = [None] * len(matrix)
-        wanted = [(None if str(v or "").lower() in ("", "all", "any") else v, c, t) for v, c, t in zip(asked.get("version", none), asked.get("category", none), asked.get("min_tier", none), strict=True)]
-        b = b if len(matrix) else b.slice(0, 0)
-        flat = [c.flatten().to_numpy(zero_copy_only=False) for c in b.column("embedding").chunks]
-        vectors = np.concatenate([np.zeros(0), *flat]).reshape(b.num_rows, width)
+        matrix = unit(np.array(asked["embedding"], np.float64).reshape(n, width))
+        b = (b if n else b.slice(0, 0)).sort_by(point)  # ties are settled by id: the first row wins
         ids = b.column(point).to_pylist()
-        rank = np.argsort(np.argsort(np.array(ids, object), kind="stable"), kind="stable")
-        cosine = matrix @ (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)).T
-        masks: dict = {}
-
-        def allowed(version, category, tier, b=b, masks=masks):
-            if (key := (version, category, tier)) not in masks:
-                ok = np.ones(b.num_rows, bool)
-                if version is not None:
-                    ok &= np.array([bool(v) and (version in v or "all" in v) for v in b.column("versions").to_pylist()])
-                if category is not None:
-                    ok &= np.array([c == category for c in b.column("category").to_pylist()])
-                if tier is not None:
-                    ok &= np.array([t is not None and t >= tier for t in b.column("tier").to_pylist()])
-                masks[key] = ok
-            return masks[key]
-
-        rows, of, value = [], [], []
-        for q, (scores, want) in enumerate(zip(cosine, wanted, strict=True)):
-            ok = allowed(*want)
+        none = [None] * n
+        wanted: dict[tuple, list[int]] = {}
+        for q, (v, c, t) in enumerate(zip(asked.get("version", none), asked.get("category", none), asked.get("min_tier", none), strict=True)):
+            wanted.setdefault((None if str(v or "").lower() in ("", "all", "any") else v, c, t), []).append(q)
+        row, of, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for start in range(0, b.num_rows, TILE):
+            tile = b.slice(start, TILE)
+            scores = matrix @ unit(as_matrix(tile.column("embedding"), width)).T
+            for want, those in wanted.items():
+                if want != (None, None, None):
+                    scores[np.ix_(those, ~_fits(tile, want))] = -np.inf
             if exclude_self:
-                ok = ok & np.array([i != asked[query][q] for i in ids])
-            at = np.flatnonzero(ok)
-            if len(at) > k:  # all that reach the k-th best score, so that ties are settled by id
-                at = at[scores[at] >= np.partition(scores[at], len(at) - k)[len(at) - k]]
-            at = at[np.lexsort((rank[at], -scores[at]))][:k]
-            rows += at.tolist()
-            of += [asked[query][q]] * len(at)
-            value += scores[at].tolist()
-        kept = b.drop_columns(["embedding"]).take(pa.array(rows, pa.int64()))
-        kept = kept.append_column(query, pa.array(of, kind))
+                own: dict = {}
+                for i, name in enumerate(ids[start : start + TILE]):
+                    own.setdefault(name, []).append(i)
+                for q, name in enumerate(asked[query]):
+                    scores[q, own.get(name, [])] = -np.inf
+            least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(n, -np.inf)
+            q, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            row, of, value = np.concatenate((row, at + start)), np.concatenate((of, q)), np.concatenate((value, scores[q, at]))
+            order = np.lexsort((row, -value, of))
+            row, of, value = row[order], of[order], value[order]
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            row, of, value = row[place < k], of[place < k], value[place < k]
+        kept = b.drop_columns(["embedding"]).take(pa.array(row, pa.int64()))
+        kept = kept.append_column(query, pa.array([asked[query][q] for q in of], kind))
         return kept.append_column("cosine", pa.array(value, pa.float64()))
 
     return run

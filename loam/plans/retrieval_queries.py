@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import functions as F
 
 from loam.operators import evaluation as E
+from loam.operators import index as X
 from loam.operators import retrieval as R
 from loam.operators import vectors as V
 from loam.plans.common import WEIGHTS, table
 from loam.plans.registry import query
+from loam.sources.storage import shared_dir
 
 LOW = {"threshold": 0.30, "marginal": 0.40, "mean": 0.33}
 
@@ -46,6 +51,30 @@ def j4_top_similar(spark, d):
     return V.top_similar(points(spark, d).select("point_id", "embedding"), q, 10, exclude_self=True).select("query_id", "point_id", F.col("pos").cast("long").alias("pos"), F.round("cosine", 6).alias("cosine"))
 
 
+def list_index(spark, d, name):
+    return X.built(points(spark, d).select("point_id", "embedding"), f"{shared_dir(spark)}/loam/{name}-{uuid.uuid4().hex}")
+
+
+@query(f"WITH {RANKED} SELECT query_id, point_id, pos, round(cosine, 6) AS cosine FROM pool WHERE pos <= 10")
+def j4_index_all_lists(spark, d):
+    """The index with every list probed: the exact search, so that no row is missing from the lists."""
+    found = X.search(list_index(spark, d, "all"), queries_of(spark, d).select("query_id", "embedding"), 10, X.MOST_LISTS, exclude_self=True)
+    return found.select("query_id", "point_id", F.col("pos").cast("long").alias("pos"), F.round("cosine", 6).alias("cosine"))
+
+
+#: Share of the lists that a query probes. These vectors have no clusters, so it takes many.
+PROBED = 0.6
+
+
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def j4_index_recall(spark, d):
+    """Whether the index finds nine tenths of the ten nearest of all rows, measured against the exact search."""
+    index, q = list_index(spark, d, "recall"), queries_of(spark, d).select("query_id", "embedding")
+    found = X.search(index, q, 10, math.ceil(PROBED * len(index.centres)), exclude_self=True)
+    exact = V.top_similar(points(spark, d).select("point_id", "embedding"), q, 10, exclude_self=True)
+    return X.recall(found, exact).select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query(f"""WITH {BASE}, c AS (SELECT query_id, point_id, list_cosine_similarity(qv, pv) AS cosine FROM q, p WHERE list_has_any(versions, ['14', 'all']) AND tier >= 2 AND label = query_label)
 SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, point_id) AS pos FROM c QUALIFY pos <= 5""")
 def f10_filtered_search(spark, d):
@@ -97,6 +126,25 @@ def x22_manual_retrieval(spark, d):
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "point_id", "score")
 
 
+HIDDEN = f"""WITH {BASE}, c AS (SELECT query_id, point_id, article_id, source, CASE WHEN source = 's3' THEN 1 ELSE tier END AS tier, source = 's3' OR list_has_any(versions, ['14', 'all']) AS any_version, list_cosine_similarity(qv, pv) AS cosine FROM q, p WHERE query_id <> point_id),
+pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, point_id) AS pos FROM c WHERE tier >= 2 AND (any_version OR query_id % 150 = 0) QUALIFY pos <= 20),
+mp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, point_id) AS pos FROM c WHERE source = 's3' AND query_id % 100 = 0 QUALIFY pos <= 6),
+whole AS (SELECT query_id, point_id, article_id, source, cosine, pos FROM pool UNION ALL SELECT query_id, point_id, article_id, source, cosine, pos + (SELECT coalesce(max(pos), 0) FROM pool WHERE pool.query_id = mp.query_id) FROM mp),
+scored AS (SELECT *, round_even(cosine * {WEIGHT} + CASE WHEN source = 's3' AND point_id % 11 = 0 THEN 0.25 ELSE 0 END + CASE WHEN query_id % 150 <> 0 AND point_id % 2 = 1 AND source <> 's3' THEN 0.02 ELSE 0 END, 4) AS score FROM whole),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, article_id ORDER BY score DESC, pos) = 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank, point_id, source, score FROM best QUALIFY rank <= 20"""
+
+
+@query(HIDDEN)
+def x22_manual_behind_filters(spark, d):
+    """Manual pages of another version and of the first tier, which the filters of the pool exclude: the probe goes by source alone."""
+    manual = F.col("source") == "s3"
+    p = points(spark, d).withColumn("versions", F.when(manual, F.array(F.lit("12"))).otherwise(F.col("versions"))).withColumn("tier", F.when(manual, 1).otherwise(F.col("tier")))
+    q = pmset_queries(spark, d).withColumn("min_tier", F.lit(2))
+    found = R.retrieve(p, q, 20, WEIGHTS, threshold=-1.0, marginal=-1.0, mean=-1.0, overfetch=1, manual_source="s3", commands=["pmset"], exclude_self=True)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "point_id", "source", "score")
+
+
 GRADED = f"{HITS}, g AS (SELECT query_id, rank, tier, CASE WHEN label = query_label THEN 3 WHEN abs(label - query_label) = 1 THEN 1 ELSE 0 END AS grade FROM hits)"
 PADDED = f"{GRADED}, pad AS (SELECT q.query_id, r.rank, coalesce(g.grade, 0) AS grade FROM q CROSS JOIN (SELECT unnest(range(1, 6)) AS rank) r LEFT JOIN g ON g.query_id = q.query_id AND g.rank = r.rank)"
 METRICS = f"""{PADDED},
