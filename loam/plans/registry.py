@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return add
 
 
-from loam.plans import accounting_queries, corpus_queries, ingest_queries, retrieval_queries, source_queries, text_queries, turn_queries  # noqa: E402,F401
+from loam.plans import accounting_queries, corpus_queries, ingest_queries, retrieval_queries, source_queries, table_queries, text_queries, turn_queries  # noqa: E402,F401
