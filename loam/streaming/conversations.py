@@ -1,8 +1,8 @@
-"""Conversation state on a stream: case files and the window of last messages. The state is bounded for each conversation."""
+"""Conversation state on a stream: case files and the window of last messages. The state is typed, bounded for each
+conversation, and freed by a timeout after its last change."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loam.operators.turns import CLEAR, KEEP
 
+#: Milliseconds after its last change at which the state of a conversation goes: thirty days.
+LIVES = 30 * 24 * 3600 * 1000
 CASE = "conv_id long, version string, chip string, topic string, category string, asked boolean, diagnostics long, pending string, tried array<string>"
 _EMPTY = {"version": None, "chip": None, "topic": None, "category": None, "asked": False, "diagnostics": 0, "pending": None, "tried": []}
 
@@ -37,31 +39,46 @@ def merged_case(case: dict, update: dict) -> dict:
     return out
 
 
-def stream_case_files(updates: DataFrame) -> DataFrame:
+def none_for_nan(row: dict) -> dict:
+    return {k: None if isinstance(v, float) and pd.isna(v) else v for k, v in row.items()}
+
+
+def stream_case_files(updates: DataFrame, lives: int = LIVES) -> DataFrame:
     """The case file of a conversation after each micro-batch with updates of it; updates as in operators.turns.case_files, those
-    of a batch in the order of their turns."""
+    of a batch in the order of their turns. After `lives` milliseconds without an update a conversation is forgotten, and
+    starts anew with the next."""
+    names = [c.split()[0] for c in CASE.split(", ")]
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        case = json.loads(held.get[0]) if held.exists else dict(_EMPTY)
-        rows = pd.concat(list(parts)).sort_values("turn")
-        for row in rows.to_dict("records"):
-            case = merged_case(case, {k: None if isinstance(v, float) and pd.isna(v) else v for k, v in row.items()})
-        held.update((json.dumps(case),))
-        yield pd.DataFrame([{"conv_id": key[0], **case}])[[c.split()[0] for c in CASE.split(", ")]]
+        if held.hasTimedOut:
+            held.remove()
+            return
+        case = dict(_EMPTY) | (dict(zip(names[1:], held.get, strict=True)) if held.exists else {})
+        case["tried"] = list(case["tried"])
+        for row in pd.concat(list(parts)).sort_values("turn").to_dict("records"):
+            case = merged_case(case, none_for_nan(row))
+        held.update(tuple(case[n] for n in names[1:]))
+        held.setTimeoutDuration(lives)
+        yield pd.DataFrame([{"conv_id": key[0], **case}])[names]
 
-    return updates.groupBy("conv_id").applyInPandasWithState(fold, CASE, "held string", "append", GroupStateTimeout.NoTimeout)
+    return updates.groupBy("conv_id").applyInPandasWithState(fold, CASE, CASE.removeprefix("conv_id long, "), "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def stream_history(messages: DataFrame, keep: int = KEEP) -> DataFrame:
-    """(conv_id, turns): the last `keep` turns of a conversation after each micro-batch with messages of it."""
+def stream_history(messages: DataFrame, keep: int = KEEP, lives: int = LIVES) -> DataFrame:
+    """(conv_id, turns): the last `keep` turns of a conversation after each micro-batch with messages of it, forgotten `lives`
+    milliseconds after the last."""
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        before = json.loads(held.get[0]) if held.exists else []
+        if held.hasTimedOut:
+            held.remove()
+            return
+        before = list(held.get[0]) if held.exists else []
         now = sorted([*before, *(int(t) for p in parts for t in p["turn"])])[-keep:]
-        held.update((json.dumps(now),))
+        held.update((now,))
+        held.setTimeoutDuration(lives)
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [",".join(map(str, now))]})
 
-    return messages.select("conv_id", "turn").groupBy("conv_id").applyInPandasWithState(fold, "conv_id long, turns string", "held string", "append", GroupStateTimeout.NoTimeout)
+    return messages.select("conv_id", "turn").groupBy("conv_id").applyInPandasWithState(fold, "conv_id long, turns string", "held array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stream_once(rows: DataFrame, key: str) -> DataFrame:
