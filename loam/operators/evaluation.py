@@ -150,6 +150,12 @@ def blind_labels(answers: DataFrame) -> DataFrame:
     return answers.withColumn("label", F.char(F.row_number().over(order) + 64))
 
 
+def unblinded(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """scores(question, label, ...) with the contestant that labels(question, contestant, label) hides behind each label; scores of
+    labels that were not dealt are left out."""
+    return scores.join(labels.select("question", "label", "contestant"), ["question", "label"])
+
+
 def repaired_judgment(raw):
     """Column: the scores map of a judge's raw reply: fences stripped, from the first brace to the last; null if it does not parse."""
     body = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from loam import rules
 from loam.functions import text as X
 from loam.operators.turns import first_seen
+from loam.operators.vectors import embedded, top_similar
 
 FENCE = r"(?s)```[a-zA-Z]*\n?(.*?)```"
 PATH = r"(?:/[A-Za-z0-9._-]+){2,}|~/[A-Za-z0-9._/-]+"
 LONGEST = 200
 #: A command is grounded if this share of its tokens is in the context.
 SHARE = 0.5
+#: Hits of the second search.
+RESCUED = 3
 
 
 def tool_pattern(tools=rules.TOOLS) -> str:
@@ -77,3 +80,25 @@ def grounded_after_rescue(report: DataFrame, hits: DataFrame, tools=rules.TOOLS,
     more = hits.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda h: h["text"]), "\n").alias("more"))
     rows = report.drop("total", "grounded", "ungrounded", "ratio").join(more, "answer_id", "left")
     return grounding_report(rows.withColumn("context", F.concat_ws("\n", "context", "more")).drop("more"), tools, stop, prefix)
+
+
+def with_rescue(answers: DataFrame, points: DataFrame, embed, n: int = RESCUED, tools=rules.TOOLS, stop=rules.COMMAND_STOP_WORDS, prefix: str = "sudo") -> DataFrame:
+    """The grounding report of answers(answer_id, answer, context), and after a second search for what it did not find.
+
+    The ungrounded commands of an answer, together and cut to 200 characters, are a query for the n nearest of points(point_id,
+    embedding, title, url, text); equal queries of different answers are searched once. Hits that the answer has no source of yet
+    go behind its context, and its commands are graded again. Columns: those of the report, rescued (hits) and total_after,
+    grounded_after, ungrounded_after, ratio_after.
+    """
+    report = grounding_report(answers, tools, stop, prefix)
+    asked = F.left(F.array_join("ungrounded", " "), F.lit(LONGEST))
+    wanted = report.where(F.size("ungrounded") > 0).select("answer_id", asked.alias("query_id"))
+    queries = embedded(wanted.select("query_id").distinct(), embed, "query_id")
+    hits = top_similar(points, queries, n).select("query_id", "pos", "title", "url", "text")
+    mine = wanted.join(hits, "query_id").drop("query_id")
+    once = mine.groupBy("answer_id", "title", "url").agg(F.min_by(F.struct("pos", "text"), "pos").alias("h")).select("answer_id", "h.*")
+    after = grounded_after_rescue(report, once, tools, stop, prefix)
+    count = once.groupBy("answer_id").agg(F.count("*").alias("rescued"))
+    names = ("total", "grounded", "ungrounded", "ratio")
+    after = after.select("answer_id", *[F.col(c).alias(f"{c}_after") for c in names])
+    return report.join(after, "answer_id").join(count, "answer_id", "left").withColumn("rescued", F.coalesce("rescued", F.lit(0).cast("long")))

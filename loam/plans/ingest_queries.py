@@ -17,14 +17,14 @@ ODD = "regexp_matches(chunk_id, '[13579]$')"
 
 
 def chunks(spark, d):
-    return K.chunk_articles(articles(spark, d).where("doc_id % 3 = 0"))
+    return K.chunk_articles(articles(spark, d))
 
 
 def odd(df):
     return df.where(F.col("chunk_id").rlike("[13579]$"))
 
 
-SOME = f"WITH {CHUNKS}, c AS (SELECT chunk_id, text FROM chunks WHERE doc_id % 3 = 0)"
+SOME = f"WITH {CHUNKS}, c AS (SELECT chunk_id, text FROM chunks)"
 
 
 @query(f"{SOME} SELECT chunk_id, count(*) AS n FROM (SELECT chunk_id FROM c UNION ALL SELECT chunk_id FROM c WHERE {ODD}) GROUP BY 1")
@@ -98,6 +98,16 @@ def w10_blind_labels(spark, d):
     return E.blind_labels(rows)
 
 
+@query("""WITH l AS (SELECT doc_id AS question, c.name AS contestant, chr(64 + row_number() OVER (PARTITION BY doc_id ORDER BY sha256(doc_id || '|' || c.name))::INT) AS label FROM documents, (SELECT unnest(['own', 'other', 'third']) AS name) c)
+SELECT contestant, count(*) AS n, sum((length(text) + ascii(label)) % 6)::BIGINT AS correctness FROM l JOIN documents ON doc_id = question GROUP BY 1""")
+def j8_unblinded(spark, d):
+    """Scores of judges that saw labels only, from the lengths of the texts, summed by the contestants behind them."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("question"), F.length("text").alias("n"))
+    labels = E.blind_labels(docs.select("question", F.explode(F.array(F.lit("own"), F.lit("other"), F.lit("third"))).alias("contestant")))
+    scores = docs.select("question", "n", F.explode(F.array(*map(F.lit, "ABCD"))).alias("label")).withColumn("correctness", (F.col("n") + F.ascii("label")) % 6)
+    return E.unblinded(scores, labels).groupBy("contestant").agg(F.count("*").alias("n"), F.sum("correctness").alias("correctness"))
+
+
 @query("SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(l, lower(x)) = i), '|') AS seen FROM (SELECT doc_id, w, list_transform(w, lambda x: lower(x)) AS l FROM (SELECT doc_id, string_split(left(text, 200), ' ') AS w FROM documents))")
 def w8_first_seen(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(U.first_seen(F.split(F.left("text", F.lit(200)), " ", -1), F.lower), "|").alias("seen"))

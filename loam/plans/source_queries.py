@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
@@ -10,6 +12,7 @@ from loam.plans.common import contains_any, quoted, table
 from loam.plans.registry import query
 from loam.sources import pages as P
 from loam.sources import readers
+from loam.sources.storage import shared_dir
 
 WORDS, LABELS, PHRASES = ["and", "der"], ["s1", "s2"], ["the", "ist"]
 #: One line of plain words: markup and odd white space have tests of their own.
@@ -314,6 +317,75 @@ def s13_api_pairs(spark, d):
     return P.api_pairs(rows.select(F.to_json(q).alias("json")), rows.select(F.to_json(a).alias("json"))).select("question_id", "title", "answer")
 
 
+@query("""SELECT max(doc_id) AS question_id, left(arg_max(text, doc_id), 20) AS title, CAST(-1 - doc_id // 3 AS VARCHAR) AS answer FROM documents WHERE doc_id >= 0 GROUP BY doc_id // 3""")
+def j1_shared_answers(spark, d):
+    """Three questions accept one answer: the last of them, by id, gets it."""
+    i = F.col("doc_id")
+    shape = lambda rows, kind, own, accepted, body: rows.select(own.alias("_Id"), F.lit(kind).alias("_PostTypeId"), accepted.cast("long").alias("_AcceptedAnswerId"), F.lit("9").alias("_Score"), F.lit("|macos|").alias("_Tags"), F.left("text", F.lit(20)).alias("_Title"), body.alias("_Body"))
+    rows = table(spark, d, "documents").where("doc_id >= 0")
+    answer = -1 - F.floor(i / 3)
+    posts = shape(rows, 1, i, answer, F.lit("q")).unionByName(shape(rows.where("doc_id % 3 = 0"), 2, answer, F.lit(None), answer.cast("string")))
+    return readers.accepted_pairs(posts).select("question_id", F.left(F.coalesce("title", F.lit("")), F.lit(20)).alias("title"), "answer")
+
+
+LINES = "SELECT 'c' || doc_id AS chunk_id, text FROM documents"
+
+
+def chunk_files(spark, d, parts):
+    """documents as files of JSON lines; every seventh line is cut off. Lines are in the order of ids where there is one file."""
+    base = f"{shared_dir(spark)}/loam/{uuid.uuid4().hex}"
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select(i, F.to_json(F.struct(F.concat(F.lit("c"), i.cast("string")).alias("chunk_id"), "text")).alias("line"))
+    rows = rows.select(F.when(i % 7 == 0, F.expr("left(line, length(line) - 2)")).otherwise(F.col("line")).alias("value"), i.alias("at"))
+    dealt = rows.repartitionByRange(parts, "at").sortWithinPartitions("at")
+    dealt.select("value").write.text(f"{base}/lines")
+    return f"{base}/lines"
+
+
+@query(f"{LINES} WHERE doc_id % 7 <> 0")
+def s1_chunk_lines(spark, d):
+    return readers.chunk_lines(spark, chunk_files(spark, d, 5)).select("chunk_id", "text")
+
+
+@query("SELECT count(*) AS lines FROM documents WHERE doc_id % 7 = 0")
+def s1_quarantine(spark, d):
+    return readers.scanned(spark, chunk_files(spark, d, 5))[1].agg(F.count("line").alias("lines"))
+
+
+@query(f"{LINES} WHERE doc_id % 7 <> 0 ORDER BY doc_id LIMIT 40")
+def s1_first_lines(spark, d):
+    """The first records in the order of files and lines; files are named in the order of ids here."""
+    return readers.chunk_lines(spark, chunk_files(spark, d, 5), 40).select("chunk_id", "text")
+
+
+@query("SELECT doc_id, source, left(text, 50) AS summary FROM documents")
+def s2_article_files(spark, d):
+    """documents as JSON lines of articles, in folders by source, read back at any depth."""
+    base = f"{shared_dir(spark)}/loam/{uuid.uuid4().hex}"
+    i = F.col("doc_id")
+    table(spark, d, "documents").select(i.cast("string").alias("article_id"), "source", F.left("text", F.lit(50)).alias("summary"), F.coalesce("source", F.lit("none")).alias("folder")).write.partitionBy("folder").json(base)
+    rows = readers.article_files(spark, base, one_each=False)
+    return rows.select(F.col("article_id").cast("long").alias("doc_id"), "source", "summary")
+
+
+@query("""WITH p AS (SELECT url, page_id, page_id // 400 AS j, (page_id // 20) % 20 AS k, page_id % 20 AS pos FROM pages)
+SELECT url, 3 AS depth, arg_min(j || ',' || (k + 1) || ',' || pos, page_id) AS trail FROM p GROUP BY url""")
+def s14_sitemap_pages(spark, d):
+    """A robots file names indexes, these sitemaps of twenty pages each; every index also names the first one again."""
+    i = F.col("page_id")
+    loc = lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))
+    joined = lambda rows, key, at, line, head: rows.groupBy(key.alias("url")).agg(F.concat(head, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), line.alias("line")))), lambda x: x["line"]), "\n")).alias("text"))
+    name = lambda kind, n: F.concat(F.lit(f"https://maps.example.org/{kind}/"), n.cast("string"))
+    pages = table(spark, d, "pages").select(i, "url")
+    index, part = F.floor(i / 400), F.floor(i / 20)
+    maps = joined(pages, name("map", part), i, loc(F.col("url")), F.lit(""))
+    parts = pages.select(index.alias("j"), part.alias("k")).distinct()
+    indexes = joined(parts, name("index", F.col("j")), F.col("k"), loc(name("map", F.col("k"))), F.concat(loc(name("index", F.lit(0))), F.lit("\n")))
+    robots = joined(parts.select("j").distinct(), F.lit("https://maps.example.org/robots.txt"), F.col("j"), F.concat(F.lit("Sitemap: "), name("index", F.col("j"))), F.lit("User-agent: *\n"))
+    found = readers.sitemap_pages(maps.unionByName(indexes).unionByName(robots), "https://maps.example.org/robots.txt")
+    return found.select("url", "depth", F.array_join(F.transform("trail", lambda t: t.cast("string")), ",").alias("trail"))
+
+
 @query(f"""{T}, p AS (SELECT *, CASE WHEN doc_id % 10 = 7 THEN NULL ELSE doc_id % 8 END AS s FROM x)
 SELECT q.doc_id AS question_id, left(q.t, 20) || ' & x' AS title, left(a.t, 20) AS answer FROM p q JOIN p a ON a.doc_id = q.doc_id + 1 WHERE q.doc_id % 2 = 0 AND q.s >= 3 AND q.doc_id % 6 <> 4 AND coalesce(a.s, 0) >= 1""")
 def j1_accepted_pairs(spark, d):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loam.operators import credits as C
 from loam.operators import grounding as G
 from loam.operators import turns as U
+from loam.operators.vectors import embedded
 from loam.plans.common import contains_any, quoted, table
 from loam.plans.registry import query
 from loam.streaming import conversations, counters
@@ -56,9 +58,9 @@ def x33_retrieval_query(spark, d):
 
 
 @query(f"""{SAID} SELECT conv_id, turn, CASE WHEN user_turn > 1 AND {contains_any('lower(text)', FAILED)} THEN CASE WHEN user_turn >= 3 THEN 3 ELSE 2 END
-WHEN {contains_any('lower(left(text, 8))', TOOLS)} THEN 2 END AS tier FROM s""")
+WHEN {contains_any('lower(text)', TOOLS)} THEN 2 END AS tier FROM s""")
 def x34_least_tier(spark, d):
-    return said(spark, d).select("conv_id", "turn", U.least_tier(F.array(F.left("text", F.lit(8))), "text", "user_turn", TOOLS, FAILED).alias("tier"))
+    return said(spark, d).select("conv_id", "turn", U.least_tier(F.array("text"), "text", "user_turn", TOOLS, FAILED).alias("tier"))
 
 
 @query(f"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN true WHEN turn % 3 = 1 THEN {contains_any('lower(text)', TOPICAL)} ELSE true END AS topical FROM conversations")
@@ -185,6 +187,42 @@ def j15_rescued(spark, d):
     return G.rescued(sources, named(4)).drop("text")
 
 
+def by_length(texts):
+    """A stand-in for an embedder that SQL can follow: the direction of (length mod 97, 1)."""
+    return np.array([[len(t) % 97, 1] for t in texts], np.float32)
+
+
+SOLID = r"(^|[^\p{L}\p{N}_])der($|[^\p{L}\p{N}_])"
+
+
+def single(context: str, name: str) -> str:
+    """SQL: whether a lower-cased context grounds the command `der a b`."""
+    known = f"regexp_matches({context}, '{SOLID}') AND contains(regexp_replace({context}, '[ \t\n\x0B\f\r]+', ' ', 'g'), 'der ' || a)"
+    token = lambda t: f"CASE WHEN contains({context}, {t}) THEN 1 ELSE 0 END"
+    counted = lambda t: f"CASE WHEN {t} IN ({quoted(STOP)}) THEN 0 ELSE 1 END"
+    return f"({known} AND {token(quoted(['der']))} + {counted('a')} * {token('a')} + {counted('b')} * {token('b')} >= 0.5 * (1 + {counted('a')} + {counted('b')})) AS {name}"
+
+
+@query(f"""WITH w AS (SELECT doc_id, text, lower(text) AS low, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]{{3,20}}') AS w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, low, text, w[1] AS a, w[2] AS b FROM w WHERE len(w) >= 2),
+g AS (SELECT doc_id, low, a, b, 'der ' || a || ' ' || b AS query, {single('low', 'before')} FROM d),
+q AS (SELECT DISTINCT query, [(length(query) % 97)::DOUBLE, 1] AS v FROM g WHERE NOT before),
+h AS (SELECT query, text, row_number() OVER (PARTITION BY query ORDER BY list_cosine_similarity(v, [(length(text) % 97)::DOUBLE, 1]) DESC, doc_id) AS pos FROM q, documents WHERE text IS NOT NULL QUALIFY pos <= 3),
+m AS (SELECT query, lower(string_agg(text, chr(10) ORDER BY pos)) AS more FROM h GROUP BY query),
+e AS (SELECT g.*, CASE WHEN more IS NULL THEN low ELSE low || chr(10) || more END AS wide FROM g LEFT JOIN m ON m.query = g.query AND NOT before),
+f AS (SELECT *, {single('wide', 'after')} FROM e)
+SELECT doc_id AS answer_id, before, after, CASE WHEN before THEN 0 ELSE 3 END::BIGINT AS rescued FROM f""")
+def r3_rescued_report(spark, d):
+    """Every text answers with one command made of its first words; what its own text does not ground is searched for in all texts."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    words = F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z]{3,20}"), F.lit(0))
+    rows = docs.select(F.col("doc_id").alias("answer_id"), F.col("text").alias("context"), words.alias("w")).where(F.size("w") >= 2)
+    rows = rows.select("answer_id", "context", F.concat(F.lit("Run `der "), F.get("w", F.lit(0)), F.lit(" "), F.get("w", F.lit(1)), F.lit("` now.")).alias("answer"))
+    points = embedded(docs.select(F.col("doc_id").alias("point_id"), F.col("doc_id").cast("string").alias("title"), F.lit("u").alias("url"), "text"), by_length)
+    report = G.with_rescue(rows, points, by_length, tools=["der"], stop=STOP)
+    return report.select("answer_id", (F.col("grounded") == F.col("total")).alias("before"), (F.col("grounded_after") == F.col("total_after")).alias("after"), "rescued")
+
+
 def turns(spark, d):
     """One turn an event, in a few hundred accounts: the cost from its id."""
     e = F.col("event_id")
@@ -244,8 +282,7 @@ def k10_append(spark, d):
 
 
 def message_stream(spark, d):
-    rows = spark.readStream.schema(messages(spark, d).schema).parquet(f"{d}/conversations.parquet*")
-    return rows
+    return counters.parquet_stream(spark, f"{d}/conversations.parquet")
 
 
 @query(CASES)
