@@ -203,14 +203,24 @@ def tried_basics(query, signals=rules.TRIED_SIGNALS) -> Column:
 
 
 def redacted(text, table=rules.PII_RULES) -> tuple[Column, dict[str, Column]]:
-    """(text with personal data replaced, count of each kind, taken before its replacement)."""
+    """(text with personal data replaced, count of each kind, taken before its replacement). A rule of the default table is
+    only tried where the text has what each of its matches holds."""
     t, counts = F.coalesce(col(text), F.lit("")), {}
     for kind, pattern, by in table:
-        counts[kind] = F.regexp_count(t, F.lit("(?U)" + pattern))
-        t = F.regexp_replace(t, "(?U)" + pattern, by)
+        gate = _held_by(kind, t) if table is rules.PII_RULES else F.lit(True)
+        counts[kind] = F.when(gate, F.regexp_count(t, F.lit("(?U)" + pattern))).otherwise(0)
+        t = F.when(gate, F.regexp_replace(t, "(?U)" + pattern, by)).otherwise(t)
     return t, counts
 
 
+def _held_by(kind: str, text: Column) -> Column:
+    """What a text with a match of that rule of PII_RULES has for certain."""
+    if kind == "ipv4":
+        return text.rlike(r"(?U)\d\.\d")
+    sign = {"email": "@", "mac_address": ":", "ipv6": ":", "user_path": "/Users/"}.get(kind)
+    return F.contains(text, F.lit(sign)) if sign else F.lit(True)
+
+
 def abuse_kind(text, table=rules.ABUSE_RULES) -> Column:
     out = F.when(F.lit(False), "")
     for kind, pattern in table:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from loam.functions import text as X
 
 FLAT_USD = 0.00001
@@ -139,3 +141,42 @@ def dashboard(rows: DataFrame, now, cost_bounds: list[float] = COST_BUCKETS) ->
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
+
+
+#: Upper bounds in seconds of the latency histogram, and the spans in seconds of the panels.
+LATENCY_BUCKETS = [0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 30.0, 60.0]
+SPANS = {"short": 300, "hour": 3600, "day": 86_400, "month": 30 * 86_400}
+
+
+def panels(rows: DataFrame, now, bounds: list[float] = LATENCY_BUCKETS, spans: dict[str, int] = SPANS) -> DataFrame:
+    """(panel, label, value): the twelve panels of the dashboard, from one pass over a ledger with ts, outcome, error_type,
+    cost_usd, latency_s, rating, redactions, abuse, refused, tokens_in, tokens_out, calls.
+
+    Each row becomes what it adds to each series whose span it is in; one aggregate, combined before its shuffle, sums them up, and
+    shares and quantiles come from these few sums. A series without rows is not there; nulls add nothing; shares are of a
+    rate of 0.0001 a second at least, or of one rating.
+    """
+    age = F.unix_timestamp(now) - F.unix_timestamp("ts")
+    within = {name: (age >= 0) & (age < span) for name, span in spans.items()}
+    rate = lambda v: v / F.lit(float(spans["short"]))
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    one, every = F.lit(1.0), F.lit("all")
+    series = [
+        ("spend_month", every, number("cost_usd"), "month"), ("spend_day", every, number("cost_usd"), "day"), ("cost_per_minute", every, rate(number("cost_usd")) * 60, "short"),
+        ("requests_per_second", F.col("outcome"), rate(one), "short"), ("errors_per_second", F.col("error_type"), rate(one), "short"), ("feedback", F.col("rating"), one, "hour"), ("_ratings", F.col("rating"), one, "month"),
+        ("guardrails", F.lit("pii redactions"), number("redactions"), "hour"), ("guardrails", F.lit("abuse blocks"), number("abuse"), "hour"), ("guardrails", F.lit("credit refusals"), number("refused"), "hour"),
+        ("tokens_per_second", F.lit("in"), rate(number("tokens_in")), "short"), ("tokens_per_second", F.lit("out"), rate(number("tokens_out")), "short"), ("calls_per_minute", every, rate(number("calls")) * 60, "short"),
+        *[("_latency", F.lit(str(float(b))), F.when(F.col("latency_s").isNotNull(), (F.col("latency_s") <= b).cast("double")), "short") for b in [*bounds, float("inf")]],
+    ]
+    adds = F.array(*[F.struct(F.lit(p).alias("panel"), F.when(within[span], label).alias("label"), value.alias("value")) for p, label, value, span in series])
+    sums = rows.select(F.inline(F.filter(adds, lambda x: x["label"].isNotNull() & x["value"].isNotNull()))).groupBy("panel", "label").agg(F.sum("value").alias("value"))
+    # from here on there is a row for each series
+    total, part = F.sum("value").over(Window.partitionBy("panel")), F.when(F.col("panel") == "requests_per_second", "error").otherwise("up")
+    shares = sums.where(F.col("panel").isin("requests_per_second", "_ratings")).withColumn("total", total).groupBy("panel").agg(F.sum(F.when(F.col("label") == part, F.col("value")).otherwise(0.0)).alias("own"), F.max("total").alias("total"))
+    least = F.when(F.col("panel") == "requests_per_second", 0.0001).otherwise(1.0)
+    shares = shares.select(F.when(F.col("panel") == "requests_per_second", "error_share").otherwise("positive_share").alias("panel"), F.lit("all").alias("label"), (F.col("own") / F.greatest("total", least)).alias("value"))
+    held = sums.where("panel = '_latency'").select(F.lit("all").alias("one"), F.col("label").cast("double").alias("le"), F.col("value").alias("n"))
+    out = sums.where("NOT startswith(panel, '_')").unionByName(shares)
+    for q in (0.5, 0.95):
+        out = out.unionByName(quantile(held, "one", q).select(F.lit("turn_latency").alias("panel"), F.lit(f"p{round(100 * q)}").alias("label"), F.col("value").cast("double").alias("value")))
+    return out

@@ -88,9 +88,11 @@ def solutions(comments: DataFrame, least: int = SOLUTION, reactions: int = ISSUE
     rows = comments.withColumn("plain", X.markdown_text("body")).where(F.length("plain") >= least)
     said = X.mentions(F.lower(F.coalesce("body", F.lit(""))), phrases)
     n = F.coalesce("reactions", F.lit(0))
-    best = F.max_by(F.struct(n.alias("n"), "plain"), F.struct(n, -F.col("pos")))
-    out = rows.groupBy("issue").agg(best.alias("best"), F.min_by(F.when(said, F.col("plain")), F.when(said, F.col("pos"))).alias("resolved"), F.max_by("plain", "pos").alias("last"))
-    return out.select("issue", F.coalesce(F.when(F.col("best.n") >= reactions, F.col("best.plain")), "resolved", "last").alias("solution"))
+    # the place is chosen by numbers; only the chosen comment's text is moved, by a join that does not gather a group
+    best = F.max(F.struct(n.alias("n"), (-F.col("pos")).alias("back"))).alias("best")
+    place = rows.groupBy("issue").agg(best, F.min(F.when(said, F.col("pos"))).alias("resolved"), F.max("pos").alias("last"))
+    place = place.select("issue", F.coalesce(F.when(F.col("best.n") >= reactions, -F.col("best.back")), "resolved", "last").alias("pos"))
+    return rows.join(place, ["issue", "pos"]).groupBy("issue").agg(F.first("plain").alias("solution"))
 
 
 def article(now, **parts) -> list[Column]:

@@ -139,6 +139,32 @@ def g4_dashboard(spark, d):
     return A.dashboard(rows, F.lit("2024-01-30 00:00:00").cast("timestamp"), [0.001, 0.005, 0.01, 0.05, 0.1])
 
 
+PANELS = """WITH l AS (SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS outcome, CASE WHEN event_type = 'error' THEN 'kind' || (event_id % 3) END AS error_type, value / 1000 AS cost, CASE WHEN event_id % 11 <> 0 THEN (event_id % 700) / 10 END AS latency, ['up', 'down', NULL][1 + event_id % 3] AS rating,
+ event_id % 2 AS redactions, (event_id % 17 = 0)::INT AS abuse, (event_id % 19 = 0)::INT AS refused, event_id % 1000 AS tin, event_id % 300 AS tout, event_id % 5 AS calls, epoch(TIMESTAMP '2024-01-30 00:00:00') - floor(epoch(ts)) AS age FROM events),
+w AS (SELECT * FROM l WHERE age >= 0), s AS (SELECT * FROM w WHERE age < 43200), h AS (SELECT * FROM w WHERE age < 86400), m AS (SELECT * FROM w WHERE age < 2592000),
+e AS (SELECT unnest([0.5, 1, 2, 5, 10, 20, 30, 60, 'Infinity'::DOUBLE]::DOUBLE[]) AS le), b AS (SELECT le, count(*) FILTER (latency <= le) AS n FROM e, s WHERE latency IS NOT NULL GROUP BY le),
+z AS (SELECT *, lag(n, 1, 0) OVER (ORDER BY le) AS below, lag(le, 1, 0.0) OVER (ORDER BY le) AS low, max(n) OVER () AS whole FROM b),
+p AS (SELECT 'spend_month' AS panel, 'all' AS label, sum(cost)::DOUBLE AS value FROM m UNION ALL SELECT 'spend_day', 'all', sum(cost) FROM h UNION ALL SELECT 'cost_per_minute', 'all', sum(cost) / 43200 * 60 FROM s
+UNION ALL SELECT 'requests_per_second', outcome, count(*) / 43200 FROM s GROUP BY 2 UNION ALL SELECT 'errors_per_second', error_type, count(*) / 43200 FROM s WHERE error_type IS NOT NULL GROUP BY 2 UNION ALL SELECT 'error_share', 'all', count(*) FILTER (outcome = 'error') / 43200 / greatest(count(*) / 43200, 0.0001) FROM s
+UNION ALL SELECT 'turn_latency', 'p' || q, CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (whole * q / 100 - below) / (n - below) END FROM z, (SELECT unnest([50, 95]) AS q) WHERE n >= whole * q / 100 QUALIFY row_number() OVER (PARTITION BY q ORDER BY le) = 1
+UNION ALL SELECT 'feedback', rating, count(*) FROM h WHERE rating IS NOT NULL GROUP BY 2 UNION ALL SELECT 'positive_share', 'all', count(*) FILTER (rating = 'up') / count(rating) FROM m
+UNION ALL SELECT 'guardrails', 'pii redactions', sum(redactions) FROM h UNION ALL SELECT 'guardrails', 'abuse blocks', sum(abuse) FROM h UNION ALL SELECT 'guardrails', 'credit refusals', sum(refused) FROM h
+UNION ALL SELECT 'tokens_per_second', 'in', sum(tin) / 43200 FROM s UNION ALL SELECT 'tokens_per_second', 'out', sum(tout) / 43200 FROM s UNION ALL SELECT 'calls_per_minute', 'all', sum(calls) / 43200 * 60 FROM s)
+SELECT panel, label, round(value, 6) AS value FROM p"""
+
+
+@query(PANELS)
+def g4_panels(spark, d):
+    """All twelve panels; the short span is half a day and the hour a day here, as events are far apart."""
+    e, failed = F.col("event_id"), F.col("event_type") == "error"
+    rows = table(spark, d, "events").select(
+        "ts", F.when(failed, "error").otherwise("ok").alias("outcome"), F.when(failed, F.concat(F.lit("kind"), (e % 3).cast("string"))).alias("error_type"), (F.col("value") / 1000).alias("cost_usd"), F.when(e % 11 != 0, e % 700 / 10).alias("latency_s"),
+        F.when(e % 3 == 0, "up").when(e % 3 == 1, "down").alias("rating"), (e % 2).alias("redactions"), (e % 17 == 0).cast("int").alias("abuse"), (e % 19 == 0).cast("int").alias("refused"), (e % 1000).alias("tokens_in"), (e % 300).alias("tokens_out"), (e % 5).alias("calls"),
+    )
+    found = A.panels(rows, F.lit("2024-01-30 00:00:00").cast("timestamp"), spans={"short": 43_200, "hour": 86_400, "day": 86_400, "month": 30 * 86_400})
+    return found.withColumn("value", F.round("value", 6))
+
+
 @query(f"{CALLS}, u AS (SELECT turn, sum(CASE WHEN failed THEN pc // 4 ELSE tin END) AS tin FROM t WHERE NOT failed OR pc > 0 GROUP BY 1) SELECT turn % 7 AS user_id, '2024-01' AS month_key, count(*) AS turns, sum(tin)::BIGINT AS tokens_in FROM u GROUP BY 1")
 def g3_usage_report(spark, d):
     """Calls to turns, turns to the ledger of a user and month."""
