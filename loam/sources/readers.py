@@ -17,13 +17,15 @@ POST = "_Id long, _PostTypeId int, _AcceptedAnswerId long, _ParentId long, _Scor
 
 
 def chunk_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Chunks of JSON lines; a limit takes the first in the order of the files' names and of the lines in them."""
-    return scanned(spark, path, limit)[0]
+    """Chunks of JSON lines; a limit takes the first by chunk_id, so that it is the same however the files are named or split;
+    scanned() takes the first in the order of the files."""
+    rows = scanned(spark, path)[0]
+    return rows if limit is None else rows.orderBy("chunk_id").limit(limit)
 
 
 def scanned(spark: SparkSession, path: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, quarantine) of JSON lines: rows as chunk_lines, and (file, line, chunk_id where it could be read) of the lines that
-    are no record of that schema, which a limit neither counts nor stops at."""
+    are no record of that schema. A limit takes the first records in the order of the files' names and of the lines in them."""
     raw = spark.read.text(path).where(F.trim("value") != "")
     parsed = F.from_json("value", f"{schemas.CHUNK}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
     rows = raw.select(parsed.alias("r"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line")).select("r.*", "_file", "_start", "_line")

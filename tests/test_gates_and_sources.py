@@ -104,7 +104,7 @@ def test_scans_keep_order_and_what_is_broken(spark, tmp_path):
     good, bad = readers.scanned(spark, str(tmp_path))
     assert sorted(x["chunk_id"] for x in good.collect()) == ["a1", "b1", "b2"]
     assert sorted((x["file"].rsplit("/", 1)[1], x["line"]) for x in bad.collect()) == [("a.jsonl", '{"chunk_id": "a2", "difficulty_tier": "many"}'), ("b.jsonl", "{")]
-    assert [x["chunk_id"] for x in readers.chunk_lines(spark, str(tmp_path), 2).collect()] == ["a1", "b1"]
+    assert [x["chunk_id"] for x in readers.scanned(spark, str(tmp_path), 2)[0].collect()] == ["a1", "b1"]
 
 
 def test_last_question_of_an_answer(spark):
