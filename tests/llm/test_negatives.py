@@ -67,3 +67,10 @@ def test_boxes_hold_their_products():
     labels = r.integers(0, 4, 1000)
     cut = N.pages(labels, r.normal(size=(1000, 5)), 64)
     assert sorted(np.concatenate(cut)) == list(range(1000)) and max(map(len, cut)) <= 64 and len(cut) <= 24
+
+
+def test_repeated_and_odd_rows(spark):
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [0.75, 0.0], 5), (1, [0.75, 0.0], 5), (50, [1.0, 0.0], None), (3, [1.0, 0.5], 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(tuple(x) for x in N.hard_negatives(df).collect())
+    assert got == brute(rows) and len(got) > 0  # an anchor that repeats is the other's positive, and both have rows
