@@ -9,6 +9,7 @@ a manifest says has been applied does nothing when it is replayed.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -69,6 +70,24 @@ class KeyedTable:
         before = self.manifest()
         return self._commit({"version": before["version"] + 1, "files": {}, "runs": []}) or self.reset()
 
+    def vacuum(self, keep: int = 10, older: float = 7 * 24 * 3600) -> int:
+        """Delete what only versions before the newest `keep` need, and what failed runs left, where it is older than that many
+        seconds (a run that is going on has files that no manifest names yet); the number of folders that went."""
+        known = sorted(n for n in self._listed(f"{self.path}/manifests") if n.endswith(".json"))
+        used = set()
+        for name in known[-keep:]:
+            held = json.loads(self.spark.read.text(f"{self.path}/manifests/{name}", wholetext=True).first()[0])
+            used |= {f.split("/")[1] for names in held["files"].values() for f in names}
+        for name in known[:-keep]:
+            self._fs.delete(self._file(f"{self.path}/manifests/{name}"), False)
+        gone = 0
+        for top in ("data", "drafts"):
+            at = self._file(f"{self.path}/{top}")
+            for found in self._fs.listStatus(at) if self._fs.exists(at) else []:
+                if found.getPath().getName() not in used and time.time() - found.getModificationTime() / 1000 >= older:
+                    gone += self._fs.delete(found.getPath(), True)
+        return gone
+
     def _same(self):
         out = F.lit(True)
         for k in self.key:

@@ -58,6 +58,17 @@ def test_overtaken_run_starts_again(spark, tmp_path):
     assert {r["k"]: r["v"] for r in t.read().collect()} == {**{k: "a" for k in range(10)}, 1: "other", 2: "mine", 3: "mine"}
 
 
+def test_vacuum_keeps_the_newest_versions(spark, tmp_path):
+    t = KeyedTable(spark, f"file://{tmp_path}", ["k"], "k long, v string", 2)
+    for n in range(4):
+        t.upsert(spark.createDataFrame([(k, f"v{n}") for k in range(6)], "k long, v string"), f"run{n}")
+    before = sorted(tuple(r) for r in t.read().collect())
+    assert t.vacuum(keep=2) == 0  # nothing is old enough
+    assert t.vacuum(keep=2, older=0) == 2 and t.vacuum(keep=1, older=0) == 1
+    assert sorted(tuple(r) for r in t.read().collect()) == before == [(k, "v3") for k in range(6)]
+    assert t.manifest()["version"] == 4 and KeyedTable(spark, f"file://{tmp_path}/none", ["k"], "k long").vacuum() == 0
+
+
 def test_ingest_stops_and_goes_on_without_embedding_twice(spark, tmp_path):
     log = tmp_path / "embedded"
     chunks = [(f"c{k}", "S", f"text of chunk {k}", f"a{k // 5}", "en-us", "T", "u", ["Mac"], ["all"], 1, "disk", "s", None) for k in range(450)]
