@@ -290,4 +290,5 @@ def price(model, table=rules.PRICES, default=rules.DEFAULT_PRICE) -> tuple[Colum
 
 
 def iso_time(seconds) -> Column:
+    """Seconds since 1970 as ISO 8601, in UTC where the session is; a year of more than four digits has the plus sign that the standard asks for."""
     return F.date_format(F.timestamp_seconds(col(seconds)), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -216,6 +216,6 @@ def x36_price(spark, d):
     return table(spark, d, "events").select("event_id", low.alias("price_in"), high.alias("price_out"))
 
 
-@query("SELECT event_id, strftime(make_timestamp(event_id * 86411 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
+@query("""SELECT event_id, CASE WHEN year(t) > 9999 THEN '+' ELSE '' END || strftime(t, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM (SELECT event_id, make_timestamp(event_id * 86411 * 1000000) AS t FROM events)""")
 def x42_iso_time(spark, d):
     return table(spark, d, "events").select("event_id", X.iso_time(F.col("event_id") * 86411).alias("iso"))
