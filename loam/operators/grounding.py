@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam import rules
 from loam.functions import text as X
+from loam.functions.rows import once
 from loam.operators.turns import first_seen
 from loam.operators.vectors import embedded, top_similar
+from loam.sources.storage import shared_dir
 
 FENCE = r"(?s)```[a-zA-Z]*\n?(.*?)```"
 PATH = r"(?:/[A-Za-z0-9._-]+){2,}|~/[A-Za-z0-9._/-]+"
@@ -86,19 +90,29 @@ def with_rescue(answers: DataFrame, points: DataFrame, embed, n: int = RESCUED,
     """The grounding report of answers(answer_id, answer, context), and after a second search for what it did not find.
 
     The ungrounded commands of an answer, together and cut to 200 characters, are a query for the n nearest of points(point_id,
-    embedding, title, url, text); equal queries of different answers are searched once. Hits that the answer has no source of yet
-    go behind its context, and its commands are graded again. Columns: those of the report, rescued (hits) and total_after,
+    embedding, title, url, text); queries of one text or one vector are searched once. Hits, one for each title and url, go behind
+    the context of the answer, and its commands are graded again. Columns: those of the report, rescued (hits) and total_after,
     grounded_after, ungrounded_after, ratio_after.
+
+    The search moves ids and vectors only. The texts of a query's hits are put together once for each distinct vector, and meet
+    an answer in its own row.
     """
-    report = grounding_report(answers, tools, stop, prefix)
-    asked = F.left(F.array_join("ungrounded", " "), F.lit(LONGEST))
-    wanted = report.where(F.size("ungrounded") > 0).select("answer_id", asked.alias("query_id"))
-    queries = embedded(wanted.select("query_id").distinct(), embed, "query_id")
-    hits = top_similar(points, queries, n).select("query_id", "pos", "title", "url", "text")
-    mine = wanted.join(hits, "query_id").drop("query_id")
-    once = mine.groupBy("answer_id", "title", "url").agg(F.min_by(F.struct("pos", "text"), "pos").alias("h")).select("answer_id", "h.*")
-    after = grounded_after_rescue(report, once, tools, stop, prefix)
-    count = once.groupBy("answer_id").agg(F.count("*").alias("rescued"))
+    spark, base = answers.sparkSession, f"{shared_dir(answers.sparkSession)}/loam/{uuid.uuid4().hex}"
+    report = once(grounding_report(answers, tools, stop, prefix), ungrounded=F.col("ungrounded"))
+    report = report.withColumn("_asked", F.when(F.size("ungrounded") > 0, F.left(F.array_join("ungrounded", " "), F.lit(LONGEST))))
+    queries = embedded(report.where("_asked IS NOT NULL").select(F.col("_asked").alias("query_id")).distinct(), embed, "query_id")
+    queries.write.parquet(f"{base}/queries")  # each query is embedded once, so that equal vectors stay equal
+    queries = spark.read.schema(queries.schema).parquet(f"{base}/queries")
+    searched = queries.groupBy("embedding").agg(F.min("query_id").alias("_searched"))
+    of = queries.join(searched, "embedding").select(F.col("query_id").alias("_asked"), "_searched")
+    hits = top_similar(points.select("point_id", "embedding"), searched.select(F.col("_searched").alias("query_id"), "embedding"), n).select("query_id", "pos", "point_id")
+    found = hits.join(points.select("point_id", "title", "url", "text"), "point_id")
+    first = found.groupBy("query_id", "title", "url").agg(F.min_by(F.struct("pos", "text"), "pos").alias("h"))
+    more = F.array_join(F.transform(F.array_sort(F.collect_list("h")), lambda h: h["text"]), "\n").alias("_more")
+    more = first.groupBy(F.col("query_id").alias("_searched")).agg(more, F.count("*").alias("rescued"))
+    rows = report.join(of, "_asked", "left").join(more, "_searched", "left")
     names = ("total", "grounded", "ungrounded", "ratio")
-    after = after.select("answer_id", *[F.col(c).alias(f"{c}_after") for c in names])
-    return report.join(after, "answer_id").join(count, "answer_id", "left").withColumn("rescued", F.coalesce("rescued", F.lit(0).cast("long")))
+    rows = rows.select(*[c for c in report.columns if c not in ("_asked", *names)], *[F.col(c).alias(f"_{c}") for c in names], F.coalesce("rescued", F.lit(0).cast("long")).alias("rescued"), F.col("context").alias("_context"), F.concat_ws("\n", "context", "_more").alias("_wide"))
+    after = grounding_report(rows.withColumn("context", F.col("_wide")), tools, stop, prefix)
+    given = [F.col("_context").alias(c) if c == "context" else F.col(f"_{c}").alias(c) if c in names else F.col(c) for c in report.columns if c != "_asked"]
+    return after.select(*given, "rescued", *[F.col(c).alias(f"{c}_after") for c in names])

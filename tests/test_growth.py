@@ -1,9 +1,11 @@
 """What larger tables brought up: results against SQL beyond the small tables' ranges, and work that grows with the input only."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from loam.operators import grounding as G
 
 
 def oracle(name: str, **tables) -> list[tuple]:
@@ -20,3 +22,14 @@ def test_years_of_five_digits(spark, tmp_path):
     got = [tuple(r) for r in entry.queries()["x42_iso_time"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(oracle("x42_iso_time", events=f"{tmp_path}/events.parquet"))
     assert dict(got)[5_999_999].startswith("+18399-")
+
+
+def test_rescue_searches_without_texts(spark, monkeypatch):
+    seen, search = [], G.top_similar
+    monkeypatch.setattr(G, "top_similar", lambda points, queries, n: seen.append((points.columns, queries.count())) or search(points, queries, n))
+    embed = lambda texts: np.array([[1.0, 0.0] for _ in texts], np.float32)
+    answers = spark.createDataFrame([(k, f"`pmset -g word{k}`", "nothing") for k in range(20)], "answer_id long, answer string, context string")
+    points = spark.createDataFrame([(1, [1.0, 0.0], "p", "u", "pmset -g word7"), (2, [0.0, 1.0], "q", "u", "other")], "point_id long, embedding array<float>, title string, url string, text string")
+    got = {x["answer_id"]: x["ratio_after"] for x in G.with_rescue(answers, points, embed, n=1).collect()}
+    assert seen == [(["point_id", "embedding"], 1)]  # twenty queries of one vector; the texts stay out of the search
+    assert len(got) == 20 and got[7] == 1.0
