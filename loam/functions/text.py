@@ -19,6 +19,11 @@ def either(tests) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mentions(text, needles) -> Column:
     """Whether any needle is a substring; false for a null text."""
     return F.coalesce(either(F.contains(col(text), F.lit(n)) for n in needles), F.lit(False))
@@ -142,7 +147,7 @@ def unescape(text) -> Column:
 def html_text(html) -> Column:
     """Plain text of simple markup; code and pre in backticks."""
     coded = F.regexp_replace(F.coalesce(col(html), F.lit("")), r"(?is)<(code|pre)(?:\s[^>]*)?>(.*?)</\1>", " `$2` ")
-    return squeeze(unescape(F.regexp_replace(coded, r"(?s)<[^>]*>", " ")))
+    return squeeze(let(F.regexp_replace(coded, r"(?s)<[^>]*>", " "), unescape))
 
 
 def markdown_text(text) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loam import rules
 from loam.functions import text as X
+from loam.functions.rows import once
 from loam.operators.corpus import long_enough
 
 POST_SCORE, POST_COMMENTS = 5, 3
@@ -85,14 +86,15 @@ def solutions(comments: DataFrame, least: int = SOLUTION, reactions: int = ISSUE
     """(issue, solution) of comments(issue, pos, body, reactions): of the comments with at least `least` characters of plain text
     the one with most reactions, if these are enough (the earliest of equals); else the first with a phrase of resolution in
     its raw text; else the last. An issue without such a comment has no row."""
-    rows = comments.withColumn("plain", X.markdown_text("body")).where(F.length("plain") >= least)
+    plain = lambda rows: once(rows, plain=X.markdown_text("body")).where(F.length("plain") >= least)
+    rows = plain(comments)
     said = X.mentions(F.lower(F.coalesce("body", F.lit(""))), phrases)
     n = F.coalesce("reactions", F.lit(0))
     # the place is chosen by numbers; only the chosen comment's text is moved, by a join that does not gather a group
     best = F.max(F.struct(n.alias("n"), (-F.col("pos")).alias("back"))).alias("best")
     place = rows.groupBy("issue").agg(best, F.min(F.when(said, F.col("pos"))).alias("resolved"), F.max("pos").alias("last"))
     place = place.select("issue", F.coalesce(F.when(F.col("best.n") >= reactions, -F.col("best.back")), "resolved", "last").alias("pos"))
-    return rows.join(place, ["issue", "pos"]).groupBy("issue").agg(F.first("plain").alias("solution"))
+    return plain(comments.join(place, ["issue", "pos"])).groupBy("issue").agg(F.first("plain").alias("solution"))
 
 
 def article(now, **parts) -> list[Column]:
@@ -113,9 +115,10 @@ def issue_articles(issues: DataFrame, comments: DataFrame, now: Column, words, w
     """Articles of issues(owner, repo, number, title, body, labels, comments, url) with a solution among their comments(owner,
     repo, number, pos, body, reactions)."""
     key = ["owner", "repo", "number"]
-    good = issues.where(issue_relevant("title", "body", "labels", words, wanted) & (F.col("comments") >= ISSUE_COMMENTS)).withColumn("body", X.markdown_text("body")).where(F.length("body") >= ISSUE_BODY)
+    good = issues.where(issue_relevant("title", "body", "labels", words, wanted) & (F.col("comments") >= ISSUE_COMMENTS))
+    good = once(good, body=X.markdown_text("body")).where(F.length("body") >= ISSUE_BODY)
     picked = solutions(comments.withColumn("issue", F.struct(*key))).select("issue.*", "solution")
-    rows = good.join(picked, key).withColumn("all", F.concat_ws(" ", "title", "body", "solution")).withColumn("label", X.normal_category(category("all")))
+    rows = once(good.join(picked, key), all=F.concat_ws(" ", "title", "body", "solution")).withColumn("label", X.normal_category(category("all")))
     slug = F.upper(F.concat_ws("_", "owner", "repo"))
     text = F.concat(F.col("title"), F.lit(". "), F.left("body", F.lit(600)), F.lit(" "), F.left("solution", F.lit(600)))
     number = F.col("number").cast("string")
@@ -128,8 +131,8 @@ def issue_articles(issues: DataFrame, comments: DataFrame, now: Column, words, w
 
 def post_articles(posts: DataFrame, now: Column, category=X.scored_category) -> DataFrame:
     """Articles of posts(post_id, group, title, body, permalink, created, ...) that are worth it: symptoms without a solution."""
-    rows = posts_worth(posts).withColumn("title", X.squeeze(F.coalesce("title", F.lit("")))).withColumn("body", X.squeeze("body")).where("title <> ''")
-    rows = rows.withColumn("all", F.when(F.col("body") != "", F.concat(F.col("title"), F.lit(". "), F.col("body"))).otherwise(F.col("title"))).withColumn("label", X.normal_category(category("all")))
+    rows = once(posts_worth(posts), title=X.squeeze(F.coalesce("title", F.lit(""))), body=X.squeeze("body")).where("title <> ''")
+    rows = once(rows, all=F.when(F.col("body") != "", F.concat(F.col("title"), F.lit(". "), F.col("body"))).otherwise(F.col("title"))).withColumn("label", X.normal_category(category("all")))
     return long_enough(rows.select(*article(
         now, id=F.concat(F.lit("reddit_"), "post_id"), article_id=F.concat(F.lit("REDDIT_"), F.upper("post_id")), title=F.col("title"), url=F.concat(F.lit("https://www.reddit.com"), F.coalesce("permalink", F.lit(""))),
         last_modified=X.iso_time("created"), macos_versions=X.loose_versions("all"), difficulty_tier=F.lit(1), category=F.col("label"), categories=F.array(F.concat(F.lit("r/"), "group"), F.lit("Community")),
@@ -141,7 +144,7 @@ def session_articles(sessions: DataFrame, now: Column, words=rules.SESSION_WORDS
     """Articles of sessions(session_id, year, title, description, content, url) that are relevant."""
     rows = sessions.where(session_relevant("title", "description", words))
     whole = F.when(F.col("content") != F.col("description"), F.trim(F.concat_ws(" ", "description", "content"))).otherwise(F.col("description"))
-    rows = rows.withColumn("whole", whole).withColumn("name", F.concat(F.lit("WWDC"), F.col("year").cast("string"), F.lit(": "), "title")).withColumn("label", X.normal_category(category(F.concat_ws(" ", "title", "whole"))))
+    rows = once(rows, whole=whole).withColumn("name", F.concat(F.lit("WWDC"), F.col("year").cast("string"), F.lit(": "), "title")).withColumn("label", X.normal_category(category(F.concat_ws(" ", "title", "whole"))))
     version = F.coalesce(F.create_map(*[F.lit(x) for pair in years.items() for x in pair])[F.col("year")], F.lit("all"))
     of = lambda head, name: F.concat(F.lit(head), F.col("year").cast("string"), F.lit("_"), name)
     return long_enough(rows.select(*article(
@@ -162,7 +165,7 @@ def threads_of(posts: DataFrame) -> DataFrame:
 
 def thread_articles(threads: DataFrame, now: Column, category=X.scored_category) -> DataFrame:
     """Articles of threads(url, title, post, accepted, replies) with an accepted reply."""
-    rows = threads_worth(threads).withColumn("all", F.concat_ws(" ", "title", "post", "accepted")).withColumn("label", X.normal_category(category("all")))
+    rows = once(threads_worth(threads), all=F.concat_ws(" ", "title", "post", "accepted")).withColumn("label", X.normal_category(category("all")))
     number = F.regexp_extract("url", r"/thread/(\d+)", 1)
     number = F.when(number != "", number).otherwise(F.element_at(F.split("url", "/"), -1))
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("post", F.lit("")), F.lit(" "), F.col("accepted"))
@@ -191,14 +194,9 @@ def manual_sections(raw) -> Column:
         spans = F.arrays_zip(F.concat(F.array(F.lit(-1)), h).alias("at"), F.concat(h, F.array(F.size(a))).alias("end"))
         return F.transform(F.filter(spans, lambda z: z["end"] - z["at"] > 1), lambda z: section(a, z["at"], z["end"]))
 
-    found = _let(lines, lambda a: _let(heads(a), lambda h: cut(a, h)))
+    found = X.let(lines, lambda a: X.let(heads(a), lambda h: cut(a, h)))
     last = lambda s, names: F.filter(s, lambda x, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), x["heading"]))
-    return _let(found, lambda s: _let(F.transform(s, lambda x: x["heading"]), lambda names: last(s, names)))
-
-
-def _let(value: Column, body) -> Column:
-    """body of the value, which is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return X.let(found, lambda s: X.let(F.transform(s, lambda x: x["heading"]), lambda names: last(s, names)))
 
 
 def section_body(sections, heading: str) -> Column:
@@ -219,10 +217,10 @@ def manual_examples(body) -> Column:
 
 def manual_articles(pages: DataFrame, now: Column, commands: list[str]) -> DataFrame:
     """Articles of manual pages(command, section, raw_text) of the wanted commands."""
-    rows = manuals_worth(pages, commands).withColumn("parts", manual_sections("raw_text"))
-    rows = rows.select("*", section_body("parts", "SYNOPSIS").alias("synopsis"), section_body("parts", "DESCRIPTION").alias("description"), section_body("parts", "NAME").alias("name"), section_body("parts", "EXAMPLES").alias("example_text"))
+    rows = once(manuals_worth(pages, commands), parts=manual_sections("raw_text"))
+    rows = once(rows, synopsis=section_body("parts", "SYNOPSIS"), description=section_body("parts", "DESCRIPTION"), name=section_body("parts", "NAME"), example_text=section_body("parts", "EXAMPLES"))
     line = F.coalesce(F.nullif(F.regexp_extract(X.squeeze("name"), "(?:-|–|—)\\s+(.*)$", 1), F.lit("")), F.col("command"))
-    rows = rows.withColumn("one_line", line).withColumn("flags", manual_flags("synopsis")).withColumn("examples", manual_examples("example_text"))
+    rows = once(rows, one_line=line, flags=manual_flags("synopsis"), examples=manual_examples("example_text"))
     some = lambda test, s: F.when(test, F.array(s)).otherwise(F.array().cast("array<struct<heading:string,body:string>>"))
     shown = F.array_join(F.transform("examples", lambda e: F.concat(F.lit("  "), e)), "\n")
     sections = F.concat(F.array(_section("Synopsis", F.col("synopsis")), _section("Description", F.col("description"))), some(F.size("flags") > 0, _section("Flags", F.array_join("flags", "  "))), some(F.size("examples") > 0, _section("Examples", shown)))
@@ -236,8 +234,8 @@ def manual_articles(pages: DataFrame, now: Column, commands: list[str]) -> DataF
 
 def pair_articles(pairs: DataFrame, now: Column, prefix: str = "ask_", category=X.scored_category, link: str = "https://example.org/questions/") -> DataFrame:
     """Articles of accepted pairs(question_id, title, tags, question, answer), markup removed."""
-    rows = pairs.withColumn("title", X.unescape("title")).withColumn("ask", X.html_text("question")).withColumn("told", X.html_text("answer"))
-    rows = rows.withColumn("all", F.concat_ws(" ", "title", "ask", "told")).withColumn("label", X.normal_category(category("all")))
+    rows = once(pairs, title=X.unescape("title"), ask=X.html_text("question"), told=X.html_text("answer"))
+    rows = once(rows, all=F.concat_ws(" ", "title", "ask", "told")).withColumn("label", X.normal_category(category("all")))
     key = F.col("question_id").cast("string")
     return long_enough(rows.select(*article(
         now, id=F.concat(F.lit(prefix), key), article_id=F.upper(F.concat(F.lit(prefix), key)), title=F.col("title"), url=F.concat(F.lit(link), key), macos_versions=X.loose_versions("all"), difficulty_tier=X.difficulty("all"), category=F.col("label"),

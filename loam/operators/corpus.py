@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
+from loam.functions.rows import once
 from loam.operators.chunks import chunk_articles, index_of
 
 
@@ -34,7 +35,8 @@ def search_articles(articles: DataFrame, device=None, locale=None, version=None,
 
 
 def long_enough(rows: DataFrame, text: str = "embed_text", least: int = 100) -> DataFrame:
-    return rows.where(F.length(X.squeeze(text)) >= least)
+    """Rows whose text, which is made once, has enough characters."""
+    return once(rows, **{text: F.col(text)}).where(F.length(X.squeeze(text)) >= least)
 
 
 def by_source(articles: DataFrame) -> DataFrame:

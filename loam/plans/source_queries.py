@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
+from loam.functions.rows import once
 from loam.operators import articles as A
 from loam.plans.common import contains_any, quoted, table
 from loam.plans.registry import query
@@ -24,7 +25,7 @@ def now():
 
 
 def plain(df):
-    return df.withColumn("text", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9.]+", " ")))
+    return once(df, text=F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9.]+", " ")))
 
 
 def docs(spark, d):
@@ -62,7 +63,7 @@ def issues(spark, d):
 def comments(spark, d):
     """Each document is a comment on one of the five issues after it."""
     rows = docs(spark, d)
-    on = docs(spark, d).where("doc_id % 3 = 0").select(F.col("source").alias("repo"), F.col("doc_id").alias("number"))
+    on = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("source").alias("repo"), F.col("doc_id").alias("number"))
     near = rows.select(F.explode(F.sequence(F.col("doc_id"), F.col("doc_id") + 5)).alias("number"), F.col("doc_id").alias("pos"), F.col("text").alias("body"), (F.col("doc_id") % 6).alias("reactions"))
     return near.join(on, "number").select(F.lit("own").alias("owner"), "repo", "number", "pos", "body", "reactions")
 
@@ -152,12 +153,12 @@ M = f"{T}, m AS (SELECT doc_id, 'c' || doc_id % 20 AS c, t FROM x WHERE len(t) >
 @query(f"""{M} SELECT doc_id, u.h AS heading, u.b AS body FROM (SELECT doc_id, unnest([{{'h': 'PREAMBLE', 'b': 'C(1)'}}, {{'h': 'NAME', 'b': trim(c || ' - ' || left(t, 20))}}, {{'h': 'SYNOPSIS', 'b': c || ' -b' || doc_id % 3 || ' --all -x file'}}, {{'h': 'DESCRIPTION', 'b': trim(substr(t, 21, 200))}},
 {{'h': 'EXAMPLES', 'b': '$ ' || c || ' -x one' || chr(10) || '     # a remark' || chr(10) || '     two' || doc_id % 3 || ' words'}}, {{'h': 'SEE ALSO', 'b': 'log'}}]) AS u FROM m)""")
 def s9_manual_sections(spark, d):
-    return manuals(spark, d).select("doc_id", F.inline(A.manual_sections("raw_text")))
+    return once(manuals(spark, d), s=A.manual_sections("raw_text")).select("doc_id", F.inline("s"))
 
 
 @query(f"{M} SELECT doc_id, '--all|-b' || doc_id % 3 || '|-x' AS flags, c || ' -x one|two' || doc_id % 3 || ' words' AS examples FROM m")
 def x18_flags(spark, d):
-    parts = manuals(spark, d).withColumn("s", A.manual_sections("raw_text"))
+    parts = once(manuals(spark, d), s=A.manual_sections("raw_text"))
     return parts.select("doc_id", F.array_join(A.manual_flags(A.section_body("s", "SYNOPSIS")), "|").alias("flags"), F.array_join(A.manual_examples(A.section_body("s", "EXAMPLES")), "|").alias("examples"))
 
 

@@ -33,3 +33,11 @@ def test_rescue_searches_without_texts(spark, monkeypatch):
     got = {x["answer_id"]: x["ratio_after"] for x in G.with_rescue(answers, points, embed, n=1).collect()}
     assert seen == [(["point_id", "embedding"], 1)]  # twenty queries of one vector; the texts stay out of the search
     assert len(got) == 20 and got[7] == 1.0
+
+
+def test_text_is_made_once(spark):
+    """Filters do not copy the expression that makes the text into each place that names it."""
+    made = lambda name: entry.queries()[name](spark, entry.SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString().count("[^A-Za-z0-9.]+")
+    names = ("c5_manual_articles", "c6_session_articles", "c4_post_articles", "s9_manual_sections", "x18_flags")
+    assert {name: made(name) for name in names} == dict.fromkeys(names, 1)
+    assert made("w6_solutions") == 2 and made("c1_pair_articles") == 2 and made("c3_issue_articles") == 3  # one for each table that is read
