@@ -87,10 +87,16 @@ def category_of_tags(tags, table: dict, otherwise) -> Column:
 
 
 def versions(text, patterns=rules.VERSION_PATTERNS) -> Column:
-    """Canonical versions found, in table order (newest first); ["all"] without any."""
-    t = F.lower(F.coalesce(col(text), F.lit("")))
-    found = F.filter(F.array(*[F.when(t.rlike("(?U)" + p), v) for p, v in patterns]), lambda v: v.isNotNull())
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("all")))
+    """Canonical versions found, in table order (newest first); ["all"] without any. A pattern of the default table is only tried
+    where the text has one of the signs that each of its matches holds."""
+
+
+    def test(t, pattern, version):
+        signs = rules.VERSION_SIGNS[version] if patterns is rules.VERSION_PATTERNS else [""]
+        return F.when(mentions(t, signs) & t.rlike("(?U)" + pattern), version)
+
+    found = let(F.lower(F.coalesce(col(text), F.lit(""))), lambda t: F.filter(F.array(*[test(t, p, v) for p, v in patterns]), lambda v: v.isNotNull()))
+    return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit("all"))))
 
 
 def loose_versions(text, names=rules.VERSION_NAMES, product="macos") -> Column:

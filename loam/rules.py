@@ -30,6 +30,11 @@ VERSION_PATTERNS = [
     (r"\bmojave\b|\b10\.14(?:\.\d+)?\b", "10.14"), (r"\bhigh\s*sierra\b|\b10\.13(?:\.\d+)?\b", "10.13"), (r"\bsierra\b|\b10\.12(?:\.\d+)?\b", "10.12"),
     (r"\bel\s*capitan\b|\b10\.11(?:\.\d+)?\b", "10.11"), (r"\byosemite\b|\b10\.10(?:\.\d+)?\b", "10.10"),
 ]
+#: What a match of each of these patterns has for certain.
+VERSION_SIGNS = {
+    "15": ["sequoia", "15"], "14": ["sonoma", "14"], "13": ["ventura", "13"], "12": ["monterey", "12"], "11": ["sur", "11"], "10.15": ["catalina", "10.15"],
+    "10.14": ["mojave", "10.14"], "10.13": ["sierra", "10.13"], "10.12": ["sierra", "10.12"], "10.11": ["capitan", "10.11"], "10.10": ["yosemite", "10.10"],
+}
 VERSION_NAMES = {"sequoia": "15", "sonoma": "14", "ventura": "13", "monterey": "12", "bigsur": "11", "catalina": "10.15", "mojave": "10.14", "highsierra": "10.13"}
 INTAKE_VERSION_NAMES = {"tahoe": "26", "sequoia": "15", "sonoma": "14", "ventura": "13", "monterey": "12", "big sur": "11", "catalina": "10.15"}
 INTAKE_VERSION_NUMBER = r"\b(?:macos|os x|osx|version)\s*(1[0-5]|2[0-6])(?:\.\d+){0,2}\b"

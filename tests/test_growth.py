@@ -5,6 +5,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from loam import rules
+from loam.functions import text as X
 from loam.operators import grounding as G
 
 
@@ -41,3 +43,16 @@ def test_text_is_made_once(spark):
     names = ("c5_manual_articles", "c6_session_articles", "c4_post_articles", "s9_manual_sections", "x18_flags")
     assert {name: made(name) for name in names} == dict.fromkeys(names, 1)
     assert made("w6_solutions") == 2 and made("c1_pair_articles") == 2 and made("c3_issue_articles") == 3  # one for each table that is read
+
+
+def test_records_are_parsed_once(spark):
+    plan = lambda name: entry.queries()[name](spark, entry.SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan(name).count("from_json(") for name in ("s11_closed_issues", "s8_index_links", "s13_api_pairs")] == [1, 1, 2]
+    assert plan("s6_doc_sections").count("[^A-Za-z0-9.]+") == 1
+
+
+def test_versions_are_matched_once_and_by_sign(spark):
+    assert entry.queries()["x6_versions"](spark, entry.SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString().count("RLIKE(") == len(rules.VERSION_PATTERNS)
+    texts = ["Sequoia", "mac os15.2", "Big   Sur", "OS 11", "macOS 11", "high  sierra", "El Capitan 10.11.6", "10x13", "10.10 and 10.12", "catalina mojave yosemite", "ventura13", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.versions("t").alias("by_sign"), X.versions("t", list(rules.VERSION_PATTERNS)).alias("all")).collect()
+    assert all(r["by_sign"] == r["all"] for r in rows) and sum(r["all"] != ["all"] for r in rows) == 8
