@@ -46,10 +46,9 @@ def normal_category(value, allowed=rules.CATEGORIES, aliases=rules.CATEGORY_ALIA
 
 def embed_text(text, title, category, least=100, most=2000) -> Column:
     """White space collapsed; a text below `least` is padded with title and category; cut at `most` code points."""
-    flat = squeeze(text)
     context = F.trim(F.concat_ws(" ", *[F.when(col(c) != "", col(c)) for c in (title, category)]))
-    padded = F.when((F.length(flat) < least) & (context != ""), F.trim(F.concat(flat, F.lit(" "), context))).otherwise(flat)
-    return F.left(padded, F.lit(most))
+    padded = lambda flat: F.when((F.length(flat) < least) & (context != ""), F.trim(F.concat(flat, F.lit(" "), context))).otherwise(flat)
+    return F.left(let(squeeze(text), padded), F.lit(most))
 
 
 def source_of_id(article_id, prefixes=rules.ID_PREFIXES, words=rules.ID_WORDS) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
+from loam.functions.rows import once
 from loam.schemas import PAYLOAD
 
 TARGET, LEAST, MOST = 1000, 100, 2000
@@ -18,9 +19,10 @@ def _pieces(title: str, summary: str, sections: str, steps: str, target: int) ->
 
     def of_section(s):
         body, heading = F.regexp_replace(s["body"], r"(?U)^\s+|\s+$", ""), F.coalesce(s["heading"], F.lit(""))
-        whole = F.when(heading != "", F.concat(heading, F.lit(": "), body)).otherwise(body)
-        parts = F.when(F.length(whole) <= target, F.array(whole)).otherwise(X.packed_sentences(whole, target))
-        return F.when(F.coalesce(body, F.lit("")) == "", F.array().cast("array<struct<heading:string,text:string>>")).otherwise(F.transform(parts, lambda p: piece(heading, p)))
+        parts = lambda whole: F.when(F.length(whole) <= target, F.array(whole)).otherwise(X.packed_sentences(whole, target))
+        whole = lambda body: F.when(heading != "", F.concat(heading, F.lit(": "), body)).otherwise(body)
+        none = F.array().cast("array<struct<heading:string,text:string>>")
+        return X.let(body, lambda b: F.when(F.coalesce(b, F.lit("")) == "", none).otherwise(F.transform(X.let(whole(b), parts), lambda p: piece(heading, p))))
 
     numbered = F.array_join(F.transform(F.col(steps), lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n")
     last = F.when(F.size(F.coalesce(F.col(steps), F.array())) > 0, F.array(piece(F.lit("Steps"), F.concat(F.lit("How to: "), F.col(title), F.lit("\n"), numbered)))).otherwise(F.array())
@@ -31,7 +33,7 @@ def chunk_articles(articles: DataFrame, target: int = TARGET, least: int = LEAST
     """The chunks of articles, numbered in order among those that are long enough; narrow, without a shuffle."""
     category = X.normal_category("category")
     pieces = F.transform(_pieces("title", "summary", "sections", "steps", target), lambda p: F.struct(p["heading"].alias("heading"), X.embed_text(p["text"], "title", category, least, most).alias("text")))
-    rows = articles.select("*", F.posexplode(F.filter(pieces, lambda p: F.length(p["text"]) >= least)).alias("n", "piece"))
+    rows = once(articles, _pieces=F.filter(pieces, lambda p: F.length(p["text"]) >= least)).select("*", F.posexplode("_pieces").alias("n", "piece"))
     return rows.select(
         F.concat_ws("_", "id", F.col("n").cast("string")).alias("chunk_id"), F.col("piece.heading").alias("section_heading"), F.col("piece.text").alias("text"), "article_id", "locale", "title", "url", "affected_devices",
         F.coalesce("macos_versions", F.array(F.lit("all"))).alias("macos_versions"), F.coalesce("difficulty_tier", F.lit(1)).alias("difficulty_tier"), category.alias("category"), F.coalesce("source", F.lit("unknown")).alias("source"), "scraped_at",

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.functions import text as X
 from loam.operators import chunks as K
 from loam.operators import vectors as V
 from loam.operators.corpus import not_yet
@@ -36,9 +35,10 @@ def ingested(points: DataFrame | None, chunks: DataFrame, done: DataFrame | None
     """(points, done) after a run: chunks embedded in batches, put in by point id; reset forgets points and progress first."""
     points, done = (None, None) if reset else (points, done)
     todo = pending(chunks, done, mode, limit)
-    rows = K.payloads(todo).join(todo.select("chunk_id", X.uuid5(F.concat(F.lit("macos_kb."), "chunk_id")).alias("point_id")).select("point_id"), "point_id", "left_semi")
+    rows = K.payloads(todo).where("point_id IS NOT NULL")
     fresh = V.embedded(rows, embed)
-    after = fresh if points is None else K.upserted(points, fresh, ["point_id"])
+    # the keys are those of the rows before they are embedded, so that nothing is embedded to know its key
+    after = fresh if points is None else points.join(rows.select("point_id"), "point_id", "left_anti").unionByName(fresh)
     marks = todo.select("chunk_id")
     return after, (marks if done is None else done.select("chunk_id").unionByName(marks).distinct())
 
