@@ -51,9 +51,27 @@ class KeyedTable:
         return self._apply(changes, run, lambda now, new: now.join(new.select(*[F.col(k).alias(f"_{k}") for k in self.key]), self._same(), "left_anti").unionByName(new))
 
     def insert_new(self, changes: DataFrame, run: str | None = None) -> dict:
-        """Put in changes whose keys are not there; what is there stays."""
-        known = lambda now: now.select(*[F.col(k).alias(f"_{k}") for k in self.key])
-        return self._apply(changes, run, lambda now, new: now.unionByName(new.join(known(now), self._same(), "left_anti")))
+        """Put in changes whose keys are not there; what is there stays, and is not written again: new files stand beside the old
+        ones. The changes are written once; they are moved again only where some of their keys are there."""
+        run = run or uuid.uuid4().hex
+        if run in self.manifest()["runs"]:
+            return self.manifest()
+        first = folder = f"data/{uuid.uuid4().hex}"
+        self._write(changes.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]), first)
+        touched = self._touched(first)
+        while run not in (before := self.manifest())["runs"]:
+            known, folder = self.read(before, touched).select(*[F.col(k).alias(f"_{k}") for k in self.key]), first
+            new = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{first}/bucket={b}" for b in touched]) if touched else None
+            if new is not None and new.select(*self.key).join(known, self._same(), "left_semi").limit(1).count():
+                folder = f"data/{uuid.uuid4().hex}"
+                self._write(new.join(known, self._same(), "left_anti"), folder)
+            files = dict(before["files"])
+            for b, names in self._files(folder, touched).items():
+                files[b] = [*files.get(b, []), *names]
+            self._commit({"version": before["version"] + 1, "files": files, "runs": [*before["runs"], run][-REMEMBERED:]})
+        if folder != first:
+            self._fs.delete(self._file(f"{self.path}/{first}"), True)
+        return before
 
     def refresh(self, payload: DataFrame, columns: list[str], run: str | None = None) -> dict:
         """Replace some columns of the rows whose keys are in payload; other rows, columns and buckets stay as they are."""
@@ -98,24 +116,33 @@ class KeyedTable:
         run = run or uuid.uuid4().hex
         if run in self.manifest()["runs"]:
             return self.manifest()
-        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
         draft = f"drafts/{uuid.uuid4().hex}"  # written first: what makes the changes runs once, however many tries it takes
-        changes.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{self.path}/{draft}")
-        touched = sorted(int(n.removeprefix("bucket=")) for n in self._listed(f"{self.path}/{draft}") if n.startswith("bucket="))
+        self._write(changes, draft)
+        touched = self._touched(draft)
         held = [f"{self.path}/{draft}/bucket={b}" for b in touched]
         new = self.spark.read.schema(changes.schema).parquet(*held) if held else self.spark.createDataFrame([], changes.schema)
         while run not in (before := self.manifest())["runs"]:
             folder = f"data/{uuid.uuid4().hex}"
             rows = put(self.read(before, touched), new).select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
-            rows.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
-            files = {b: names for b, names in before["files"].items() if int(b) not in touched}
-            for b in touched:
-                if names := [f"{folder}/bucket={b}/{n}" for n in self._listed(f"{self.path}/{folder}/bucket={b}") if n.endswith(".parquet")]:
-                    files[str(b)] = names
+            self._write(rows, folder, whole=True)
+            files = {b: names for b, names in before["files"].items() if int(b) not in touched} | self._files(folder, touched)
             self._commit({"version": before["version"] + 1, "files": files, "runs": [*before["runs"], run][-REMEMBERED:]})
         self._fs.delete(self._file(f"{self.path}/{draft}"), True)
         return before
 
+    def _write(self, rows: DataFrame, folder: str, whole: bool = False) -> None:
+        """rows under folder, by bucket; whole: all of a bucket in one file."""
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
+        (rows.repartition("bucket") if whole else rows).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+
+    def _touched(self, folder: str) -> list[int]:
+        return sorted(int(n.removeprefix("bucket=")) for n in self._listed(f"{self.path}/{folder}") if n.startswith("bucket="))
+
+    def _files(self, folder: str, buckets: list[int]) -> dict[str, list[str]]:
+        """The files of a folder by bucket; buckets without any are left out."""
+        held = {str(b): [f"{folder}/bucket={b}/{n}" for n in self._listed(f"{self.path}/{folder}/bucket={b}") if n.endswith(".parquet")] for b in buckets}
+        return {b: names for b, names in held.items() if names}
+
     def _listed(self, folder: str) -> list[str]:
         at = self._file(folder)
         return sorted(f.getPath().getName() for f in self._fs.listStatus(at)) if self._fs.exists(at) else []

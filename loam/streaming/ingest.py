@@ -38,8 +38,9 @@ def ingest(chunks: DataFrame, points: KeyedTable, progress: KeyedTable, embed: C
 
     def apply(rows: DataFrame, number: int) -> None:
         once = K.newest(rows, ["chunk_id"], "scraped_at")
-        known = points.read().select("point_id")
-        todo = K.payloads(once).join(known, "point_id", "left_anti")
+        # by chunk_id, by which the newest are dealt already, so that the texts are not moved again
+        known = points.read().where("point_id IS NOT NULL").select("chunk_id")
+        todo = K.payloads(once.join(known, "chunk_id", "left_anti"))
         points.insert_new(V.embedded(todo, embed, batch=batch), f"{name}-{number}")
         progress.insert_new(marks(once.select("chunk_id"), number, batch), f"{name}-{number}")
 
