@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 
 from loam.operators.vectors import QUERY_BLOCK, _nearest, as_matrix, unit
 
+#: Numbers that a task holds at a time where it looks for the lists of rows.
+CELLS = 4_000_000
 #: Rows that centres are fitted on, rounds of the fit, the most lists, and the rows of a list that are in one block.
 SAMPLE, ROUNDS, MOST_LISTS, LIST_BLOCK = 20_000, 8, 4096, 50_000
 
@@ -49,17 +51,24 @@ def fitted_centres(points: DataFrame, lists: int, point: str = "point_id", sampl
     return centres
 
 
+def _in_slices(b: pa.RecordBatch, centres: np.ndarray, probes: int, cells: int = CELLS):
+    """Batches of the rows with list, from slices of b: at most `cells` scores, and numbers of copied vectors, at a time (or one row's)."""
+    lists, width = centres.shape
+    step = max(1, cells // max(lists, min(probes, lists) * (width + 1)))
+    for start in range(0, b.num_rows, step):
+        t = pa.Table.from_batches([b.slice(start, step)])
+        scores = unit(as_matrix(t.column("embedding"), width)) @ centres.T
+        near = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
+        t = t.take(pa.array(np.repeat(np.arange(t.num_rows), near.shape[1])))
+        yield from t.append_column("list", pa.array(near.ravel().astype(np.int32))).to_batches()
+
+
 def _near_lists(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     """rows with list, once for each of the `probes` nearest centres; centres are bounded by MOST_LISTS."""
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                t = pa.Table.from_batches([b])
-                scores = unit(as_matrix(t.column("embedding"), centres.shape[1])) @ centres.T
-                lists = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
-                t = t.take(pa.array(np.repeat(np.arange(t.num_rows), lists.shape[1])))
-                yield from t.append_column("list", pa.array(lists.ravel().astype(np.int32))).to_batches()
+            yield from _in_slices(b, centres, probes)
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("list", T.IntegerType())]))
 
