@@ -332,31 +332,37 @@ def j1_shared_answers(spark, d):
 LINES = "SELECT 'c' || doc_id AS chunk_id, text FROM documents"
 
 
-def chunk_files(spark, d, parts):
-    """documents as files of JSON lines; every seventh line is cut off. Lines are in the order of ids where there is one file."""
+#: Characters of the documents in a file of lines, and the least number of files.
+FILE_CHARS, FILES = 64_000_000, 5
+
+
+def chunk_files(spark, d):
+    """documents as files of JSON lines, as many as their size asks for; every seventh line is cut off. The files' names and the
+    lines in them are in the order of ids."""
     base = f"{shared_dir(spark)}/loam/{uuid.uuid4().hex}"
     i = F.col("doc_id")
     rows = table(spark, d, "documents").select(i, F.to_json(F.struct(F.concat(F.lit("c"), i.cast("string")).alias("chunk_id"), "text")).alias("line"))
     rows = rows.select(F.when(i % 7 == 0, F.expr("left(line, length(line) - 2)")).otherwise(F.col("line")).alias("value"), i.alias("at"))
-    dealt = rows.repartitionByRange(parts, "at").sortWithinPartitions("at")
+    size = table(spark, d, "documents").agg(F.sum(F.coalesce("n_chars", F.lit(0)).cast("long"))).first()[0] or 0
+    dealt = rows.repartitionByRange(max(FILES, -(-size // FILE_CHARS)), "at").sortWithinPartitions("at")
     dealt.select("value").write.text(f"{base}/lines")
     return f"{base}/lines"
 
 
 @query(f"{LINES} WHERE doc_id % 7 <> 0")
 def s1_chunk_lines(spark, d):
-    return readers.chunk_lines(spark, chunk_files(spark, d, 5)).select("chunk_id", "text")
+    return readers.chunk_lines(spark, chunk_files(spark, d)).select("chunk_id", "text")
 
 
 @query("SELECT count(*) AS lines FROM documents WHERE doc_id % 7 = 0")
 def s1_quarantine(spark, d):
-    return readers.scanned(spark, chunk_files(spark, d, 5))[1].agg(F.count("line").alias("lines"))
+    return readers.scanned(spark, chunk_files(spark, d))[1].agg(F.count("line").alias("lines"))
 
 
 @query(f"{LINES} WHERE doc_id % 7 <> 0 ORDER BY doc_id LIMIT 40")
 def s1_first_lines(spark, d):
     """The first records in the order of files and lines; files are named in the order of ids here."""
-    return readers.scanned(spark, chunk_files(spark, d, 5), 40)[0].select("chunk_id", "text")
+    return readers.scanned(spark, chunk_files(spark, d), 40)[0].select("chunk_id", "text")
 
 
 @query("SELECT doc_id, source, left(text, 50) AS summary FROM documents")

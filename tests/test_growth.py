@@ -1,13 +1,19 @@
 """What larger tables brought up: results against SQL beyond the small tables' ranges, and work that grows with the input only."""
 
+import os
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loam import rules
 from loam.functions import text as X
 from loam.operators import grounding as G
+from loam.operators import index as I
+from loam.plans import source_queries as S
+from loam.sources.keyed import KeyedTable
 
 
 def oracle(name: str, **tables) -> list[tuple]:
@@ -56,3 +62,35 @@ def test_versions_are_matched_once_and_by_sign(spark):
     texts = ["Sequoia", "mac os15.2", "Big   Sur", "OS 11", "macOS 11", "high  sierra", "El Capitan 10.11.6", "10x13", "10.10 and 10.12", "catalina mojave yosemite", "ventura13", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.versions("t").alias("by_sign"), X.versions("t", list(rules.VERSION_PATTERNS)).alias("all")).collect()
     assert all(r["by_sign"] == r["all"] for r in rows) and sum(r["all"] != ["all"] for r in rows) == 8
+
+
+def test_inserted_rows_stand_beside_the_old_files(spark, tmp_path):
+    t = KeyedTable(spark, f"file://{tmp_path}", ["k"], "k long, v string", 2)
+    make = lambda ids, v: spark.createDataFrame([(k, v) for k in ids], "k long, v string")
+    t.insert_new(make(range(50), "a"), "one")
+    one = t.manifest()["files"]
+    t.insert_new(make(range(50, 100), "b"), "two")
+    t.insert_new(make(range(90, 120), "c"), "three")
+    files = t.manifest()["files"]
+    assert all(set(one[b]) < set(files[b]) for b in one)  # nothing that was there is written again
+    assert t.vacuum(keep=1, older=0) == 0  # and no folder is left over
+    assert {r["k"]: r["v"] for r in t.read().collect()} == {k: "a" if k < 50 else "b" if k < 100 else "c" for k in range(120)}
+
+
+def test_lists_of_rows_are_looked_up_in_slices():
+    rng = np.random.default_rng(1)
+    vectors, centres = rng.normal(size=(300, 8)).astype(np.float32), rng.normal(size=(40, 8))
+    b = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(list(vectors), pa.list_(pa.float32()))], ["id", "embedding"])
+    got = list(I._in_slices(b, centres, 30, cells=5_000))
+    assert max(x.num_rows for x in got) * 9 <= 5_000
+    whole = list(I._in_slices(b, centres, 30, cells=10**9))
+    assert len(whole) == 1 and pa.Table.from_batches(got).combine_chunks().to_pydict() == pa.Table.from_batches(whole).to_pydict()
+
+
+def test_files_of_lines_grow_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "FILE_CHARS", 10_000)
+    path = S.chunk_files(spark, entry.SMOKE_DIR)
+    size = spark.read.parquet(f"{entry.SMOKE_DIR}/documents.parquet").selectExpr("sum(n_chars)").first()[0]
+    files = [f for f in os.listdir(path.removeprefix("file://")) if f.endswith(".txt")]
+    assert len(files) > size / 10_000 * 0.5 > 5
+    assert entry.queries()["s1_quarantine"](spark, entry.SMOKE_DIR).first()[0] == spark.read.parquet(f"{entry.SMOKE_DIR}/documents.parquet").where("doc_id % 7 = 0").count()
