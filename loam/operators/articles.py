@@ -111,13 +111,13 @@ def _section(heading: str, body) -> Column:
     return F.struct(F.lit(heading).alias("heading"), body.alias("body"))
 
 
-def issue_articles(issues: DataFrame, comments: DataFrame, now: Column, words, wanted, category=X.scored_category) -> DataFrame:
+def issue_articles(issues: DataFrame, comments: DataFrame, now: Column, words, wanted, category=X.scored_category, phrases=rules.RESOLUTION_PHRASES) -> DataFrame:
     """Articles of issues(owner, repo, number, title, body, labels, comments, url) with a solution among their comments(owner,
-    repo, number, pos, body, reactions)."""
+    repo, number, pos, body, reactions); the phrases are those of `solutions`."""
     key = ["owner", "repo", "number"]
     good = issues.where(issue_relevant("title", "body", "labels", words, wanted) & (F.col("comments") >= ISSUE_COMMENTS))
     good = once(good, body=X.markdown_text("body")).where(F.length("body") >= ISSUE_BODY)
-    picked = solutions(comments.withColumn("issue", F.struct(*key))).select("issue.*", "solution")
+    picked = solutions(comments.withColumn("issue", F.struct(*key)), phrases=phrases).select("issue.*", "solution")
     rows = once(good.join(picked, key), all=F.concat_ws(" ", "title", "body", "solution")).withColumn("label", X.normal_category(category("all")))
     slug = F.upper(F.concat_ws("_", "owner", "repo"))
     text = F.concat(F.col("title"), F.lit(". "), F.left("body", F.lit(600)), F.lit(" "), F.left("solution", F.lit(600)))

@@ -89,7 +89,7 @@ def w6_solutions(spark, d):
 @query(f"""{T}, {PICKED} SELECT 'GH_OWN_' || upper(source) || '_' || doc_id AS article_id, left(t, 30) AS title, left(t, 300) AS summary, left(t, 1000) AS problem, left(solution, 1000) AS solution
 FROM x JOIN s ON number = doc_id WHERE {RELEVANT} AND doc_id % 8 >= 3 AND len(t) >= 200""")
 def c3_issue_articles(spark, d):
-    out = A.issue_articles(issues(spark, d), comments(spark, d), now(), WORDS, LABELS, category=lambda t: F.lit("general"))
+    out = A.issue_articles(issues(spark, d), comments(spark, d), now(), WORDS, LABELS, category=lambda t: F.lit("general"), phrases=PHRASES)
     return out.select("article_id", "title", "summary", F.col("sections")[0]["body"].alias("problem"), F.col("sections")[1]["body"].alias("solution"))
 
 

@@ -94,3 +94,13 @@ def test_files_of_lines_grow_in_number(spark, tmp_path, monkeypatch):
     files = [f for f in os.listdir(path.removeprefix("file://")) if f.endswith(".txt")]
     assert len(files) > size / 10_000 * 0.5 > 5
     assert entry.queries()["s1_quarantine"](spark, entry.SMOKE_DIR).first()[0] == spark.read.parquet(f"{entry.SMOKE_DIR}/documents.parquet").where("doc_id % 7 = 0").count()
+
+
+def test_issues_whose_phrases_decide(spark, tmp_path):
+    """Short comments in place of those with enough reactions: the first comment with a phrase of the query's own list is taken."""
+    said, plain, short = "the cable was loose and it works again " * 8, "und so weiter mit vielen anderen Worten " * 8, "too short"
+    texts = {1: plain, 2: said, 3: short, 4: short, 5: short, 6: "and this is the issue " * 15, 7: plain, 8: plain, 9: short, 10: short, 11: short, 12: "and another one here " * 15}
+    spark.createDataFrame([(i, t, "en", "s1", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["article_id"]: tuple(r) for r in entry.queries()["c3_issue_articles"](spark, str(tmp_path)).collect()}
+    assert sorted(got.values()) == sorted(oracle("c3_issue_articles", documents=f"{tmp_path}/documents.parquet"))
+    assert got["GH_OWN_S1_6"][4].startswith("the cable") and got["GH_OWN_S1_12"][4].startswith("and another")  # by a phrase; the last
