@@ -309,11 +309,10 @@ def s12_listed_posts(spark, d):
     return P.listed_posts(pages.select(F.to_json(F.struct(F.struct("children").alias("data"))).alias("json"))).select("post_id", "title", "score")
 
 
-@query(f"{T} SELECT q.doc_id AS question_id, left(q.t, 20) AS title, left(a.t, 20) AS answer FROM x q JOIN x a ON a.doc_id = q.doc_id + 1 WHERE q.doc_id % 6 >= 2 AND q.doc_id % 4 <> 0 AND a.doc_id % 3 >= 1")
+@query(f"{T} SELECT q.doc_id AS question_id, q.t AS title, a.t AS answer FROM x q JOIN x a ON a.doc_id = q.doc_id + 1 WHERE q.doc_id % 6 >= 2 AND q.doc_id % 4 <> 0 AND a.doc_id % 3 >= 1")
 def s13_api_pairs(spark, d):
-    part = F.left("text", F.lit(20))
-    q = F.struct(F.col("doc_id").alias("question_id"), part.alias("title"), part.alias("body"), F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") + 1).alias("accepted_answer_id"), (F.col("doc_id") % 6).alias("score"))
-    a = F.struct(F.col("doc_id").alias("answer_id"), part.alias("body"), (F.col("doc_id") % 3).alias("score"))
+    q = F.struct(F.col("doc_id").alias("question_id"), F.col("text").alias("title"), F.col("text").alias("body"), F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") + 1).alias("accepted_answer_id"), (F.col("doc_id") % 6).alias("score"))
+    a = F.struct(F.col("doc_id").alias("answer_id"), F.col("text").alias("body"), (F.col("doc_id") % 3).alias("score"))
     rows = docs(spark, d)
     return P.api_pairs(rows.select(F.to_json(q).alias("json")), rows.select(F.to_json(a).alias("json"))).select("question_id", "title", "answer")
 

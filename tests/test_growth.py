@@ -104,3 +104,12 @@ def test_issues_whose_phrases_decide(spark, tmp_path):
     got = {r["article_id"]: tuple(r) for r in entry.queries()["c3_issue_articles"](spark, str(tmp_path)).collect()}
     assert sorted(got.values()) == sorted(oracle("c3_issue_articles", documents=f"{tmp_path}/documents.parquet"))
     assert got["GH_OWN_S1_6"][4].startswith("the cable") and got["GH_OWN_S1_12"][4].startswith("and another")  # by a phrase; the last
+
+
+def test_pairs_hold_whole_texts(spark, tmp_path):
+    texts = {3: "a long question. " * 4000, 4: "an answer of many words that begins like others do, " * 3000 + "end", 9: "kurz", 10: "", 15: 'marks "x" \\ <b>&</b>\n ß' * 3, 16: None}
+    spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in entry.queries()["s13_api_pairs"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(oracle("s13_api_pairs", documents=f"{tmp_path}/documents.parquet"))
+    own = {i: (title, answer) for i, title, answer in got}
+    assert set(own) == {3, 9, 15} and own[3] == (texts[3].strip(), texts[4].replace(",", "")) and own[15][1] == ""
